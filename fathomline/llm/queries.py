@@ -4,17 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import near_dup
+from fathomline.llm import decontaminate, exact_dup, language, near_dup, quality
 from fathomline.llm.shared import read_table
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n: what folds rows into held-out ones and others."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.languages(docs, docs.where(remainder(3) != 1))
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-SQL: dict[str, str] = {}
+def op9_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return quality.quality(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+SQL: dict[str, str] = {
+    "op7_grace_hash_dedup": r"""
+        with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+        g as (select *, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
+            row_number() over (partition by text_sha256 order by doc_id) as place from t)
+        select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from g""",
+    "op10_fm_index_decontamination": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        p as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + 9], ' ') as phrase
+            from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+        lengths as (select distinct n from p),
+        s as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'i': i, 'phrase': array_to_string(w[i : i + n - 1], ' ')})) as x from d, lengths where len(w) >= n),
+        hits as (select doc_id, x.i as i, p.n, item_id from s join p on s.n = p.n and s.x.phrase = p.phrase),
+        places as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by doc_id),
+        items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as list from (select distinct doc_id, item_id from hits) group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join places using (doc_id) left join items using (doc_id)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
