@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, exact_dup, language, near_dup, quality
+from fathomline.llm import decontaminate, exact_dup, language, near_dup, packing, quality, token_files
 from fathomline.llm.shared import read_table
 
 
@@ -16,6 +16,21 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file(), end=1)
+
+
+def op4_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(), end=2)
+    return token_files.read_digests(spark, files)
+
+
 def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = language.languages(docs, docs.where(remainder(3) != 1))
