@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, exact_dup, language, near_dup, packing, quality, token_files
+from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, quality, token_files
 from fathomline.llm.shared import read_table
 
 
@@ -26,6 +27,25 @@ def op1_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file(), end=1)
 
 
+def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    raw = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
+    said = "</s>[INST] ok [/INST]"
+    control = {"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}
+    kinds = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turn {rows.schema['turn'].dataType.simpleString()}, raw string"
+    records = rows.select("conv_id", "turn", raw.alias("raw")).union(spark.createDataFrame([(-1, 0, json.dumps(control))], kinds))
+    read = chat.format_chats(records).withColumns({"_turns": chat.read_turns(F.col("formatted")), "_loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("_turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("_loss").cast("bigint").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op4_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(), end=2)
     return token_files.read_digests(spark, files)
@@ -57,6 +77,14 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 SQL: dict[str, str] = {
+    "op2_fingerprint_chat_format": r"""
+        with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e as (select *, 2 * length(r) - length(regexp_replace(r, '[\\|\[<]', '', 'g')) + 2 * length(t) - length(regexp_replace(t, '[\\|\[<]', '', 'g')) + 10 as size from c)
+        select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn)) as turns_sha256,
+            cast(coalesce(sum(length(t)) filter (where r = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(t, '' order by turn) filter (where r = 'assistant'), '')) as loss_sha256,
+            cast(sum(size) as bigint) as formatted_chars
+        from e group by conv_id""",
     "op7_grace_hash_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
         g as (select *, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
