@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, quality, token_files
+from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, pii, quality, token_files
 from fathomline.llm.shared import read_table
 
 
@@ -46,6 +46,12 @@ def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op4_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file(), end=2)
     return token_files.read_digests(spark, files)
