@@ -1,26 +1,54 @@
-"""A training-data pipeline over documents: stages of the operators in fathomline.llm."""
+"""A training-data pipeline over documents: five stages of the operators in fathomline.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next stage's docs. A stage sees what its predecessor
+kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import near_dup
+from fathomline.llm import decontaminate, exact_dup, language, near_dup, packing
+from fathomline.llm.queries import remainder, tokenizer_file
+from fathomline.llm.shared import read_table, written
 
-#: A model takes part in the first stage, so SQL can't express the result.
+#: Models and a tokenizer take part, so SQL can't express the result.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go: those that are null or have no letter. A known one stays, however short or mixed it is."""
+    found = language.languages(docs, docs.where(remainder(3) != 1), keep=tuple(docs.columns))
+    return found.where(found.lang_pred != language.UNKNOWN).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id stays."""
+    return exact_dup.drop_exact_duplicates(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity .8) stays."""
-    kept = near_dup.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies (five-word shingles, similarity .8), the document with the smallest doc_id stays."""
+    gone = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    gone = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, tokenizer_file(), end=1)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
