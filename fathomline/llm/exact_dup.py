@@ -62,7 +62,7 @@ def _reduced(table: pa.Table) -> pa.Table:
     first = np.ones(n, bool)
     first[1:] = entry[order][1:] != entry[order][:-1]
     total = np.add.reduceat(copies[order], np.flatnonzero(first))
-    return table.take(pa.array(order[first])).set_column(3, "_copies", pa.array(total))
+    return table.take(pa.array(order[first])).set_column(3, table.schema.field(3), pa.array(total))
 
 
 def _chunks(batches):
