@@ -5,7 +5,7 @@ by prefix doubling, and the Burrows-Wheeler transform goes into a wavelet matrix
 once. Matched rows walk back to sampled suffix positions, which name documents and words; a document's occurrences merge into removal spans.
 Segments shorter than the shortest phrase can't hold one and are left out. Nothing is shuffled.
 
-The phrases of a block of benchmark items are broadcast; a block's size is bounded (phrase_mb), and a larger benchmark takes several passes.
+The phrases of a block of benchmark items are broadcast; a block's size is bounded (phrase_bytes), and a larger benchmark takes several passes.
 """
 
 from __future__ import annotations
@@ -223,18 +223,18 @@ def _search(table_at, keep: list[int]):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", phrase_mb: int = 32) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", phrase_bytes: int = 32 << 20) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged [start, end) in words), items.
 
     Words: [^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+ with A-Z in lower case. A window is `length` consecutive words of an item; an item of fewer words, but not none, is one
     window. A word of a text inside any occurrence of a window is hit. Null or empty texts have no words; an empty benchmark, or one without words, hits nothing; a null
-    item_id counts as ''; items of the same id count as one. Repeated rows give a row each. With more than phrase_mb of benchmark text the items are dealt into blocks by a hash of their id, searched block
+    item_id counts as ''; items of the same id count as one. Repeated rows give a row each. With more than phrase_bytes of benchmark text the items are dealt into blocks by a hash of their id, searched block
     by block, and merged by row.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), text_of(text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // (phrase_mb << 20)))
+    blocks = max(1, -(-size // phrase_bytes))
     rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     passes = []

@@ -156,12 +156,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Of equal texts the row of the smallest doc_id stays; of rows that repeat both, one stays and the others have kept false. Null texts equal empty
-    ones. doc_ids are integers without nulls. Further columns aren't read.
+    ones. Null doc_ids come after all others: a group of nothing else has a null keep_id. Further columns aren't read.
     """
     sha = F.sha2(normalised(F.col(text)), 256)
     # rows that repeat a doc_id and its text are counted before any shuffle and given back at the end
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), sha.alias("text_sha256")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
-    stay = distinct_texts(docs, doc_id, text, carry=False).select(F.sha2("_norm", 256).alias("text_sha256"), F.col("_id").alias("keep_id"), F.col("_copies").alias("group_size"))
+    stay = distinct_texts(docs, doc_id, text, carry=False).select(F.sha2("_norm", 256).alias("text_sha256"), F.nullif(F.col("_id"), F.lit(2**63 - 1)).alias("keep_id"), F.col("_copies").alias("group_size"))
     return rows.join(stay, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.explode(F.when(F.col("times") == 1, F.array(F.lit(1).cast("bigint"))).otherwise(F.sequence(F.lit(1).cast("bigint"), "times"))).alias("time"), "text_sha256"
-    ).select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("time") == 1)).alias("kept"), "text_sha256")
+    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("time") == 1)).alias("kept"), "text_sha256")

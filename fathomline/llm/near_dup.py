@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
 
     A text's set: its distinct k-word shingles, of words parted by [\\x20\\x09-\\x0D]+, A-Z in lower case; a text with fewer words, but not
     none, is one shingle. Two texts are linked when 100 * intersection >= percent * union of the full sets. A null, empty or blank
-    text has an empty set and is linked with nothing. Rows that share a doc_id count as one node of the graph, each with a row of its own. An empty table gives an empty one;
+    text has an empty set and is linked with nothing; nor is a row without doc_id, whose component_id is null and which is kept. Rows that share a doc_id count as one node of the graph, each with a row of its own. An empty table gives an empty one;
     further columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     each = written(rows.mapInArrow(_sketch_batches(k), schema), "near-sketches")
     alike = ["n_shingles", "set_1", "set_2"]
     classes = written(
-        each.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes"
+        each.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes"
     )
 
     in_band = classes.select(F.explode("bands").alias("band"), "rep")
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     dealt = dealt.repartition(parts(docs), "component", "g", "p", "q").sortWithinPartitions("component", "g", "p", "q")
     links = connected_components(dealt.mapInArrow(_verify(k, percent), "a bigint, b bigint"))
 
-    of_class = classes.select(*alike, "rep").join(links, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component_id"))
-    return each.select("doc_id", *alike).join(of_class, alike, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    of_class = classes.select(*alike, "rep").join(links, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    rows = each.select("doc_id", *alike).join(of_class, alike, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
