@@ -43,6 +43,7 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0
 LEVELS = {"kind": 4, "digits": 6, "separators": 4, "plus": 2, "checksum": 2, "for": 2, "against": 2, "tight": 2}
 VECTORS = math.prod(LEVELS.values())
 ROUNDS, RATE, PRECISION = 20, 0.4, 0.98
+CHUNK = 128
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,base:boolean,hit:string,before:string,after:string>>"
 
 
@@ -53,7 +54,8 @@ def _luhn(digits: Column) -> Column:
         d = F.substr(turned, i, F.lit(1)).cast("int") * (2 - i % 2)
         return F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), value), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0))) % 10 == 0
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(digits)), value), F.lit(0), lambda a, b: a + b)
+    return F.when(F.length(digits).between(1, 19), total % 10 == 0).otherwise(False)
 
 
 def _digits(hit: Column) -> Column:
@@ -73,7 +75,7 @@ def valid(kind: str, hit: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(a: Column, r: Column) -> Column:
         begin = a["at"] + F.length(r["gap"])
@@ -81,7 +83,15 @@ def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
         found = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), r["hit"].alias("hit"), F.right(r["gap"], F.lit(24)).alias("before"), F.left(r["after"], F.lit(1)).alias("after"))
         return F.when(r["hit"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(found)).alias("out")))
 
-    return F.aggregate(rows, start, step)["out"]
+    def chunk(a: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(a["out"], F.array(own["out"])).alias("out"))
+
+    # arrays are copied when they grow, so long lists of matches are built chunk by chunk
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda j: F.slice(whole, j * CHUNK + 1, F.lit(CHUNK)))
+    chunks = F.transform(F.array(rows), cut)[0]  # as an element, the matches are found once and not for each chunk
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.flatten(F.aggregate(chunks, start, chunk)["out"])
 
 
 def candidates(text: Column) -> Column:

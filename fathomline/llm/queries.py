@@ -48,7 +48,8 @@ def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
