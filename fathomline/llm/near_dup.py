@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     dealt = members.select("*", F.explode(F.array(F.struct(F.col("size").alias("g"), F.lit(1).alias("native")), F.struct((F.col("size") - 1).alias("g"), F.lit(0).alias("native")))).alias("to"))
     dealt = dealt.select("component", F.col("to.g").alias("g"), F.col("to.native").alias("native"), "rep", "n_shingles", "sketch")
     loads = dealt.groupBy("component", "g").agg(F.count("*").alias("n"), F.sum("native").alias("natives"), F.sum("n_shingles").alias("load")).where("n > 1 and natives > 0")
+    loads = written(loads, "near-loads")  # a table of its own, so that the join below may split a cluster with very many rows
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("load") / 1_500_000))
     dealt = dealt.drop("n_shingles").join(loads, ["component", "g"])
     dealt = _block_pairs(dealt, blocks, F.col("rep")).join(rows.withColumnRenamed("doc_id", "rep"), "rep")
