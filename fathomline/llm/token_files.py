@@ -27,6 +27,8 @@ from fathomline.llm.shared import new_path, parts, text_of
 
 MAGIC = b"FLTOKEN1"
 FRAME_IDS = 1 << 16
+#: What a null doc_id is written as; such documents come first.
+NO_ID = -(2**63)
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("frames", "<u4"), ("ids", "<u8")])
 FRAME = np.dtype([("bytes", "<u4"), ("ids", "<u4"), ("crc32", "<u4")])
 FOOTER = np.dtype([("documents", "<u8"), ("frames", "<u8"), ("table_bytes", "<u8"), ("table_crc32", "<u4"), ("magic", "S8")])
@@ -123,13 +125,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, folder: str | N
     """Writes all rows' ids, each followed by `end`, in ascending doc_id over all files. Returns (file, documents, ids) for each file, in order:
     one entry for each partition, whatever the number of rows.
 
-    Null texts count as empty and give `end` alone; rows that repeat a doc_id follow each other, ordered by their text's hash; doc_ids are integers without nulls; an empty table
+    Null texts count as empty and give `end` alone; rows that repeat a doc_id follow each other, ordered by their text's hash; a null doc_id counts as NO_ID; an empty table
     writes no file.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     content_at = spark.sparkContext.broadcast(tokens.load(tokenizer_path))
-    rows = docs.select(text_of(text).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    rows = docs.select(text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"))
     rows = rows.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = rows.mapInArrow(_write(folder, content_at, end), "part bigint, uri string, documents bigint, ids bigint").collect()
     return [(r["uri"], r["documents"], r["ids"]) for r in sorted(done)]
@@ -155,4 +157,5 @@ def read_digests(spark: SparkSession, files: list[tuple[str, int, int]]) -> Data
         rows.append((uri, start))
         start += ids
     table = spark.createDataFrame(rows, "uri string, start bigint").repartition(max(1, len(rows)))
-    return table.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = table.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
