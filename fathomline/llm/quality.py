@@ -76,16 +76,16 @@ def raw_scores(model: dict, number: np.ndarray, value: np.ndarray, count: np.nda
     return model["b"] + np.add.reduceat(model["w"][number] * value, at) + pairs, total
 
 
-def train(number: np.ndarray, value: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 3) -> dict:
+def train(number: np.ndarray, value: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 12, least_steps: int = 500, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 3) -> dict:
     rng = np.random.default_rng(seed)
     model = {"b": 0.0, "w": np.zeros(SIZE, np.float32), "v": rng.normal(0, 0.05, (SIZE, RANK)).astype(np.float32)}
     if not len(y):
         return model
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    model["b"] = float(np.log(share / (1 - share)))
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)  # both classes count alike, whatever their shares
     seen_w, seen_v = np.full(SIZE, 1e-2, np.float32), np.full((SIZE, RANK), 1e-2, np.float32)
     begin = np.concatenate([[0], np.cumsum(count)])
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(y)))):  # a small sample is gone through more often
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
@@ -93,7 +93,7 @@ def train(number: np.ndarray, value: np.ndarray, count: np.ndarray, y: np.ndarra
             place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[rows], n)
             i, x, text = number[place], value[place], np.repeat(np.arange(len(rows)), n)
             z, total = raw_scores(model, i, x, n)
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]).astype(np.float32) / len(rows) * 16
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]).astype(np.float32) * weight[rows] / len(rows) * 16
             model["b"] -= 0.02 * float(d.mean())
             gw = d[text] * x
             gv = gw[:, None] * (total[text] - model["v"][i] * x[:, None])
