@@ -381,7 +381,7 @@ WALK = SplitConfig(n_splits=4, test_size=20, train_size=150, embargo=4, min_trai
 def walk_forward(spark, sf_dir):
     from fathomline.operators.panel import weeks
 
-    dates = weeks(_panel(spark, sf_dir).rows).select(F.col("week").cast("timestamp_ntz").alias("date"), F.date_add("week", 91).cast("timestamp_ntz").alias("label_end"))
+    dates = weeks(_panel(spark, sf_dir).observed).select(F.col("week").cast("timestamp_ntz").alias("date"), F.date_add("week", 91).cast("timestamp_ntz").alias("label_end"))
     return splits.purged_walk_forward_splits(dates, WALK)
 
 
@@ -433,3 +433,10 @@ def validate_file(spark, sf_dir):
         F.when(F.col("event_id") % 20 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("value"),
     )
     return scorecard.validation_counts(rows)
+
+
+@query("challenge_controls", "select name, case_type from (values ('3d_printing'), ('cannabis'), ('metaverse'), ('hydrogen'), ('space'), ('ev_battery'), ('clean_energy'), ('china_internet'), ('spac')) v(name), (select 'negative_control' as case_type)")
+def challenge_controls(spark, sf_dir):
+    from fathomline.sources.challenges import challenge_cases
+
+    return challenge_cases(spark).where("not expected_positive").select("name", "case_type")

@@ -28,7 +28,7 @@ def observed(series: DataFrame, by: str = "theme") -> DataFrame:
 
 def forward(rows: DataFrame, horizons: Sequence[int], by: str = "theme", next_session: bool = True) -> DataFrame:
     """Adds entry and exit_H: structs (ts, price, b_price, pos) of the entry and of each horizon's exit, null where the series ends before."""
-    names = [c for c in ("ts", "price", "b_price", "pos") if c in rows.columns]
+    names = [c for c in ("ts", "price", "b_price", "parent_price", "pos") if c in rows.columns]
     here = F.struct(*names)
     by_time = Window.partitionBy(by).orderBy("_s")
     exits = {f"_exit{h}": F.first(here).over(by_time.rangeBetween(7 * h * DAY, Window.unboundedFollowing)) for h in horizons}
@@ -50,13 +50,12 @@ def future_labels(
     """One row for each observation (decision_at) and theme, with columns for each horizon H:
 
     entry_at_Hw, exit_at_Hw, label_available_at_Hw, future_Hw_return, future_Hw_benchmark_return, future_Hw_excess_return, future_Hw_max_relative_drawdown,
-    label_Hw (null until the horizon has passed). Without a benchmark the excess is the return. series may have a column parent_price: then also future_Hw_parent_sector_excess_return.
+    label_Hw (null until the horizon has passed). Without a benchmark the excess is the return. series may have a column parent_price: then also future_Hw_parent_sector_excess_return
+    (a missing parent price doesn't drop the row).
     """
     if any(h <= 0 for h in horizons):
         raise ValueError("horizons must be positive")
     rows = observed(series, by)
-    if "parent_price" in rows.columns:  # carried beside the prices, but a missing one doesn't drop the row
-        rows = rows.withColumnRenamed("parent_price", "_parent")
     rows = forward(rows, horizons, by, next_session)
     has_benchmark = "b_price" in series.columns
     if drawdown:
@@ -89,6 +88,9 @@ def future_labels(
         ]
         if drawdown:
             out.append(F.when(done & (entry["price"] != 0), worst_fall(F.concat(F.slice("_path", 1, end["pos"] - entry["pos"]), F.array(end["price"])))).alias(f"future_{s}_max_relative_drawdown"))
+        if "parent_price" in series.columns:
+            parent = F.when(entry["parent_price"] != 0, F.try_divide(end["parent_price"], entry["parent_price"]) - 1.0)
+            out.append((gain - parent).alias(f"future_{s}_parent_sector_excess_return"))
         if h == 52:
             out.append(gain.alias("exact_52w_hold_return"))
     return rows.select(*out)

@@ -40,10 +40,18 @@ def normalised(data: DataFrame, row_order: str | None = None) -> DataFrame:
     return rows.withColumn("week", week_of(F.col("date")))
 
 
+def weekly_observations(rows: DataFrame, min_value: float = 0.0) -> DataFrame:
+    """One row for each week, theme and security that has any row: price (the last value above min_value, or null), and the first session of the week after Friday 00:00
+    and up to it. All else is made of this table, so the input is read and shuffled once."""
+    at, late = F.struct("date", "row_order", "value"), F.col("date") > F.col("week").cast("timestamp_ntz")
+    return rows.groupBy("week", "theme", "security").agg(
+        F.max_by("value", F.when(F.col("value") > min_value, at)).alias("price"), F.min(F.when(late, F.col("date"))).alias("late_session"), F.min(F.when(~late, F.col("date"))).alias("session")
+    )
+
+
 def last_of_week(rows: DataFrame, min_value: float = 0.0) -> DataFrame:
     """week, theme, security, price: the last value above min_value of each week."""
-    at = F.struct("date", "row_order", "value")
-    return rows.where(F.col("value") > min_value).groupBy("week", "theme", "security").agg(F.max_by("value", at).alias("price"))
+    return weekly_observations(rows, min_value).where("price is not null").select("week", "theme", "security", "price")
 
 
 def weeks(rows: DataFrame) -> DataFrame:
@@ -52,27 +60,27 @@ def weeks(rows: DataFrame) -> DataFrame:
     return ends.select(F.explode(F.sequence("first", "last", F.expr("interval 7 days"))).alias("week"))
 
 
-def densified(prices: DataFrame, rows: DataFrame, benchmark: str) -> DataFrame:
-    """A row for each member ever named and each week; price is null where there is none. The member list is small beside the prices; each
-    member makes its own weeks from the two ends, one row that every task gets."""
-    ends = rows.agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
-    names = rows.where(F.col("security") != benchmark).select("theme", "security").distinct()
-    grid = names.join(F.broadcast(ends), F.lit(True)).select("theme", "security", F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("week"))
-    return grid.join(prices, ["week", "theme", "security"], "left")
+def densified(observed: DataFrame, benchmark: str) -> DataFrame:
+    """A row for each member ever named and each week; price is null where there is none. Each member makes its own weeks from the two ends of the calendar,
+    one row that every task gets."""
+    ends = observed.agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
+    own = observed.where(F.col("security") != benchmark)
+    grid = own.select("theme", "security").distinct().join(F.broadcast(ends), F.lit(True)).select("theme", "security", F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("week"))
+    return grid.join(own.select("week", "theme", "security", "price"), ["week", "theme", "security"], "left")
 
 
-def member_panel(prices: DataFrame, rows: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def member_panel(observed: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     by = Window.partitionBy("theme", "security").orderBy("week")
-    grid = densified(prices, rows, benchmark)
+    grid = densified(observed, benchmark)
     seen = F.max(F.col("price").isNotNull()).over(so_far(by))
     known = grid.select("week", "theme", "security", "price", seen.alias("seen"), (F.col("price") / F.lag("price").over(by) - 1.0).alias("ret"))
     return known.select("*", *(compounded("ret", by, w).alias(f"r{w}") for w in windows))
 
 
-def benchmark_panel(prices: DataFrame, rows: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def benchmark_panel(observed: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """The benchmark's weekly price is the median over the themes that hold it. Its windows run over one row for each week of the calendar."""
-    own = prices.where(F.col("security") == benchmark).groupBy("week").agg(F.median("price").alias("b_price"))
-    dense = weeks(rows).join(own, "week", "left")
+    own = observed.where(F.col("security") == benchmark).groupBy("week").agg(F.median("price").alias("b_price"))
+    dense = weeks(observed).join(own, "week", "left")
     by = Window.partitionBy(F.lit(0)).orderBy("week")
     returns = dense.select("week", "b_price", (F.col("b_price") / F.lag("b_price").over(by) - 1.0).alias("b_ret"))
     return returns.select("*", *(compounded("b_ret", by, w).alias(f"b{w}") for w in windows))
@@ -127,24 +135,29 @@ def theme_panel(sums: DataFrame, min_participation: float, windows: tuple[int, .
     )
 
 
-def next_sessions(rows: DataFrame) -> DataFrame:
+def next_sessions(observed: DataFrame) -> DataFrame:
     """week, effective_date: the first session after Friday 00:00, or the next business day (the Monday) where there is none. One row for each week."""
-    friday = F.when(F.col("date") > F.col("week").cast("timestamp_ntz"), F.col("week")).otherwise(F.date_sub("week", 7))
-    own = rows.select("date", friday.alias("week")).groupBy("week").agg(F.min("date").alias("session"))
-    calendar = weeks(rows).join(own, "week", "left")
+    each = observed.groupBy("week").agg(F.min("late_session").alias("late"), F.min("session").alias("session"))
+    own = each.select(F.explode(F.array(F.struct(F.col("week"), F.col("late").alias("session")), F.struct(F.date_sub("week", 7).alias("week"), F.col("session")))).alias("_s")).select("_s.*")
+    calendar = weeks(observed).join(own.groupBy("week").agg(F.min("session").alias("session")), "week", "left")
     after = F.min("session").over(Window.partitionBy(F.lit(0)).orderBy("week").rowsBetween(Window.currentRow, Window.unboundedFollowing))
     return calendar.select("week", F.coalesce(after, F.date_add("week", 3).cast("timestamp_ntz")).alias("effective_date"))
 
 
 class Panel:
-    """The tables of one input, each built once and lazily."""
+    """The tables of one input, built lazily. The weekly observations, which all tables read, are kept by Spark (and made again where an executor is lost) until release()."""
 
-    def __init__(self, data: DataFrame, config: PanelConfig | None = None, row_order: str | None = None) -> None:
+    def __init__(self, data: DataFrame, config: PanelConfig | None = None, row_order: str | None = None, keep: bool = True) -> None:
         self.config = config or PanelConfig()
         self.rows = normalised(data, row_order)
-        self.prices = last_of_week(self.rows, self.config.min_value)
-        self.members = member_panel(self.prices, self.rows, self.config.benchmark)
-        self.benchmark = benchmark_panel(self.prices, self.rows, self.config.benchmark)
+        self.observed = weekly_observations(self.rows, self.config.min_value)
+        if keep:
+            self.observed = self.observed.persist()
+        self.members = member_panel(self.observed, self.config.benchmark)
+        self.benchmark = benchmark_panel(self.observed, self.config.benchmark)
         self.sums = member_sums(self.members, self.benchmark)
         self.themes = theme_panel(self.sums, self.config.min_participation)
-        self.sessions = next_sessions(self.rows)
+        self.sessions = next_sessions(self.observed)
+
+    def release(self) -> None:
+        self.observed.unpersist()

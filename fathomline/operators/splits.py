@@ -27,7 +27,6 @@ def purged_walk_forward_splits(dates: DataFrame, config: SplitConfig | None = No
         raise ValueError("not enough observations for the requested splits and min_train_size")
     at = {r["pos"]: r["date"] for r in rows.where(F.col("pos").isin(*[p for k in range(c.n_splits) for s in [first + k * test_size] for p in (s, s + test_size - 1, max(0, s - c.embargo))])).collect()}
     splits = []
-    kept = 0
     previous_end = None
     for k in range(c.n_splits):
         start = first + k * test_size
@@ -44,7 +43,6 @@ def purged_walk_forward_splits(dates: DataFrame, config: SplitConfig | None = No
         role = F.when(test, "test").when(keep, "train")
         splits.append((k, role))
         previous_end = start + test_size - 1
-        kept += 1
     each = F.array(*(F.struct(F.lit(k).alias("split_id"), role.alias("role")) for k, role in splits))
     long = rows.select("pos", "date", F.explode(each).alias("_s")).select(F.col("_s.split_id"), F.col("_s.role"), "pos", "date").where("role is not null")
     enough = F.sum((F.col("role") == "train").cast("int")).over(Window.partitionBy("split_id")) >= c.min_train_size
@@ -56,3 +54,19 @@ def split_features(features: DataFrame, splits: DataFrame, split_id: int) -> tup
     own = splits.where(F.col("split_id") == split_id)
     part = lambda role: features.join(F.broadcast(own.where(F.col("role") == role).select("date")), "date", "left_semi")
     return part("train"), part("test")
+
+
+class PurgedWalkForwardSplit:
+    """The folds one after the other, for loops over training and test tables."""
+
+    def __init__(self, config: SplitConfig | None = None) -> None:
+        self.config = config or SplitConfig()
+
+    def get_n_splits(self) -> int:
+        return self.config.n_splits
+
+    def split(self, features: DataFrame):
+        names = ["date", *(["label_end"] if "label_end" in features.columns else [])]
+        splits = purged_walk_forward_splits(features.select(*names), self.config).persist()
+        for row in splits.select("split_id").distinct().orderBy("split_id").collect():
+            yield split_features(features, splits, row["split_id"])

@@ -94,7 +94,7 @@ def run_signal_pipeline(
     own = up_to(prices, as_of)
     current, radar, hold = current or CurrentLeaderConfig(), radar or EmergingRadarConfig(), hold or HoldCandidateConfig()
     settings = json.dumps([str(as_of), *(dataclasses.asdict(c) for c in (current, radar, hold))], sort_keys=True, default=str)
-    metrics = theme_metrics(Panel(own, current, row_order))
+    metrics = theme_metrics(Panel(own, current, row_order)).persist()  # a row for each theme and week, which all three lanes read
     return SignalRun(
         None if as_of is None else str(as_of), fingerprint(own, settings), lanes.current_leader(metrics, current, as_of), lanes.emerging_radar(metrics, radar, as_of), lanes.hold_candidate_12m(metrics, hold, as_of)
     )

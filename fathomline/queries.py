@@ -127,7 +127,7 @@ def benchmark_median(spark, sf_dir):
 @query("densify", with_panel(f"select week, theme, security, {r6('price')} from priced"))
 def densify(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    return panel.densified(p.prices, p.rows, "SPY").select("week", "theme", "security", "price")
+    return panel.densified(p.observed, "SPY").select("week", "theme", "security", "price")
 
 
 @query("security_returns", with_panel(f"select week, theme, security, seen, {r6('ret')} from members"))

@@ -10,7 +10,7 @@ from fathomline import cli
 from fathomline.config import Clock
 from fathomline.functions.parsing import safe_date, safe_number
 from fathomline.operators import panel, scorecard
-from fathomline.sources import catalog, provenance, providers, readers
+from fathomline.sources import catalog, challenges, provenance, providers, readers
 from fathomline.streaming.weekly import late_arrivals_stream, weekly_last_stream
 
 
@@ -76,6 +76,17 @@ def test_catalog(spark, tmp_path):
         catalog.load_catalog(spark, str(tmp_path))
 
 
+def test_challenges(spark):
+    cases = challenges.challenge_cases(spark)
+    challenges.validate_challenges(cases)
+    assert cases.count() == 14 and challenges.challenge_cases(spark, False).where("expected_positive").count() == 5
+    assert challenges.challenge_case(spark, "cannabis")["case_type"] == "negative_control"
+    with pytest.raises(KeyError):
+        challenges.challenge_case(spark, "none")
+    with pytest.raises(ValueError):
+        challenges.validate_challenges(cases.union(cases))
+
+
 def test_provenance(spark, tmp_path):
     payload = b"hello"
     (tmp_path / "f.bin").write_bytes(payload)

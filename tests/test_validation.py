@@ -26,6 +26,12 @@ def test_labels_take_the_next_session(spark):
     assert first.label_13w is False and rows[AT[69]].label_13w is None and rows[AT[57]].label_13w is None
 
 
+def test_labels_against_a_parent_sector(spark):
+    rows = series(spark, range(100, 170)).withColumn("parent_price", F.when(F.col("ts") != F.lit(AT[3]), F.col("price") * 2 + 10))
+    got = {r.decision_at: r.future_13w_parent_sector_excess_return for r in labels.future_labels(rows, (13,)).collect()}
+    assert got[AT[0]] == pytest.approx(114 / 101 - (2 * 114 + 10) / (2 * 101 + 10)) and got[AT[2]] is None and len(got) == 70
+
+
 def test_labels_with_gaps_against_brute_force(spark):
     rng = np.random.default_rng(4)
     keep = sorted(rng.choice(150, 110, replace=False))
@@ -156,6 +162,8 @@ def test_splits(spark):
         splits.purged_walk_forward_splits(dates.limit(3), SplitConfig(n_splits=5))
     train, test = splits.split_features(dates, splits.purged_walk_forward_splits(dates, SplitConfig(n_splits=3, test_size=5)), 0)
     assert test.count() == 5 and train.count() > 10
+    folds = list(splits.PurgedWalkForwardSplit(SplitConfig(n_splits=3, test_size=5)).split(dates))
+    assert len(folds) == 3 and [t.count() for _, t in folds] == [5, 5, 5]
 
 
 def test_memberships(spark):
