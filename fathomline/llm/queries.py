@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, pii, quality, token_files
+from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, pii, pseudo_likelihood, quality, token_files
 from fathomline.llm.shared import read_table
 
 
@@ -64,6 +64,11 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pseudo_likelihood.scores(docs, pseudo_likelihood.fit(docs))
+
+
 def op7_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
