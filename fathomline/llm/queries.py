@@ -102,6 +102,17 @@ SQL: dict[str, str] = {
         g as (select *, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
             row_number() over (partition by text_sha256 order by doc_id) as place from t)
         select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from g""",
+    "op8_fast_sketch_near_dedup": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as shingle from d where len(w) > 0),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+        m as (select a, min(b) as least from r group by a)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) as component_id, d.doc_id <= coalesce(m.least, d.doc_id) as kept
+        from d left join n using (doc_id) left join m on m.a = d.doc_id""",
     "op10_fm_index_decontamination": r"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
