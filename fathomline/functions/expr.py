@@ -44,14 +44,8 @@ def compounded(returns: str, spec: WindowSpec, rows: int) -> Column:
     return F.when(F.count(returns).over(over) == rows, F.product(F.lit(1.0) + F.col(returns)).over(over) - 1.0)
 
 
-def share_rank(value: Column, group: WindowSpec, ties: WindowSpec) -> Column:
-    """Average-tie percentile rank within a group: group orders by value (ascending, nulls last), ties partitions by group and value."""
-    every = group.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.when(value.isNotNull(), (F.rank().over(group) + (F.count(value).over(ties) - 1) / 2.0) / F.count(value).over(every))
-
-
 def percentile_rank(value: str, *by: str) -> Column:
-    """share_rank of a column within the groups of `by`."""
+    """Average-tie percentile rank of a column within the groups of `by`; nulls have none and don't count."""
     group = Window.partitionBy(*by)
     whole = F.count(value).over(group)
     place = F.rank().over(group.orderBy(F.col(value).asc_nulls_last()))
