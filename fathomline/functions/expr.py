@@ -44,17 +44,17 @@ def compounded(returns: str, spec: WindowSpec, rows: int) -> Column:
     return F.when(F.count(returns).over(over) == rows, F.product(F.lit(1.0) + F.col(returns)).over(over) - 1.0)
 
 
-def percentile_rank(value: str, *by: str) -> Column:
-    """Average-tie percentile rank of a column within the groups of `by`; nulls have none and don't count."""
-    group = Window.partitionBy(*by)
-    whole = F.count(value).over(group)
-    place = F.rank().over(group.orderBy(F.col(value).asc_nulls_last()))
-    return F.when(F.col(value).isNotNull(), (place + (F.count(value).over(Window.partitionBy(*by, value)) - 1) / 2.0) / whole)
+def average_rank(value: str, *by: str) -> Column:
+    """Rank within the groups of `by`, from 1; equal values share their mean rank. Nulls have none. Both parts read one window order, so Spark sorts once."""
+    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    equal = F.count(value).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (equal - 1) / 2.0)
 
 
-def average_rank(value: str, *by: str) -> Column:
-    place = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
-    return F.when(F.col(value).isNotNull(), place + (F.count(value).over(Window.partitionBy(*by, value)) - 1) / 2.0)
+def percentile_rank(value: str, *by: str) -> Column:
+    """average_rank as a share of the values that there are."""
+    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    return average_rank(value, *by) / F.count(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def clipped(value: Column, low: float | None = None, high: float | None = None) -> Column:
