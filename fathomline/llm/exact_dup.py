@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.shared import parts, text_of
 
-BUDGET = 48 << 20
+BUDGET = 32 << 20
 FANOUT = 16
 
 

@@ -108,7 +108,9 @@ class Scorer:
         return z / z.sum(1, keepdims=True)
 
 
-def _predict(model_at, names: list[str]):
+def _predict(model_at, names: list[str], keep: list[int]):
+    """keep: places of the columns that are returned; the first column is the text."""
+
     def run(batches):
         score = Scorer(model_at.value) if names else None
         for batch in batches:
@@ -126,8 +128,8 @@ def _predict(model_at, names: list[str]):
                 label += [names[k] if ok else UNKNOWN for k, ok in zip(pick.tolist(), known.tolist(), strict=True)]
                 best.append(np.where(known, np.minimum(total.max(1), 1), 0))
             if batch.num_rows:
-                rest = [batch.column(i) for i in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(label, pa.string()), pa.array(np.concatenate(best))], [*batch.schema.names[2:], "lang_pred", "score"])
+                names_out = [*(f"_{i}" for i in range(len(keep))), "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(label, pa.string()), pa.array(np.concatenate(best))], names_out)
 
     return run
 
@@ -162,8 +164,10 @@ def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: st
     """
     names, model = fit(labelled, text, lang)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
-    own = [F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")]
-    rows = docs.select(*own, *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)))
+    others = [c for c in keep if c != text]  # a text that is kept goes to Python and back once
+    own = [F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")]
+    rows = docs.select(*own, *(F.col(f"`{c}`") for c in others))
+    places = [0 if c == text else 2 + others.index(c) for c in keep]
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = rows.mapInArrow(_predict(model_at, names), ", ".join(filter(None, [kinds, "lang_pred string, score double"])))
+    found = rows.mapInArrow(_predict(model_at, names, places), ", ".join(filter(None, [kinds, "lang_pred string, score double"])))
     return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
