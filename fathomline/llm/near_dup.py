@@ -6,9 +6,10 @@
    filled and the share of equal coordinates of two sketches concentrates around their Jaccard similarity as if drawn without replacement.
 3. Bands of ROWS coordinates are bucket keys. A pair at similarity .8 shares none of the 42 bands with a chance of 3e-6.
 4. In each bucket, sketches screen the pairs; the bucket gives one star for each group of similar sketches, never its pairs.
-5. The components of those stars are clusters. Texts of a cluster, cut by set size into blocks, are compared exactly on full sets; a block gives one
-   star for each linked group. Components of these links are the result.
-Steps 4 and 5 deal a large bucket or cluster out in pairs of blocks, so no task holds more than two blocks and no partner is dropped.
+5. The components of those stars are clusters. Texts of a cluster are compared exactly on full sets, which gives one star for each linked group. Components of these links are the result.
+
+Steps 4 and 5 compare every member with its bucket's or cluster's smallest member first, in time linear in the members. Those that match it are connected, so they meet only the others afterwards: others are
+active and meet everyone, in pairs of blocks dealt out over tasks. No task holds more than two blocks, and no partner is dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
 from fathomline.llm.components import connected_components
-from fathomline.llm.shared import parts, text_of, written
+from fathomline.llm.shared import parts, small_batches, text_of, written
 
 COORDINATES = 256
 ROWS = 6
@@ -156,23 +157,39 @@ def floor_of(percent: float) -> float:
     return p - SLACK * (p * (1 - p) / COORDINATES) ** 0.5
 
 
+def _near_pivot(percent: float):
+    """Of (keys..., rep, sketch, pivot's sketch): whether the two sketches are similar."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_columns
+            if batch.num_rows:
+                own, pivot = _matrix(batch.column(n - 2)), _matrix(batch.column(n - 1))
+                like = (own == pivot).sum(1) >= floor_of(percent) * own.shape[1]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n - 2)), pa.array(like)], [*batch.schema.names[: n - 2], "passive"])
+
+    return run
+
+
 def _screen(percent: float):
-    """In each bucket (or pair of blocks of one): stars of the groups that similar sketches connect."""
+    """In each pair of blocks of a bucket: stars of the groups that similar sketches connect. Passive members are connected from the start."""
 
     def run(batches):
         found, waiting = [], 0
         for table in groups(batches, 3):
-            ids, sketch = table.column(3).to_numpy(), _matrix(table.column(4))
-            rest, roots = np.arange(len(ids)), np.arange(len(ids))
-            least = floor_of(percent) * sketch.shape[1]
-            while len(rest) > 1:
-                root, todo, rest = rest[0], [rest[0]], rest[1:]
-                while todo and len(rest):
-                    like = (sketch[rest] == sketch[todo.pop()]).sum(1) >= least
-                    roots[rest[like]] = root
-                    todo += rest[like].tolist()
-                    rest = rest[~like]
-            found.append(stars(ids, roots))
+            ids, passive, sketch = table.column(3).to_numpy(), table.column(4).to_numpy(), _matrix(table.column(5))
+            known, least = Sets(len(ids)), floor_of(percent) * sketch.shape[1]
+            calm = np.flatnonzero(passive)
+            for x in calm[1:]:
+                known.join(int(calm[0]), int(x))
+            active = np.flatnonzero(~passive)
+            for place, x in enumerate(active):
+                rest = active[place + 1 :]
+                for y in rest[(sketch[rest] == sketch[x]).sum(1) >= least]:
+                    known.join(int(x), int(y))
+                if len(calm) and ((sketch[calm] == sketch[x]).sum(1) >= least).any():
+                    known.join(int(x), int(calm[0]))
+            found.append(stars(ids, known.roots()))
             waiting += len(found[-1][0])
             if waiting > 50_000:
                 yield from _pairs_out(found)
@@ -182,6 +199,24 @@ def _screen(percent: float):
     return run
 
 
+def _meets_pivot(k: int, percent: float):
+    """Of (rep, component, text, pivot's text): whether the two are linked, by full sets. Rows of one cluster follow each other, so a pivot's set is made once."""
+
+    def run(batches):
+        last, pivot = None, np.zeros(0, U)
+        for batch in batches:
+            out = []
+            clusters = batch.column(1).to_pylist()
+            for at, to, hashes, n in shingle_sets(batch.column(2), k):
+                for i, own in enumerate(np.split(hashes, np.cumsum(n)[:-1]), at):
+                    if clusters[i] != last:
+                        last, pivot = clusters[i], next(shingle_sets(batch.column(3).slice(i, 1), k))[2]
+                    out.append(bool(len(own)) and bool(len(pivot)) and bool(_linked([pivot, own], 0, np.array([1]), percent)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["rep", "component", "passive"])
+
+    return run
+
+
 def _linked(sets: list[np.ndarray], x: int, others: np.ndarray, percent: float) -> np.ndarray:
     """Which of the others have a similarity of at least percent to x, by full sets."""
     size = np.array([len(sets[o]) for o in others])
@@ -199,12 +234,15 @@ def _verify(k: int, percent: float):
         for table in groups(batches, 4):
             if len(table) < 2:
                 continue
-            ids, native, sketch = table.column(4).to_numpy(), table.column(5).to_numpy().astype(bool), _matrix(table.column(6))
+            ids, native, passive, sketch = table.column(4).to_numpy(), table.column(5).to_numpy().astype(bool), table.column(6).to_numpy(), _matrix(table.column(7))
             sets: list[np.ndarray] = []
-            for _, _, hashes, n in shingle_sets(table.column(7).combine_chunks(), k):
+            for _, _, hashes, n in shingle_sets(table.column(8).combine_chunks(), k):
                 sets += np.split(hashes, np.cumsum(n)[:-1])
             sizes = np.array([len(s) for s in sets])
             known = Sets(len(ids))
+            calm = np.flatnonzero(passive)
+            for x in calm[1:]:
+                known.join(int(calm[0]), int(x))
             order = np.argsort(~native, kind="stable")  # natives first: a guest meets natives only
             for place, x in enumerate(order[: int(native.sum())]):
                 rest = order[place + 1 :]
@@ -234,15 +272,18 @@ def _verify(k: int, percent: float):
     return run
 
 
-def _block_pairs(rows: DataFrame, blocks: Column, by: Column) -> DataFrame:
-    """Adds p <= q: with n blocks, a row of block s goes to the n pairs that name s, so any two rows of a group meet."""
-    own = F.pmod(F.xxhash64(by), blocks)
-    return (
-        rows.withColumns({"_s": own, "_n": blocks})
-        .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-        .withColumns({"p": F.least("_s", "_t"), "q": F.greatest("_s", "_t")})
-        .drop("_s", "_t", "_n")
-    )
+def _blocks(rows: DataFrame, by: Column, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """Adds p <= q, so that any two rows of a group (keys) of which one is active meet in some (p, q). rows have a column passive; a group without an active row goes.
+
+    Actives lie in the first blocks and passives in those after; an active row goes to every pair that names its block, a passive one to its block's pairs with active blocks.
+    """
+    share = F.lit(1.0 / BLOCK) if weight is None else F.greatest(F.lit(1.0 / BLOCK), weight / 1_500_000)
+    loads = rows.groupBy(*keys).agg(F.ceil(F.sum(F.when(~F.col("passive"), share))).alias("_a"), F.ceil(F.sum(F.when(F.col("passive"), share))).alias("_c"), F.count("*").alias("_n"))
+    loads = written(loads.where("_a is not null and _n > 1").select(*keys, "_a", F.coalesce("_c", F.lit(0).cast("bigint")).alias("_c")), "near-loads")
+    own = F.when(F.col("passive"), F.col("_a") + F.pmod(F.xxhash64(by), F.greatest("_c", F.lit(1)))).otherwise(F.pmod(F.xxhash64(by), F.col("_a")))
+    dealt = rows.join(loads, keys).withColumn("_s", own)
+    last = F.when(F.col("passive"), F.col("_a") - 1).otherwise(F.col("_a") + F.col("_c") - 1)
+    return dealt.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumns({"p": F.least("_s", "_t"), "q": F.greatest("_s", "_t")}).drop("_s", "_t", "_a", "_c")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,6 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     text has an empty set and is linked with nothing; nor is a row without doc_id, whose component_id is null and which is kept. Rows that share a doc_id count as one node of the graph, each with a row of its own. An empty table gives an empty one;
     further columns, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>, sketch binary"
     each = written(rows.mapInArrow(_sketch_batches(k), schema), "near-sketches")
@@ -264,24 +306,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     in_band = classes.select(F.explode("bands").alias("band"), "rep")
     buckets = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "least", "members").agg(F.min("band").alias("band"))  # the same texts meet in many bands: once is enough
-    in_bucket = in_band.join(buckets.select("band", "n"), "band")
-    in_block = _block_pairs(in_bucket, F.ceil(F.col("n") / BLOCK), F.col("rep")).join(classes.select("rep", "sketch"), "rep")
-    screened = in_block.select("band", "p", "q", "rep", "sketch").repartition(parts(docs), "band", "p", "q").sortWithinPartitions("band", "p", "q")
-    clusters = connected_components(screened.mapInArrow(_screen(percent), "a bigint, b bigint"))
-
+    sketch = classes.select("rep", "sketch")
+    pivots = sketch.select(F.col("rep").alias("least"), F.col("sketch").alias("pivot"))
+    in_bucket = in_band.join(buckets.select("band", "least"), "band").join(sketch, "rep").join(pivots, "least").select("band", "least", "rep", "sketch", "pivot")
+    in_bucket = written(in_bucket.mapInArrow(_near_pivot(percent), "band bigint, least bigint, rep bigint, passive boolean"), "near-buckets")
+    to_pivot = in_bucket.where("passive and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    screened = _blocks(in_bucket.select("band", "rep", "passive"), F.col("rep"), ["band"]).join(sketch, "rep").select("band", "p", "q", "rep", "passive", "sketch")
+    screened = screened.repartition(parts(docs), "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    clusters = connected_components(to_pivot.union(screened.mapInArrow(_screen(percent), "a bigint, b bigint")))
+
+    texts = rows.withColumnRenamed("doc_id", "rep")
+    members = written(clusters.select(F.col("node").alias("rep"), "component").join(texts, "rep"), "near-members")
+    pivots = members.where("rep = component").select("component", F.col("text").alias("pivot"))
+    met = members.join(pivots, "component").select("rep", "component", "text", "pivot").mapInArrow(_meets_pivot(k, percent), "rep bigint, component bigint, passive boolean")
+    met = written(met, "near-met")
+    to_pivot = met.where("passive and rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
     width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1e-9
-    members = clusters.join(classes.drop("bands"), clusters.node == classes.rep).select("rep", "component", "n_shingles", "sketch")
-    members = members.withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / width))
-    dealt = members.select("*", F.explode(F.array(F.struct(F.col("size").alias("g"), F.lit(1).alias("native")), F.struct((F.col("size") - 1).alias("g"), F.lit(0).alias("native")))).alias("to"))
-    dealt = dealt.select("component", F.col("to.g").alias("g"), F.col("to.native").alias("native"), "rep", "n_shingles", "sketch")
-    loads = dealt.groupBy("component", "g").agg(F.count("*").alias("n"), F.sum("native").alias("natives"), F.sum("n_shingles").alias("load")).where("n > 1 and natives > 0")
-    loads = written(loads, "near-loads")  # a table of its own, so that the join below may split a cluster with very many rows
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("load") / 1_500_000))
-    dealt = dealt.drop("n_shingles").join(loads, ["component", "g"])
-    dealt = _block_pairs(dealt, blocks, F.col("rep")).join(rows.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = dealt.select("component", "g", "p", "q", "rep", "native", "sketch", "text")
+    sized = met.join(classes.select("rep", "n_shingles"), "rep").withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / width))
+    both = F.array(F.struct(F.col("size").alias("g"), F.lit(1).alias("native")), F.struct((F.col("size") - 1).alias("g"), F.lit(0).alias("native")))
+    dealt = sized.select("component", "rep", "passive", "n_shingles", F.explode(both).alias("to")).select("component", F.col("to.g").alias("g"), F.col("to.native").alias("native"), "rep", "passive", "n_shingles")
+    dealt = _blocks(dealt, F.col("rep"), ["component", "g"], F.col("n_shingles")).join(sketch, "rep").join(members.select("rep", "text"), "rep")
+    dealt = dealt.select("component", "g", "p", "q", "rep", "native", "passive", "sketch", "text")
     dealt = dealt.repartition(parts(docs), "component", "g", "p", "q").sortWithinPartitions("component", "g", "p", "q")
-    links = connected_components(dealt.mapInArrow(_verify(k, percent), "a bigint, b bigint"))
+    links = connected_components(to_pivot.union(dealt.mapInArrow(_verify(k, percent), "a bigint, b bigint")))
 
     of_class = classes.select(*alike, "rep").join(links, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

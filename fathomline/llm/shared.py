@@ -43,6 +43,9 @@ def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def executor_pure(function):
-    """Functions of this package go to executors by value, so that executors need not have the package itself."""
-    return function
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of rows that hold whole texts: Spark's default of 10,000 rows a batch takes several times the memory in executors and their Python. A value that
+    the user has set to something else stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
