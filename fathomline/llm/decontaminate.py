@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import text_of
+from fathomline.llm.shared import small_batches, text_of
 
 SAMPLE = 8
 SHARD_BYTES = 24 << 20
@@ -192,12 +192,25 @@ def _shard(symbols: np.ndarray, n_words: np.ndarray, table: dict) -> tuple[list,
 OUT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
+def _gathered(batches):
+    """Batches of about SHARD_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SHARD_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _search(table_at, keep: list[int]):
     def run(batches):
         table = table_at.value
         vocabulary = table["vocabulary"]
         names = table["names"]
-        for batch in batches:
+        for batch in _gathered(batches):
             texts = batch.column(0)
             for at, to in W.pieces(texts, SHARD_BYTES):
                 symbols, counts = [], []
@@ -231,6 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_i
     item_id counts as ''; items of the same id count as one. Repeated rows give a row each. With more than phrase_bytes of benchmark text the items are dealt into blocks by a hash of their id, searched block
     by block, and merged by row.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), text_of(text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

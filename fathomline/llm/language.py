@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
+from fathomline.llm.shared import small_batches
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -162,6 +163,7 @@ def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: st
     A text that is null or has no letter, and every text if nothing is labelled, gets `und` and 0. Only the text is an input. Texts of any length are read whole, window by
     window; repeated rows give repeated rows; an empty table an empty one.
     """
+    small_batches(docs.sparkSession)
     names, model = fit(labelled, text, lang)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep if c != text]  # a text that is kept goes to Python and back once

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
+from fathomline.llm.shared import small_batches
 
 WORDS = 1 << 15
 LEVELS = 16
@@ -135,6 +136,7 @@ def _scored(model_at):
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", chars: str | None = "n_chars", sample: int = SAMPLE) -> dict:
     """A model from about `sample` labelled rows, chosen by a hash of their key; rows with a null label or key don't count."""
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("y"))
     n = marks.count()
     marks = marks.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) < min(1.0, sample / max(n, 1)) * 1_000_003)
@@ -162,6 +164,7 @@ def quality(docs: DataFrame, model: dict, text: str = "text", chars: str | None
     Null texts count as empty, and empty ones get a score from their statistics; without any labels all scores are the same. Whole texts are read; repeated rows
     give repeated rows; an empty table an empty one.
     """
+    small_batches(docs.sparkSession)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), _chars(docs, chars), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)))
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))

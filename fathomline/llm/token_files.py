@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import tokens
-from fathomline.llm.shared import new_path, parts, text_of
+from fathomline.llm.shared import new_path, parts, small_batches, text_of
 
 MAGIC = b"FLTOKEN1"
 FRAME_IDS = 1 << 16
@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, folder: str | N
     Null texts count as empty and give `end` alone; rows that repeat a doc_id follow each other, ordered by their text's hash; a null doc_id counts as NO_ID; an empty table
     writes no file.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     content_at = spark.sparkContext.broadcast(tokens.load(tokenizer_path))
