@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,10 @@ def parts(df: DataFrame) -> int:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of rows that hold whole texts: Spark's default of 10,000 rows a batch takes several times the memory in executors and their Python. A value that
     the user has set to something else stays."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment  # where driver and executors share a file system, executors' Python finds this package as the driver does
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
