@@ -7,8 +7,8 @@ on either side of a masked word and predicts its token in two steps, the token's
 
 A document's score is the sum of log p over all its words, each predicted from both sides.
 
-Words are counted over all documents, and c and d start from these counts. Training goes over all documents too: every task trains, from the weights of the round before, on one in EVERY of the windows of each of its documents, and the tasks' weights are
-averaged by blocks in Spark, in two steps so that no task gathers all; only the average, of fixed size, reaches the driver.
+Words are counted over all documents, and c and d start from these counts. Training goes over all windows of all documents: in round r every task trains, from the weights of the round before, on the windows whose place in their own text leaves r when divided by the
+number of rounds, so that each window is used in one round, however rows are batched. The tasks' weights are averaged by blocks in Spark, in two steps so that no task gathers all; only the average, of fixed size, reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ GROUPS, PLACES = 64, 64
 VOCABULARY = GROUPS * PLACES
 OWN = VOCABULARY // 2  # token 0 stands beyond the ends of a text, 1 to OWN - 1 are words, the rest are shared
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-EVERY, ROUNDS, BATCH, RATE = 24, 2, 128, 0.2
+ROUNDS, BATCH, RATE = 2, 128, 0.2
 BLOCK = 8192
 SPREAD = 32
 SHAPES = {"e": (VOCABULARY, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "g": (HIDDEN, GROUPS), "gb": (GROUPS,), "u": (GROUPS, HIDDEN), "p": (HIDDEN, PLACES), "pb": (GROUPS, PLACES)}
@@ -122,19 +122,19 @@ def train(flat: np.ndarray, around: np.ndarray, target: np.ndarray, seen: np.nda
         back_inner = second @ m["p"].T
         back = (first @ m["g"].T + back_inner) * (1 - h * h)
         steps = {"g": h.T @ first, "gb": first.sum(0), "p": inner.T @ second, "w": x.T @ back, "b": back.sum(0)}
-        du = np.zeros_like(m["u"])
-        np.add.at(du, t // PLACES, back_inner)
-        dp = np.zeros_like(m["pb"])
-        np.add.at(dp, t // PLACES, second)
-        steps |= {"u": du, "pb": dp}
-        own, where = np.unique(a, return_inverse=True)
-        de = np.zeros((len(own), WIDTH), np.float32)
-        np.add.at(de, where.ravel(), (back @ m["w"].T).reshape(-1, WIDTH))
+        of_group = np.zeros((GROUPS, n), np.float32)
+        of_group[t // PLACES, row] = 1
+        steps |= {"u": of_group @ back_inner, "pb": of_group @ second}
+        order = np.argsort(a, axis=None)
+        tokens = a.ravel()[order]
+        first_of = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        own, de = tokens[first_of], np.add.reduceat((back @ m["w"].T).reshape(-1, WIDTH)[order], first_of)
         for name, g in steps.items():
             s[name][...] += g * g
             m[name][...] -= RATE * g / np.sqrt(s[name] + 1e-8)
-        s["e"][own] += de * de
-        m["e"][own] -= RATE * de / np.sqrt(s["e"][own] + 1e-8)
+        so_far = s["e"][own] + de * de
+        s["e"][own] = so_far
+        m["e"][own] -= RATE * de / np.sqrt(so_far + 1e-8)
 
 
 def _worded(column: pa.Array):
@@ -153,7 +153,13 @@ def _counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000])], ["word", "n"])
 
 
-def _trained(top_at, flat_at):
+def windows_of(counts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which words' windows a round trains on: those at every rounds-th place of their own text, from turn on. All rounds together use each window once."""
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.flatnonzero(place % rounds == turn)
+
+
+def _trained(top_at, flat_at, turn: int, rounds: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -162,8 +168,7 @@ def _trained(top_at, flat_at):
             for _, _, hashes, n in _worded(batch.column(0)):
                 tokens = tokens_of(hashes, top)
                 around = contexts(tokens, n)
-                # one in EVERY places of each text, chosen by what stands there
-                chosen = np.flatnonzero(W.mix(hashes + np.arange(len(hashes), dtype=np.uint64)) % np.uint64(EVERY) == 0)
+                chosen = windows_of(n, turn, rounds)
                 train(flat, around[chosen], tokens[chosen], seen)
                 windows += len(chosen)
         if windows:
@@ -213,8 +218,8 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.n
     for r in counts.mapInArrow(_token_counts(top_at), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         of_token[r["token"]] = r["n"]
     flat = start(of_token)
-    for _ in range(rounds):
-        each = rows.mapInArrow(_trained(top_at, sc.broadcast(flat)), PARTS)
+    for turn in range(rounds):
+        each = rows.mapInArrow(_trained(top_at, sc.broadcast(flat), turn, rounds), PARTS)
         some = each.repartition(SPREAD, "block", "spread").mapInArrow(_summed, PARTS).withColumn("spread", F.lit(0).cast("bigint"))
         whole = {r["block"]: np.frombuffer(r["sums"]) / r["windows"] for r in some.repartition(8, "block").mapInArrow(_summed, PARTS).collect()}
         if whole:

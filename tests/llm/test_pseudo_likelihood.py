@@ -69,6 +69,18 @@ def test_contexts_end_with_texts():
     assert P.contexts(np.array([1, 2, 3, 4]), np.array([1, 0, 3])).tolist() == [[0, 0, 0, 0], [0, 0, 3, 4], [0, 2, 4, 0], [2, 3, 0, 0]]
 
 
+def test_every_window_trains_once(spark):
+    texts = ["a b c", "d", None, "e f", "", "g h i j k l m"] * 40
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    at = spark.sparkContext.broadcast
+    top, flat = at(np.zeros(0, np.uint64)), at(P.start(np.ones(P.VOCABULARY)))
+    used = [docs.mapInArrow(P._trained(top, flat, turn, 3), P.PARTS).where("block = 0").agg(F.sum("windows")).first()[0] for turn in range(3)]
+    assert used == [6 * 40, 4 * 40, 3 * 40]
+    counts = np.array([3, 0, 1, 7])
+    assert sorted(np.concatenate([P.windows_of(counts, turn, 4) for turn in range(4)]).tolist()) == list(range(11))
+    assert P.windows_of(np.array([3, 1, 7]), 1, 4).tolist() == [1, 5, 9]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert P.scores(none, P.fit(none)).collect() == []
