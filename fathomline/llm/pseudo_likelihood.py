@@ -5,7 +5,9 @@ on either side of a masked word and predicts its token in two steps, the token's
 
     h = tanh(W [e(left words), e(right words)] + b);  p(token) = softmax(G h + c)[group] * softmax(P (h + u(group)) + d(group))[place]
 
-A document's score is the sum of log p over all its words, each predicted from both sides.
+Which word of a shared token's it is follows from the words' counts alone, p(word | token) = n(word) / (n(token) + 1), where all words that were never counted share the count of 1. A word with a token of its own has 1.
+
+A document's score is the sum of log p(token) + log p(word | token) over all its words, each predicted from both sides. The counts of the commonest words, at most LISTED, go to every task; those of all others are joined by hash.
 
 Words are counted over all documents, and c and d start from these counts. Training goes over all windows of all documents: in round r every task trains, from the weights of the round before, on the windows whose place in their own text leaves r when divided by the
 number of rounds, so that each window is used in one round, however rows are batched. The tasks' weights are averaged by blocks in Spark, in two steps so that no task gathers all; only the average, of fixed size, reaches the driver.
@@ -27,6 +29,7 @@ OWN = VOCABULARY // 2  # token 0 stands beyond the ends of a text, 1 to OWN - 1
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 128, 0.2
 BLOCK = 8192
+LISTED = 1 << 18
 SPREAD = 32
 SHAPES = {"e": (VOCABULARY, WIDTH), "w": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "g": (HIDDEN, GROUPS), "gb": (GROUPS,), "u": (GROUPS, HIDDEN), "p": (HIDDEN, PLACES), "pb": (GROUPS, PLACES)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -206,18 +209,29 @@ def _token_counts(top_at):
 PARTS = "block bigint, spread bigint, windows bigint, sums binary"
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the words with tokens of their own, weights) from all documents. Equally frequent words are taken by their hash."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the hashes of all words of docs, and how often each occurs."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(text_of(text).alias("text"))
+    return written(rows.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def token_counts(counts: DataFrame, top_at) -> np.ndarray:
+    out = np.zeros(VOCABULARY)
+    for r in counts.mapInArrow(_token_counts(top_at), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = r["n"]
+    return out
+
+
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of the words with tokens of their own, weights) from all documents. Equally frequent words are taken by their hash. counts: word_counts of docs, if they are there already."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(text_of(text).alias("text"))
-    counts = written(rows.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = word_counts(docs, text) if counts is None else counts
     top = np.sort(np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(OWN - 1).collect()], np.int64).view(np.uint64))
     top_at = sc.broadcast(top)
-    of_token = np.zeros(VOCABULARY)
-    for r in counts.mapInArrow(_token_counts(top_at), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        of_token[r["token"]] = r["n"]
-    flat = start(of_token)
+    flat = start(token_counts(counts, top_at))
     for turn in range(rounds):
         each = rows.mapInArrow(_trained(top_at, sc.broadcast(flat), turn, rounds), PARTS)
         some = each.repartition(SPREAD, "block", "spread").mapInArrow(_summed, PARTS).withColumn("spread", F.lit(0).cast("bigint"))
@@ -227,30 +241,77 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[np.n
     return top, flat
 
 
-def _scored(model_at):
+def listed_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes of at most LISTED words, their counts, least): all words that occur least times or more. Below 2, words beyond them occur once at most."""
+    least, so_far = 1, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        so_far += r["words"]
+        if so_far > LISTED:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= max(least, 2)).select("word", "n").toArrow()
+    words, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order], least
+
+
+def in_token(hashes: np.ndarray, tokens: np.ndarray, listed: np.ndarray, logs: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log p(word | token) of each word, with a count of 1 for words that aren't listed; which words of shared tokens aren't listed). logs: of the listed words' counts; whole: log(n(token) + 1)."""
+    out, shared = np.zeros(len(hashes)), np.flatnonzero(tokens >= OWN)
+    out[shared] = -whole[tokens[shared]]
+    if not len(listed):
+        return out, shared
+    own = hashes[shared]
+    place = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+    known = listed[place] == own
+    out[shared[known]] += logs[place[known]]
+    return out, shared[~known]
+
+
+def _scored(model_at, apart: bool):
     def run(batches):
-        top, flat = model_at.value
-        model = Model(flat)
+        from pyspark import TaskContext
+
+        top, flat, *counted = model_at.value
+        model, key = Model(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, to, hashes, n in _worded(batch.column(0)):
-                tokens, total = tokens_of(hashes, top), np.zeros(len(hashes))
+                tokens = tokens_of(hashes, top)
                 around = contexts(tokens, n)
+                total, rest = in_token(hashes, tokens, *counted)
                 for i in range(0, len(tokens), 4096):
-                    total[i : i + 4096] = model(around[i : i + 4096], tokens[i : i + 4096])
-                ends = np.concatenate([[0.0], np.cumsum(total)])[np.concatenate([[0], np.cumsum(n)])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(1, batch.num_columns)), pa.array(n.astype(np.int64)), pa.array(np.diff(ends))], [*batch.schema.names[1:], "n_words", "log_likelihood"])
+                    total[i : i + 4096] += model(around[i : i + 4096], tokens[i : i + 4096])
+                first = np.concatenate([[0], np.cumsum(n)])
+                ends = np.concatenate([[0.0], np.cumsum(total)])[first]
+                out = {c: batch.column(i).slice(at, to - at) for i, c in enumerate(batch.schema.names) if i} | {"n_words": pa.array(n.astype(np.int64)), "log_likelihood": pa.array(np.diff(ends))}
+                if apart:
+                    out |= {"_key": pa.array(key + np.arange(to - at)), "_rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, first).astype(np.int32)), pa.array(hashes[rest].view(np.int64)))}
+                    key += to - at
+                yield pa.RecordBatch.from_arrays([*out.values()], [*out])
 
     return run
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, log_likelihood (sum over words, 0 without any), mean_log_likelihood (null without any).
 
-    Words are parted by \\\\x20 and \\\\x09-\\\\x0D and A-Z count as a-z. Null and empty texts have no words; texts of any length are read whole; repeated rows give repeated rows; an empty table an empty one, and a model of one
-    keeps its starting weights. Other columns aren't read.
+    counts: word_counts of the documents that the model is from; without it, words are counted over docs. Words are parted by \\x20 and \\x09-\\x0D and A-Z count as a-z. Null and empty texts have no words; texts of any length
+    are read whole; repeated rows give repeated rows; an empty table an empty one, and a model of one keeps its starting weights. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    model_at = docs.sparkSession.sparkContext.broadcast(model)
+    sc = docs.sparkSession.sparkContext
+    counts = word_counts(docs, text) if counts is None else counts
+    top, flat = model
+    whole = np.log(token_counts(counts, sc.broadcast(top)) + 1)
+    listed, n, least = listed_counts(counts)
+    apart = least > 2
+    model_at = sc.broadcast((top, flat, listed, np.log(n), whole))
     rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    found = rows.mapInArrow(_scored(model_at), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, log_likelihood double")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, log_likelihood double"
+    found = rows.mapInArrow(_scored(model_at, apart), schema + (", _key bigint, _rest array<bigint>" if apart else ""))
+    if apart:
+        found = written(found, "token-scores")
+        others = found.select("_key", F.explode("_rest").alias("word")).join(counts.where((F.col("n") > 1) & (F.col("n") < least)), "word")
+        more = others.groupBy("_key").agg(F.sum(F.log(F.col("n").cast("double"))).alias("_more"))
+        found = found.join(more, "_key", "left").select("doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))).alias("log_likelihood"))
     return found.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", F.nullif("n_words", F.lit(0).cast("bigint"))))

@@ -66,7 +66,8 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return pseudo_likelihood.scores(docs, pseudo_likelihood.fit(docs))
+    counts = pseudo_likelihood.word_counts(docs)
+    return pseudo_likelihood.scores(docs, pseudo_likelihood.fit(docs, counts=counts), counts=counts)
 
 
 def op7_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Masked pseudo-likelihood against a plain implementation, and that it learns."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm import pseudo_likelihood as P
@@ -81,6 +84,26 @@ def test_every_window_trains_once(spark):
     assert P.windows_of(np.array([3, 1, 7]), 1, 4).tolist() == [1, 5, 9]
 
 
+@pytest.mark.parametrize("listed", [1 << 18, 40, 0])
+def test_scores_are_of_words_not_of_shared_tokens(spark, monkeypatch, listed):
+    monkeypatch.setattr(P, "LISTED", listed)
+    common = " ".join(f"w{i}" for i in range(P.OWN - 1) for _ in range(9))
+    texts = [common] + [f"w1 r{i % 60} w2 r{i % 7}" for i in range(240)] + ["w1 once w2", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts, (top, flat) = P.word_counts(docs), P.fit(docs)
+    n = Counter(" ".join(t or "" for t in texts).split())
+    token = {w: int(P.tokens_of(hashed(w), top)[0]) for w in [*n, "never"]}
+    shared = Counter()
+    for w, times in n.items():
+        shared[token[w]] += times
+    inner = lambda t: sum(math.log(max(n[w], 1) / (shared[token[w]] + 1)) for w in (t or "").split() if token[w] >= P.OWN)
+    for r in P.scores(docs, (top, flat), counts=counts).collect():
+        words, of_tokens = plain(texts[r.doc_id], top, flat)
+        assert r.n_words == words and np.isclose(r.log_likelihood, of_tokens + inner(texts[r.doc_id]), rtol=1e-3, atol=1e-3)
+    new = spark.createDataFrame([(0, "w1 never w2")], "doc_id bigint, text string")
+    assert np.isclose(P.scores(new, (top, flat), counts=counts).first().log_likelihood, plain("w1 never w2", top, flat)[1] + inner("w1 never w2"), rtol=1e-3)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert P.scores(none, P.fit(none)).collect() == []
