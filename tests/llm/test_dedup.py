@@ -108,6 +108,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+@pytest.mark.parametrize("reach", [1, 4])
+def test_components_of_long_chains(spark, reach):
+    ids = list(range(3000))
+    random.Random(reach).shuffle(ids)
+    links = [(ids[i], ids[i + d]) for i in range(3000) for d in range(1, reach + 1) if i + d < 3000 and i // 2500 == (i + d) // 2500]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: min(part) for part in (ids[:2500], ids[2500:]) for x in part}
+
+
 def test_exact_duplicates(spark):
     docs = [(9, "a  b", 1), (2, "a\tb", 1), (5, "a b", 2), (2, "a\nb", 3), (7, None, 1), (8, "", 1), (4, "c", 1), (None, "c", 1), (None, "d", 1), (11, "x" * 3_000_000, 0), (12, "x" * 3_000_000, 0)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, _hash int")
