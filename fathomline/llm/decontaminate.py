@@ -5,7 +5,7 @@ by prefix doubling, and the Burrows-Wheeler transform goes into a wavelet matrix
 once. Matched rows walk back to sampled suffix positions, which name documents and words; a document's occurrences merge into removal spans.
 Segments shorter than the shortest phrase can't hold one and are left out. Nothing is shuffled.
 
-The phrases of a block of benchmark items are broadcast; a block's size is bounded (phrase_bytes), and a larger benchmark takes several passes.
+The phrases of a block of benchmark items are broadcast; a block's size is bounded (phrase_bytes), and a larger benchmark takes several passes over the rows, which carry what earlier passes found.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import small_batches, text_of
+from fathomline.llm.shared import numbered, renamed, small_batches, text_of, with_fields, written
 
 SAMPLE = 8
 SHARD_BYTES = 24 << 20
+#: Rows that go back to Spark at once, and words of a piece of a long item.
+OUT_ROWS, PIECE_WORDS = 1000, 1 << 15
 
 
 def suffix_array(values: np.ndarray) -> np.ndarray:
@@ -190,6 +192,7 @@ def _shard(symbols: np.ndarray, n_words: np.ndarray, table: dict) -> tuple[list,
 
 
 OUT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _gathered(batches):
@@ -205,7 +208,20 @@ def _gathered(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _search(table_at, keep: list[int]):
+def merged(spans: list[dict]) -> list[dict]:
+    """Spans of words by start; those that overlap or touch become one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
+
+
+def _search(table_at, keep: list[int], earlier: bool, clean_only: bool):
+    """keep: places of the columns that are returned; the first column is the text. earlier: the last two columns are the spans and items of earlier passes."""
+
     def run(batches):
         table = table_at.value
         vocabulary = table["vocabulary"]
@@ -227,57 +243,69 @@ def _search(table_at, keep: list[int]):
                     counts.append(n)
                 n_words = np.concatenate(counts)
                 spans, owners = _shard(np.concatenate(symbols), n_words, table)
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, to - at) for i in keep), pa.array(n_words.astype(np.int64)), pa.array(spans, kind), pa.array([[names[o] for o in x] for x in owners], pa.list_(pa.string()))],
-                    [*(batch.schema.names[i] for i in keep), "n_words", "spans", "items"],
-                )
+                items = [[names[o] for o in x] for x in owners]
+                if earlier:
+                    before, had = (batch.column(i).slice(at, to - at).to_pylist() for i in (-2, -1))
+                    spans = [merged(x + y) if x and y else x or y for x, y in zip(before, spans, strict=True)]
+                    items = [sorted({*x, *y}) for x, y in zip(had, items, strict=True)]
+                columns = [*(batch.column(i).slice(at, to - at) for i in keep), pa.array(n_words.astype(np.int64)), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays(columns, [*(f"_{i}" for i in range(len(keep))), "n_words", "spans", "items"])
+                if clean_only:
+                    out = out.filter(pa.array([not x for x in spans], pa.bool_()))
+                for i in range(0, out.num_rows, OUT_ROWS):
+                    yield out.slice(i, OUT_ROWS)
 
     return run
 
 
+def _blocks(items: DataFrame, phrase_bytes: int, length: int):
+    """Lists of (item_id, text) of at most phrase_bytes each, one after the other. Items of many words are cut into pieces that overlap by length - 1 words, so that each window lies in one; the rest is dealt by a hash of
+    id and text, into more blocks until none is too large."""
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    step = max(length, min(PIECE_WORDS, phrase_bytes // 256))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (length - 1), F.lit(1)), F.lit(step))
+    long = items.where(F.octet_length("text") > 64 * step).withColumn("_words", words).withColumn("_at", F.explode(starts)).select("item_id", F.array_join(F.slice("_words", F.col("_at"), F.lit(step + length - 1)), " ").alias("text"))
+    items = items.where(F.octet_length("text") <= 64 * step).union(long)
+    weight = F.octet_length("text") + F.octet_length("item_id") + 64
+    size, most = items.agg(F.sum(weight), F.max(weight)).first()
+    if (most or 0) > phrase_bytes:
+        raise ValueError(f"a piece of {step + length - 1} words takes {most} bytes, more than phrase_bytes")
+    blocks = max(1, -(-(size or 0) // phrase_bytes))
+    block = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    while blocks > 1 and items.distinct().groupBy(block(blocks).alias("block")).agg(F.sum(weight).alias("size")).agg(F.max("size")).first()[0] > phrase_bytes:
+        blocks *= 2
+    for b in range(blocks):
+        yield b + 1 == blocks, [tuple(r) for r in (items.distinct().where(block(blocks) == b) if blocks > 1 else items).collect()]
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, length: int, text: str, item_id: str, phrase_bytes: int, keep: list[str], clean_only: bool) -> DataFrame:
+    """The columns `keep` as _0 and so on, with n_words, spans and items; with clean_only, only rows without spans."""
+    small_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), text_of(text).alias("text"))
+    every = [text, *(c for c in keep if c != text)]  # a text that is kept goes to Python and back once
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("_0"), *numbered(docs, every)[0][1:])
+    for place, (last, block) in enumerate(_blocks(items, phrase_bytes, length)):
+        table, out = sc.broadcast(phrase_table(block, length)), keep if last else every
+        found = rows.mapInArrow(_search(table, [every.index(c) for c in out], place > 0, clean_only), with_fields(numbered(docs, out)[1], OUT))
+        if not last:  # the tables of several passes don't meet in one task
+            found = written(found, "contamination")
+            rows = found.drop("n_words")
+    return found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", phrase_bytes: int = 32 << 20) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged [start, end) in words), items.
 
-    Words: [^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+ with A-Z in lower case. A window is `length` consecutive words of an item; an item of fewer words, but not none, is one
+    Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z in lower case. A window is `length` consecutive words of an item; an item of fewer words, but not none, is one
     window. A word of a text inside any occurrence of a window is hit. Null or empty texts have no words; an empty benchmark, or one without words, hits nothing; a null
-    item_id counts as ''; items of the same id count as one. Repeated rows give a row each. With more than phrase_bytes of benchmark text the items are dealt into blocks by a hash of their id, searched block
-    by block, and merged by row.
+    item_id counts as ''; items of the same id count as one. Repeated rows give a row each. With more than phrase_bytes of benchmark text the items are dealt into blocks, none larger than that, searched block
+    by block, and merged as the row goes by.
     """
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), text_of(text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // phrase_bytes))
-    rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        table = spark.sparkContext.broadcast(phrase_table([tuple(r) for r in part.collect()], length))
-        if blocks == 1:
-            passes.append(rows.mapInArrow(_search(table, [1]), f"doc_id {kind}, {OUT}"))
-        else:
-            passes.append(rows.withColumn("_text", F.xxhash64("text")).mapInArrow(_search(table, [1, 2]), f"doc_id {kind}, _text bigint, {OUT}").withColumn("_block", F.lit(b)))
-    if blocks == 1:
-        found = passes[0]
-    else:
-        every = passes[0]
-        for x in passes[1:]:
-            every = every.union(x)
-        found = every.groupBy("doc_id", "_text", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum((F.col("_block") == 0).cast("int")).alias("_times")
-        )
-        found = found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        merged = F.aggregate(
-            F.array_sort("spans"),
-            F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-            lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-        )
-        found = found.withColumn("spans", merged)
+    found = _searched(docs, benchmark, length, text, item_id, phrase_bytes, [doc_id], False)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
     return found.select(
-        "doc_id",
+        F.col("_0").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -286,3 +314,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_i
         "spans",
         F.array_sort("items").alias("items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text", item_id: str = "item_id", phrase_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs that hold no window of any item, with all their columns, whatever their names. A row is judged by its own text alone, so null and repeated ids don't matter, and nothing is shuffled;
+    null and empty texts stay; edge cases of items are as in contamination()."""
+    found = _searched(docs, benchmark, length, text, item_id, phrase_bytes, docs.columns, True)
+    return found.select(renamed(found, docs.columns))

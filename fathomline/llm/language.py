@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import small_batches
+from fathomline.llm.shared import numbered, renamed, small_batches, with_fields
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -136,18 +136,18 @@ def _predict(model_at, names: list[str], keep: list[int]):
 
 
 def fit(labelled: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], dict]:
-    """(languages, model) from about per_language texts of each language at most, chosen by a hash of the text; of each, one window's bytes from a
-    place that the hash chooses, so that about languages * per_language * WINDOW bytes reach the driver. A language's share of rows doesn't matter."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """(languages, model) from about per_language different texts of each language, and no more than twice that, chosen by a hash of the text; of each, one window's bytes from a
+    place that the hash chooses, so that about languages * per_language * WINDOW bytes reach the driver. A language's share of rows doesn't matter, nor do copies of a text."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     names = sorted(counts)
     if not names:
         return [], {}
-    share = F.create_map(*[F.lit(v) for name in names for v in (name, min(1.0, per_language / counts[name]))])
-    h = F.xxhash64("text")
-    rows = rows.where(F.pmod(h, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    at = 1 + F.pmod(F.xxhash64(h), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))
-    got = rows.select("lang", F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("text")).collect()
+    share = F.create_map(*[F.lit(v) for name in names for v in (name, min(1.0, per_language / max(counts[name], 1)))])
+    rows = rows.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    at = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))
+    some = rows.select("lang", "h", F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("text")).dropDuplicates(["lang", "h"])
+    got = some.orderBy("h", "lang").limit(2 * per_language * len(names)).select("lang", "text").collect()
     got.sort()
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, r in enumerate(got):
@@ -157,19 +157,30 @@ def fit(labelled: DataFrame, text: str, lang: str, per_language: int = PER_LANGU
     return names, train(x, y, len(names))
 
 
-def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of each row of docs, with lang_pred (a language of `labelled`) and score (its probability, 0 to 1).
-
-    A text that is null or has no letter, and every text if nothing is labelled, gets `und` and 0. Only the text is an input. Texts of any length are read whole, window by
-    window; repeated rows give repeated rows; an empty table an empty one.
-    """
+def _found(docs: DataFrame, labelled: DataFrame, text: str, lang: str, keep: list[str] | tuple[str, ...]) -> DataFrame:
+    """The columns `keep` as _0 and so on, lang_pred and score."""
     small_batches(docs.sparkSession)
     names, model = fit(labelled, text, lang)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep if c != text]  # a text that is kept goes to Python and back once
-    own = [F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")]
-    rows = docs.select(*own, *(F.col(f"`{c}`") for c in others))
+    own = [F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")]
+    rows = docs.select(*own, *numbered(docs, others)[0])
     places = [0 if c == text else 2 + others.index(c) for c in keep]
-    kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = rows.mapInArrow(_predict(model_at, names, places), ", ".join(filter(None, [kinds, "lang_pred string, score double"])))
-    return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return rows.mapInArrow(_predict(model_at, names, places), with_fields(numbered(docs, keep)[1], "lang_pred string, score double"))
+
+
+def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of each row of docs, with lang_pred (a language of `labelled`) and score (its probability, 0 to 1).
+
+    A text that is null or has no letter, and every text if nothing is labelled, gets `und` and 0. Only the text is an input. Texts of any length are read whole, window by
+    window; repeated rows give repeated rows; an empty table an empty one. Columns of `keep` may have any names; lang_pred and score come after them.
+    """
+    found = _found(docs, labelled, text, lang, keep)
+    return found.select(*renamed(found, keep), "lang_pred", "score")
+
+
+def known_languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose language isn't `und`, with all their columns, whatever their names. A row is judged by its own text alone, so null and repeated ids don't matter."""
+    found = _found(docs, labelled, text, lang, docs.columns)
+    found = found.where(found.lang_pred != UNKNOWN)
+    return found.select(renamed(found, docs.columns))

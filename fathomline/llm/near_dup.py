@@ -334,3 +334,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     rows = each.select("doc_id", *alike).join(of_class, alike, "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies, with all its columns: of each group of rows that chains of links connect, the row of the smallest doc_id stays.
+
+    Each row is a node of its own, under a key that is written with it, so rows that share a doc_id are told apart. Null doc_ids come after all others; of rows with the same smallest doc_id
+    the first as they were written stays. Null, empty and blank texts are linked with nothing and stay, repeated ones too; an empty table gives an empty one; columns may have any names.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows")
+    linked = near_duplicates(rows, k, percent, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(key), "component_id")
+    linked = written(linked, "near-linked")
+    members = linked.union(linked.select("component_id").distinct().select(F.col("component_id").alias(key), "component_id"))
+    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("null"), F.col(f"`{doc_id}`").alias("id"), F.col(key).alias("key"))
+    stay = members.join(rows.select(key, order.alias("_order")), key).groupBy("component_id").agg(F.min("_order").alias("_first"))
+    gone = members.select(key).join(stay.select(F.col("_first.key").alias(key)), key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,12 +9,15 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (one machine, as in tests) a new folder is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder is set on one machine (as in tests), and on a cluster it's an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,6 +43,22 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def numbered(docs: DataFrame, names: list[str] | tuple[str, ...]) -> tuple[list[Column], list[StructField]]:
+    """Columns of docs as _0, _1 and so on, and their fields: under names of their own they clash with nothing on their way through an operator."""
+    fields = [docs.schema[n] for n in names]
+    return [F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)], [StructField(f"_{i}", f.dataType, True) for i, f in enumerate(fields)]
+
+
+def renamed(found: DataFrame, names: list[str] | tuple[str, ...]) -> list[Column]:
+    """The numbered columns under their names again."""
+    return [found[f"_{i}"].alias(n) for i, n in enumerate(names)]
+
+
+def with_fields(fields: list[StructField], ddl: str) -> StructType:
+    """Fields, and those of a DDL string after them."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def parts(df: DataFrame) -> int:
     """As many partitions as the session's shuffles have."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -40,7 +40,7 @@ def rows_of(df):
     return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str)
 
 
-@pytest.mark.parametrize("phrase_bytes", [1 << 20, 300])
+@pytest.mark.parametrize("phrase_bytes", [1 << 20, 1500])
 def test_matches_brute_force(spark, phrase_bytes):
     rng = random.Random(3)
     vocabulary = ["a", "B", "c", "é", "7x", "dd", "Eé"]
@@ -58,6 +58,19 @@ def test_of_a_table(spark):
     assert got == brute(docs, items, 10) and any(r[-1] for r in got)
 
 
+def test_blocks_are_bounded(spark):
+    """One hot id, null ids and an item longer than a block: no block is larger than phrase_bytes, and each window lies in one."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))
+    items = [(1, text(12)) for _ in range(300)] + [(None, text(9)) for _ in range(200)] + [(2, text(3000))]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    blocks = list(D._blocks(table, 8000, 5))
+    assert len(blocks) > 5 and [last for last, _ in blocks] == [False] * (len(blocks) - 1) + [True]
+    assert all(sum(len(t) + len(i or "") + 64 for i, t in own) <= 8000 for _, own in blocks)
+    windows = lambda rows: {("" if i is None else str(i), *w[k : k + 5]) for i, t in rows for w in [words_of(t)] for k in range(max(1, len(w) - 4))}
+    assert windows([x for _, own in blocks for x in own]) == windows(items)
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert rows_of(D.contamination(docs, none)) == brute([(1, "a b")], [], 10)
