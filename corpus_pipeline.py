@@ -1,7 +1,7 @@
 """A training-data pipeline over documents: five stages of the operators in fathomline.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next stage's docs. A stage sees what its predecessor
-kept, and all but the last return the columns of documents.
+kept, and all but the last return the columns of documents. Documents may have further columns, of any names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,30 +17,27 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go: those that are null or have no letter. A known one stays, however short or mixed it is."""
-    found = language.languages(docs, docs.where(remainder(3) != 1), keep=tuple(docs.columns))
-    return found.where(found.lang_pred != language.UNKNOWN).select(docs.columns)
+    """Documents without a known language go: those that are null or have no letter. A known one stays, however short or mixed it is. Rows are judged one by one, so null or repeated ids and repeated rows change nothing."""
+    return language.known_languages(docs, docs.where(remainder(3) != 1))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
+    """Of equal texts, the row with the smallest doc_id stays; null ids come after all others, and of rows with the same smallest id one stays. A null text equals an empty one."""
     return exact_dup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity .8), the document with the smallest doc_id stays."""
-    gone = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five-word shingles, similarity .8), the row with the smallest doc_id stays; null ids come after all others. Rows are told apart even where they share an id; texts without words all stay."""
+    return near_dup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    gone = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a window of a benchmark item go, whatever their ids; those without words stay."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Null texts are their end token alone; rows that share an id are documents of their own."""
     return packing.pack(docs, tokenizer_file(), end=1)
 
 
