@@ -1,9 +1,11 @@
 """Personal data: generators propose spans, boosted trees score them by format and context, and a calibrated threshold selects; DataFrame functions only.
 
 Generators are patterns of high recall. Some are base rules, whose valid matches always stay; the others propose spans that base rules miss (phones without a plus,
-spelled-out emails, cards with other separators, defanged addresses). Every candidate, valid or not, becomes a short vector of levels. Vectors are counted over
-all texts (the table of different vectors is bounded by the product of the levels, VECTORS), trees of two levels are boosted on one fold of these counts against the base rules'
-verdicts, and the threshold is the lowest score that keeps PRECISION on the other fold. Trees become CASE expressions.
+spelled-out emails, cards with other separators, defanged addresses), and much that only looks like them. Every candidate becomes a short vector of levels, of which there are VECTORS at most.
+
+No table says what is personal, so the trees learn from examples(): lines of which each holds one span of a known kind that is personal or an impostor of the same shape (an order number, a version, a card with a wrong check digit, a sentence
+around "(at)"), made by a hash of their number and a seed. A candidate counts as personal if it is such a span. Trees of two levels are boosted on one fold of these lines, and the threshold is the lowest score that
+keeps PRECISION on the other. Trees become CASE expressions.
 
 Positions: split() gives what lies between a pattern's matches and regexp_extract_all() the matches, so running sums of lengths are code point offsets. Patterns
 are possessive and start where a run starts, so a text takes time in proportion to its length.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.shared import written
@@ -35,14 +37,16 @@ WIDER = [
     ("phone", r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+.-])00[1-9][0-9](?:[ ().-]?[0-9]){7,12}+(?![0-9A-Za-z])"),
 ]
-#: Words that speak for and against a candidate when they stand just before it.
-FOR = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|kart|carte|tarjeta|\bip|host|server|contact|address|adresse)[^A-Za-z0-9]{0,3}$"
-AGAINST = r"(?i)(?:order|invoice|isbn|version|ref|serial|part|item|id|no|nr|#)[^A-Za-z0-9]{0,3}$"
+#: Words that speak for and against a candidate when they stand before it, just before it or at some distance.
+FOR = r"(?i)(?:mail|phone|tel|call|ring|fax|mobile|card|visa|kart|carte|tarjeta|\bip|host|server|contact|reach|address|adresse|write|dial)"
+AGAINST = r"(?i)(?:order|invoice|isbn|version|release|ref|serial|part|item|\bid|\bno|\bnr|#|section|total|score|model|ticket)"
+NEAR = r"(?:[^A-Za-z0-9]{0,3}|[^A-Za-z0-9]{1,2}(?:me|us|at|on|is|to|number|from|no|nr)[^A-Za-z0-9]{1,3})$"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 #: Levels of each feature.
-LEVELS = {"kind": 4, "digits": 6, "separators": 4, "plus": 2, "checksum": 2, "for": 2, "against": 2, "tight": 2}
+LEVELS = {"kind": 4, "digits": 6, "separators": 4, "plus": 2, "format": 2, "shape": 2, "for": 3, "against": 3, "tight": 2}
 VECTORS = math.prod(LEVELS.values())
-ROUNDS, RATE, PRECISION = 20, 0.4, 0.98
+ROUNDS, RATE, PRECISION = 60, 0.4, 0.98
+EXAMPLES = 8000
 CHUNK = 128
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,base:boolean,hit:string,before:string,after:string>>"
 
@@ -111,8 +115,9 @@ def _vector(c: Column) -> Column:
     size = F.size(F.array_distinct(F.split(F.regexp_replace(c["hit"], "[0-9A-Za-z]", ""), "")))
     ok = F.lit(False)
     for i, kind in enumerate(KINDS):
-        ok = F.when(c["kind"] == i, valid(kind, c["hit"])).otherwise(ok)
+        ok = F.when(c["kind"] == i, valid(kind, F.regexp_replace(c["hit"], r"\[\.\]", ".") if kind == "ip" else c["hit"])).otherwise(ok)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    said = lambda words: F.when(c["before"].rlike(words + NEAR), 2).otherwise(flag(c["before"].rlike(words)))
     return F.struct(
         c["start"].alias("start"),
         c["end"].alias("end"),
@@ -121,14 +126,67 @@ def _vector(c: Column) -> Column:
         (F.when(n < 8, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 17, 4).otherwise(5)).alias("digits"),
         F.least(size, F.lit(3)).alias("separators"),
         flag(F.startswith(c["hit"], F.lit("+"))).alias("plus"),
-        flag(_luhn(_digits(c["hit"]))).alias("checksum"),
-        flag(c["before"].rlike(FOR)).alias("for"),
-        flag(c["before"].rlike(AGAINST)).alias("against"),
+        flag(ok).alias("format"),
+        flag(c["hit"].rlike(r"dot[)\]]|\.[^ ]|^[(0]")).alias("shape"),
+        said(FOR).alias("for"),
+        said(AGAINST).alias("against"),
         flag(c["before"].rlike("[0-9A-Za-z_]$") | c["after"].rlike("^[0-9A-Za-z_]")).alias("tight"),
         flag(ok).alias("valid"),
     )
 
 
+#: What the generated lines say before a span, by kind and for impostors, around it, and names and hosts of emails.
+LEADS = {
+    "email": ["mail me: ", "e-mail ", "write to ", "contact: ", "Kontakt ", "or ", ""],
+    "ip": ["host ", "server ", "IP: ", "ip address ", "seen from ", "login by ", ""],
+    "card": ["card: ", "my visa ", "Karte ", "carte ", "tarjeta ", "paid with ", ""],
+    "phone": ["call me at ", "phone: ", "Tel. ", "mobile ", "fax ", "reach us on ", "dial ", "ring ", "phone number ", ""],
+}
+IMPOSTOR_LEADS = ["order ", "invoice no. ", "ISBN ", "version ", "ref ", "serial ", "part ", "item ", "id ", "nr. ", "#", "section ", "total ", "score ", "model ", "ticket ", "they were ", "between ", ""]
+OPENINGS = ["", "Hello there. ", "As agreed, ", "See the note below:\n", "und dann ", "(", "pour info : "]
+CLOSINGS = ["", ".", ", thanks", " today", "\n", " or later", "; bye", ")"]
+NAMES, HOSTS, ENDS = ["joe", "ana.diaz", "k_meier", "info", "x9", "mary-ann", "p.dupont"], ["site", "mail-host", "example", "uni7", "firma"], ["org", "com", "de", "co.uk", "net"]
+SAYINGS = ["stay{0}home. We", "meet{0}noon.then", "look{0}page. Next", "arrive{0}gate. Five", "all{0}once. Then"]
+
+
+def examples(spark: SparkSession, n: int = EXAMPLES, seed: int = 1) -> DataFrame:
+    """n generated lines: id, text, kind, start, end (of the one span that a line is about; code points) and personal. Half are personal; about one in four has the form of a base rule. The same for the same n and seed."""
+    rows = spark.range(n)
+    u = lambda salt, k: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(k))
+    pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (u(salt, len(options)) + 1).cast("int"))
+    digits = lambda salt, k, first="0": F.concat(F.lit(first) if first != "0" else F.lit(""), F.lpad(u(salt, 10 ** (k - (first != "0"))).cast("string"), k - (first != "0"), "0"))
+    personal = u("personal", 2) == 0
+    join = lambda sep, *parts: F.concat(*[x for p in parts for x in (sep, p)][1:])
+    octets = [u(f"octet{i}", 256).cast("string") for i in range(4)]
+    wrong = [(F.when(personal, u("octet0", 256)).otherwise(256 + u("octet0", 744))).cast("string"), *octets[1:]]
+    stem = F.concat(F.lit("4"), digits("card", 14))
+    check = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(stem, d.cast("string")))
+    good = F.element_at(F.filter(check, _luhn), 1)
+    card = F.when(personal, good).otherwise(F.concat(stem, ((F.right(good, F.lit(1)).cast("int") + 1 + u("off", 9)) % 10).cast("string")))
+    fours = [F.substring(card, 4 * i + 1, 4) for i in range(4)]
+    three, third, four = digits("area", 3, "5"), digits("mid", 3), digits("line", 4)
+    at, dot = pick("at", [" (at) ", "(at)", " [at] ", "[at]"]), pick("dot", [" (dot) ", "[dot]", ".", "(dot)"])
+    spelled = F.when(personal, F.concat(pick("name", NAMES), at, pick("host", HOSTS), dot, pick("end", ["org", "com", "de", "net"]))).otherwise(F.replace(pick("saying", SAYINGS), F.lit("{0}"), at))
+    forms = [
+        ("phone", F.concat(F.lit("("), three, F.lit(") "), third, F.lit("-"), four)),
+        ("phone", join(pick("gap", ["-", ".", " "]), three, third, four)),
+        ("phone", F.concat(F.lit("00"), pick("country", ["49", "33", "34", "44"]), pick("gap", ["", " ", "-"]), digits("area", 2, "3"), pick("gap2", [" ", "", "-"]), digits("line", 7))),
+        ("email", spelled),
+        ("ip", join(F.lit("[.]"), *wrong)),
+        ("card", join(pick("gap", [".", "_", "/"]), *fours)),
+        ("phone", F.concat(F.lit("+"), pick("country", ["49", "33", "34", "1"]), F.lit(" "), three, pick("gap", [" ", "-"]), F.when(personal, F.concat(third, four)).otherwise(F.lit("1")))),
+        ("email", F.concat(pick("name", NAMES), F.lit("@"), pick("host", HOSTS), F.when(personal, F.concat(F.lit("."), pick("end", ENDS))).otherwise(F.lit("")))),
+        ("ip", join(F.lit("."), *wrong)),
+        ("card", join(pick("gap", [" ", "-"]), *fours)),
+    ]
+    form = F.when(u("base", 4) > 0, u("form", 6)).otherwise(6 + u("form", 4))
+    value, kind, lead = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (name, own) in enumerate(forms):
+        value, kind, lead = F.when(form == i, own).otherwise(value), F.when(form == i, KINDS.index(name)).otherwise(kind), F.when(form == i, pick("lead", LEADS[name])).otherwise(lead)
+    lines = rows.select("id", F.concat(pick("open", OPENINGS), F.when(personal, lead).otherwise(pick("lead", IMPOSTOR_LEADS))).alias("before"), value.alias("value"), pick("close", CLOSINGS).alias("after"), kind.alias("kind"), personal.alias("personal"))
+    return lines.select("id", F.concat("before", "value", "after").alias("text"), "kind", F.length("before").cast("bigint").alias("start"), (F.length("before") + F.length("value")).cast("bigint").alias("end"), "personal")
+
+
 def boost(rows: list[dict], rounds: int = ROUNDS) -> list[tuple]:
     """Trees of two levels for the logistic loss over counted vectors (levels, yes, no). A tree: (feature, level, left, right), a leaf a number; left: level or less."""
     score = [0.0] * len(rows)
@@ -196,38 +254,39 @@ def _score(trees: list, c: Column) -> Column:
     return total
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id and spans, an array of (start, end, kind, base) by start, then kind as in KINDS; code points, end exclusive.
+def fit(spark: SparkSession, n: int = EXAMPLES, seed: int = 1) -> tuple[list, float]:
+    """(trees, threshold) from n examples: counted vectors of candidates, 4 * VECTORS rows at most."""
+    lines = examples(spark, n, seed)
+    found = lines.select(F.explode(F.transform(candidates(F.col("text")), _vector)).alias("c"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("fold"), F.struct("start", "end", "kind", "personal").alias("own"))
+    yes = F.col("own.personal") & (F.col("c.start") == F.col("own.start")) & (F.col("c.end") == F.col("own.end")) & (F.col("c.kind") == F.col("own.kind"))
+    counts = found.groupBy("fold", F.col("c.base").alias("base"), *(F.col(f"c.{f}").alias(f) for f in LEVELS)).agg(F.count_if(yes).alias("yes"), F.count_if(~yes).alias("no"))
+    rows = sorted((r.asDict() for r in counts.collect()), key=lambda r: tuple(r[f] for f in (*LEVELS, "base")))
+    trees = boost([r for r in rows if r["fold"] == 0])
+    return trees, calibrated(trees, [r for r in rows if r["fold"] == 1 and not r["base"]])
 
-    All valid matches of the base rules are there, and what the method adds, which overlaps none of them. Null and empty texts have none; repeated rows give
-    repeated rows; without any candidate nothing is added; other columns aren't read.
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: tuple[list, float] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id and spans, an array of (start, kind, end, base) by start, then kind as in KINDS; code points, end exclusive.
+
+    All valid matches of the base rules are there, and what the trees add (model: a fit(), made here if there's none), which overlaps none of them. Null and empty texts have none; repeated rows give
+    repeated rows; an empty table gives an empty one; other columns aren't read.
     """
+    trees, least = model or fit(docs.sparkSession)
     text_ = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.transform(candidates(text_), _vector).alias("found"), F.pmod(F.xxhash64(text_), F.lit(2)).alias("fold"))
-    found = written(found, "pii")
-    counts = (
-        found.where(F.size("found") > 0)
-        .select("fold", F.explode(F.filter("found", lambda c: c["base"])).alias("c"))
-        .groupBy("fold", *(F.col(f"c.{f}").alias(f) for f in LEVELS))
-        .agg(F.sum("c.valid").alias("yes"), F.sum(1 - F.col("c.valid")).alias("no"))
-    )
-    rows = [r.asDict() for r in counts.collect()]  # 2 * VECTORS at most
-    rows.sort(key=lambda r: tuple(r[f] for f in LEVELS))
-    trees = boost([r for r in rows if r["fold"] == 0])
-    least = calibrated(trees, [r for r in rows if r["fold"] == 1])
-    base = F.filter("found", lambda c: c["base"] & (c["valid"] == 1))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.transform(candidates(text_), _vector).alias("found"))
+    found = written(found, "pii")  # else each use below would search the texts again
     brief = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"))
+    base = F.transform(F.filter("found", lambda c: c["base"] & (c["valid"] == 1)), brief)
     if math.isinf(least) or not trees:
-        added = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,base:boolean>>")
-    else:
-        wide = F.filter("found", lambda c: ~c["base"])
-        chosen = F.transform(F.filter(wide, lambda c: _score(trees, c) >= least), brief)
-        clear = F.filter(chosen, lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        found = found.withColumn("_base", F.transform(base, brief)).withColumn("_clear", clear)
-        # of added spans that overlap, the first by start, then kind
-        added = F.filter("_clear", lambda c: ~F.exists("_clear", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]) & (F.struct(b["start"], b["kind"], b["end"]) < F.struct(c["start"], c["kind"], c["end"]))))
-        return found.select("doc_id", F.array_sort(F.concat("_base", added)).alias("spans"))
-    return found.select("doc_id", F.array_sort(F.concat(F.transform(base, brief), added)).alias("spans"))
+        return found.select("doc_id", F.array_sort(base).alias("spans"))
+    chosen = F.transform(F.filter("found", lambda c: ~c["base"] & (_score(trees, c) >= least)), brief)
+    found = found.withColumn("_base", base).withColumn("_wide", chosen)
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    clear = F.filter("_wide", lambda c: ~F.exists("_base", lambda b: meets(b, c)))
+    # of added spans that overlap, the first by start, then kind
+    first = lambda b, c: F.struct(b["start"], b["kind"], b["end"]) < F.struct(c["start"], c["kind"], c["end"])
+    added = F.filter("_clear", lambda c: ~F.exists("_clear", lambda b: meets(b, c) & first(b, c)))
+    return found.withColumn("_clear", clear).select("doc_id", F.array_sort(F.concat("_base", added)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
