@@ -1,8 +1,12 @@
 """Language ID and quality: held-out accuracy and edge cases."""
 
+import math
+import re
+
 import numpy as np
 
 from fathomline.llm import language, quality, queries
+from fathomline.llm import words as W
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,6 +39,43 @@ def test_language_edges(spark):
     assert language.languages(df.limit(0), labelled).collect() == []
 
 
+def plain_language(text, model, names):
+    """A text's probabilities from the definition: windows of bytes, one by one, weighted by their bytes."""
+    data = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode()
+    total = np.zeros(len(names))
+    for at in range(0, len(data), language.WINDOW):
+        own = data[at : at + language.WINDOW]
+        x = list(own) + [0] * (language.WINDOW - len(own))
+        h = []
+        for f in model["filters"]:
+            places = [sum(f[j][x[i + j]].astype(np.float64) for j in range(len(f))) for i in range(len(x) - len(f) + 1)]
+            h += np.maximum(np.max(places, 0), 0).tolist()
+        z = np.exp(np.array(h) @ model["out"] + model["bias"])
+        total += z / z.sum() * len(own)
+    return total / len(data)
+
+
+def test_language_matches_its_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learn = docs.where(queries.remainder(3) != 1)
+    names, model = language.fit(learn, "text", "lang")
+    texts = [r.text for r in docs.where("text rlike '[a-z]'").orderBy("doc_id").limit(6).collect()] + ["é" * 700, "A", "x" * 512, "y" * 513, "Das Haus. " * 120]
+    asks = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in language.languages(asks, learn).collect():
+        want = plain_language(texts[r.doc_id], model, names)
+        assert np.isclose(r.score, want.max(), atol=1e-3) and (r.lang_pred == names[int(want.argmax())] or np.sort(want)[-1] - np.sort(want)[-2] < 2e-3)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Copies of a text count once: they neither reach the driver nor crowd out others."""
+    taken = []
+    monkeypatch.setattr(language, "train", lambda x, y, n, **_: taken.append((x, y)) or {})
+    rows = [("same text", "en")] * 4000 + [(f"other text {i}", "en") for i in range(300)] + [(f"ein text {i}", "de") for i in range(5)] + [(f"neu {i}", "de") for i in range(900)]
+    language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), "text", "lang", per_language=200)
+    (x, y), = taken
+    assert len({w.tobytes() for w in x}) == len(x) and 140 < (y == 1).sum() < 260 and 140 < (y == 0).sum() < 260
+
+
 def test_language_trains_alike_twice(spark):
     a, b = (sorted(queries.op5_byte_cnn_language(spark, "/root/testdata/sf0.001").collect()) for _ in range(2))
     assert a == b
@@ -73,6 +114,54 @@ def test_quality_edges(spark):
     assert quality.quality(df.limit(0), model).collect() == []
 
 
+def plain_features(text, chars):
+    """Feature number -> value, from the definition."""
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data.lower())  # bytes.lower() changes A-Z only
+    hashes = {int(W.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words}
+    own = {h % quality.WORDS for h in hashes}
+    out = {i: 1 / math.sqrt(max(len(own), 1)) for i in own}
+    log = lambda v: math.log2(max(v, 0) + 1)
+    share = lambda test: sum(map(test, data)) / max(len(data), 1)
+    n, top = len(words), quality.LEVELS - 1
+    marks = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    levels = [
+        log(n), log(len(data) - n) / max(log(n), 1) * 4, len(hashes) / max(n, 1) * top, share(lambda b: 65 <= b < 91) * top * 2, math.sqrt(share(lambda b: 48 <= b < 58)) * top, math.sqrt(share(marks)) * top,
+        math.sqrt(share(lambda b: b == 10)) * top * 2, share(lambda b: b >= 128) * top * 2, len(data) / max(n, 1), 0 if chars < 0 else log(chars) * 0.75 + 1,
+    ]
+    for i, level in enumerate(levels):
+        out[quality.WORDS + i * quality.LEVELS + int(min(max(level, 0), top))] = 1 / math.sqrt(len(levels))
+    return out
+
+
+def test_quality_matches_its_definition(spark):
+    """The whole way from a text to its score, features and pairs one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where(queries.remainder(5) != 0))
+    rows = [(r.doc_id, r.text, r.n_chars) for r in docs.orderBy("doc_id").limit(25).collect()] + [(10**6, None, None), (10**6 + 1, "", 0), (10**6 + 2, "ONE two TWO\n\n3,4 é", 18), (10**6 + 3, "a b " * 40_000, 5)]
+    for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), model).collect():
+        _, text, chars = next(x for x in rows if x[0] == r.doc_id)
+        x = plain_features(text or "", -1 if chars is None else chars)
+        z = model["b"] + sum(model["w"][i] * v for i, v in x.items())
+        items = list(x.items())
+        vectors = [model["v"][i].astype(np.float64) * v for i, v in items[:150]]
+        if len(items) <= 150:
+            z += sum(vectors[a] @ vectors[b] for a in range(len(vectors)) for b in range(a))
+        else:
+            every = np.array([model["v"][i].astype(np.float64) * v for i, v in items])
+            z += np.triu(every @ every.T, 1).sum()
+        assert np.isclose(r.score, 1 / (1 + math.exp(-z)), atol=1e-3)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda number, value, count, y, **_: taken.append(y) or {})
+    docs = spark.createDataFrame([(1, f"copy {i}", 1) for i in range(3000)] + [(i, f"text {i}", 1) for i in range(2, 60)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(1, i % 2) for i in range(500)] + [(i, 1) for i in range(2, 60)], "doc_id bigint, quality int")
+    quality.fit(docs, labels, sample=100)
+    assert sorted(taken[0].tolist()) == [0.0] + [1.0] * 58
+
+
 def test_pairs_by_the_sum_of_squares():
     rng = np.random.default_rng(2)
     model = {"b": 0.3, "w": rng.normal(size=quality.SIZE), "v": rng.normal(size=(quality.SIZE, quality.RANK))}
