@@ -1,7 +1,7 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A word counts as one of VOCABULARY tokens: the most frequent words of the whole corpus have tokens of their own, all others share the rest by hash. A network with one hidden layer sees SIDE words
-on either side of a masked word and predicts its token in two steps, the token's group and then its place in the group:
+A word counts as one of VOCABULARY tokens: the most frequent words of the whole corpus have tokens of their own, all others share the rest by their last ENDING bytes, which a context can tell something about (a
+language, a word class), as it can't about a hash of the whole word. A network with one hidden layer sees SIDE words on either side of a masked word and predicts its token in two steps, the token's group and then its place in the group:
 
     h = tanh(W [e(left words), e(right words)] + b);  p(token) = softmax(G h + c)[group] * softmax(P (h + u(group)) + d(group))[place]
 
@@ -9,7 +9,7 @@ Which word of a shared token's it is follows from the words' counts alone, p(wor
 
 A document's score is the sum of log p(token) + log p(word | token) over all its words, each predicted from both sides. The counts of the commonest words, at most LISTED, go to every task; those of all others are joined by hash.
 
-Words are counted over all documents, and c and d start from these counts. Training goes over all windows of all documents: in round r every task trains, from the weights of the round before, on the windows whose place in their own text leaves r when divided by the
+Words are counted over all documents, and c and d start from these counts. Training goes over all windows of all documents: in round r every task trains, from the weights of the round before, on the documents whose text's hash leaves r when divided by the
 number of rounds, so that each window is used in one round, however rows are batched. The tasks' weights are averaged by blocks in Spark, in two steps so that no task gathers all; only the average, of fixed size, reaches the driver.
 """
 
@@ -26,8 +26,11 @@ from fathomline.llm.shared import small_batches, text_of, written
 GROUPS, PLACES = 64, 64
 VOCABULARY = GROUPS * PLACES
 OWN = VOCABULARY // 2  # token 0 stands beyond the ends of a text, 1 to OWN - 1 are words, the rest are shared
-SIDE, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, BATCH, RATE = 2, 128, 0.2
+SIDE, WIDTH, HIDDEN = 2, 16, 24
+ENDING = 2
+#: A word's key: its class, which is its place among the shared tokens, above so many bits of its hash.
+HASH_BITS = 64 - int(VOCABULARY - OWN - 1).bit_length()
+ROUNDS, BATCH, RATE = 2, 512, 0.2
 BLOCK = 8192
 LISTED = 1 << 18
 SPREAD = 32
@@ -57,12 +60,22 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def tokens_of(hashes: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """top: sorted hashes of the words with tokens of their own, at most OWN - 1."""
-    out = OWN + (W.mix(hashes) % np.uint64(VOCABULARY - OWN)).astype(np.int64)
+def word_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words as 64-bit keys, from the class of their endings and a hash of all their bytes, A-Z in lower case."""
+    ending = np.zeros(len(begin), np.uint64)
+    for j in range(1, ENDING + 1):
+        at = end - j
+        ending = ending * np.uint64(257) + np.where(at >= begin, W.LOWER[data[np.maximum(at, 0)]].astype(np.uint64) + np.uint64(1), np.uint64(0)) if len(data) else ending
+    bits = np.uint64(HASH_BITS)
+    return ((W.mix(ending) % np.uint64(VOCABULARY - OWN)) << bits) | (W.word_hashes(data, begin, end) & ((np.uint64(1) << bits) - np.uint64(1)))
+
+
+def tokens_of(keys: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """top: sorted keys of the words with tokens of their own, at most OWN - 1."""
+    out = OWN + (keys >> np.uint64(HASH_BITS)).astype(np.int64)
     if len(top):
-        place = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
-        out = np.where(top[place] == hashes, place + 1, out)
+        place = np.minimum(np.searchsorted(top, keys), len(top) - 1)
+        out = np.where(top[place] == keys, place + 1, out)
     return out
 
 
@@ -74,20 +87,6 @@ def contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.where(own[SIDE + d : SIDE + d + n] == text, padded[SIDE + d : SIDE + d + n], 0) for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def forward(m: dict, around: np.ndarray, target: np.ndarray):
-    x = m["e"][around].reshape(len(around), -1)
-    h = np.tanh(x @ m["w"] + m["b"])
-    group = target // PLACES
-    inner = h + m["u"][group]
-    return x, h, inner, _softmax(h @ m["g"] + m["gb"]), _softmax(inner @ m["p"] + m["pb"][group])
-
-
 class Model:
     """Log-probabilities with what doesn't hang on the context worked out beforehand."""
 
@@ -111,40 +110,57 @@ class Model:
         return said - np.log(z[:, :GROUPS].sum(1), dtype=np.float64) - np.log(z[:, GROUPS:].sum(1), dtype=np.float64)
 
 
+def _sums(of: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different values of `of`, sums of the rows of each)."""
+    order = np.argsort(of, kind="stable")  # a radix sort of small integers
+    sorted_ = of[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.add.reduceat(rows[order], first)
+
+
 def train(flat: np.ndarray, around: np.ndarray, target: np.ndarray, seen: np.ndarray) -> None:
-    """One pass of Adagrad over the windows, in place; seen: sums of squared gradients so far."""
+    """One pass of Adagrad over the windows, in place; seen: sums of squared gradients so far, above 0."""
     m, s = views(flat), views(seen)
+    out, seen_out = (np.ascontiguousarray(np.concatenate([x["g"], x["p"]], 1)) for x in (m, s))  # both softmaxes by one product
+    around, group, place = around.astype(np.uint16), (target // PLACES).astype(np.uint8), target % PLACES
     for at in range(0, len(target), BATCH):
-        a, t = around[at : at + BATCH], target[at : at + BATCH]
-        x, h, inner, first, second = forward(m, a, t)
-        row, n = np.arange(len(t)), len(t)
-        first[row, t // PLACES] -= 1
-        second[row, t % PLACES] -= 1
-        first /= n
-        second /= n
-        back_inner = second @ m["p"].T
-        back = (first @ m["g"].T + back_inner) * (1 - h * h)
-        steps = {"g": h.T @ first, "gb": first.sum(0), "p": inner.T @ second, "w": x.T @ back, "b": back.sum(0)}
-        of_group = np.zeros((GROUPS, n), np.float32)
-        of_group[t // PLACES, row] = 1
-        steps |= {"u": of_group @ back_inner, "pb": of_group @ second}
-        order = np.argsort(a, axis=None)
-        tokens = a.ravel()[order]
-        first_of = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        own, de = tokens[first_of], np.add.reduceat((back @ m["w"].T).reshape(-1, WIDTH)[order], first_of)
-        for name, g in steps.items():
-            s[name][...] += g * g
-            m[name][...] -= RATE * g / np.sqrt(s[name] + 1e-8)
-        so_far = s["e"][own] + de * de
-        s["e"][own] = so_far
-        m["e"][own] -= RATE * de / np.sqrt(so_far + 1e-8)
+        a, own, there = around[at : at + BATCH], group[at : at + BATCH], place[at : at + BATCH]
+        n = len(a)
+        row = np.arange(n)
+        x = m["e"][a].reshape(n, -1)
+        h = x @ m["w"]
+        h += m["b"]
+        np.tanh(h, out=h)
+        z = h @ out
+        z[:, :GROUPS] += m["gb"]
+        z[:, GROUPS:] += (m["u"] @ out[:, GROUPS:] + m["pb"])[own]
+        np.clip(z, -80, 80, out=z)
+        np.exp(z, out=z)
+        for half in (z[:, :GROUPS], z[:, GROUPS:]):
+            half /= half.sum(1, keepdims=True) * np.float32(n)
+        z[row, own] -= np.float32(1 / n)
+        z[row, GROUPS + there] -= np.float32(1 / n)
+        back = (z @ out.T) * (1 - h * h)
+        groups, d_places = _sums(own, z[:, GROUPS:])
+        tokens, d_tokens = _sums(a.ravel(), (back @ m["w"].T).reshape(-1, WIDTH))
+        d_out = h.T @ z
+        d_out[:, GROUPS:] += m["u"][groups].T @ d_places
+        for weights, sums, rows, d in ((m["u"], s["u"], groups, d_places @ out[:, GROUPS:].T), (m["pb"], s["pb"], groups, d_places), (m["e"], s["e"], tokens, d_tokens)):
+            so_far = sums[rows] + d * d
+            sums[rows] = so_far
+            weights[rows] -= RATE * d / np.sqrt(so_far)
+        for weights, sums, d in ((out, seen_out, d_out), (m["w"], s["w"], x.T @ back), (m["gb"], s["gb"], z[:, :GROUPS].sum(0)), (m["b"], s["b"], back.sum(0))):
+            sums += d * d
+            weights -= RATE * d / np.sqrt(sums)
+    for x, whole in ((m, out), (s, seen_out)):
+        x["g"][...], x["p"][...] = whole[:, :GROUPS], whole[:, GROUPS:]
 
 
 def _worded(column: pa.Array):
     for at, to in W.pieces(column):
         data, offsets = W.bytes_of(column.slice(at, to - at))
         begin, end, n = W.spans(data, offsets, W.SPACED)
-        yield at, to, W.word_hashes(data, begin, end), n
+        yield at, to, word_keys(data, begin, end), n
 
 
 def _counts(batches):
@@ -156,13 +172,7 @@ def _counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000])], ["word", "n"])
 
 
-def windows_of(counts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """Which words' windows a round trains on: those at every rounds-th place of their own text, from turn on. All rounds together use each window once."""
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.flatnonzero(place % rounds == turn)
-
-
-def _trained(top_at, flat_at, turn: int, rounds: int):
+def _trained(top_at, flat_at):
     def run(batches):
         from pyspark import TaskContext
 
@@ -170,10 +180,8 @@ def _trained(top_at, flat_at, turn: int, rounds: int):
         for batch in batches:
             for _, _, hashes, n in _worded(batch.column(0)):
                 tokens = tokens_of(hashes, top)
-                around = contexts(tokens, n)
-                chosen = windows_of(n, turn, rounds)
-                train(flat, around[chosen], tokens[chosen], seen)
-                windows += len(chosen)
+                train(flat, contexts(tokens, n), tokens, seen)
+                windows += len(tokens)
         if windows:
             part = TaskContext.get().partitionId()
             weighted = flat.astype(np.float64) * windows
@@ -210,12 +218,17 @@ PARTS = "block bigint, spread bigint, windows bigint, sums binary"
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): the hashes of all words of docs, and how often each occurs."""
+    """(word, n): the keys of all words of docs, and how often each occurs."""
     small_batches(docs.sparkSession)
     rows = docs.select(text_of(text).alias("text"))
     return written(rows.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def of_round(rows: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The documents whose windows a round trains on. All rounds together use each document once."""
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+
+
 def token_counts(counts: DataFrame, top_at) -> np.ndarray:
     out = np.zeros(VOCABULARY)
     for r in counts.mapInArrow(_token_counts(top_at), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
@@ -224,7 +237,7 @@ def token_counts(counts: DataFrame, top_at) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the words with tokens of their own, weights) from all documents. Equally frequent words are taken by their hash. counts: word_counts of docs, if they are there already."""
+    """(sorted keys of the words with tokens of their own, weights) from all documents. Equally frequent words are taken by their key. counts: word_counts of docs, if they are there already."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(text_of(text).alias("text"))
@@ -233,7 +246,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataF
     top_at = sc.broadcast(top)
     flat = start(token_counts(counts, top_at))
     for turn in range(rounds):
-        each = rows.mapInArrow(_trained(top_at, sc.broadcast(flat), turn, rounds), PARTS)
+        each = of_round(rows, turn, rounds).mapInArrow(_trained(top_at, sc.broadcast(flat)), PARTS)
         some = each.repartition(SPREAD, "block", "spread").mapInArrow(_summed, PARTS).withColumn("spread", F.lit(0).cast("bigint"))
         whole = {r["block"]: np.frombuffer(r["sums"]) / r["windows"] for r in some.repartition(8, "block").mapInArrow(_summed, PARTS).collect()}
         if whole:
@@ -242,7 +255,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataF
 
 
 def listed_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted hashes of at most LISTED words, their counts, least): all words that occur least times or more. Below 2, words beyond them occur once at most."""
+    """(sorted keys of at most LISTED words, their counts, least): all words that occur least times or more. Below 2, words beyond them occur once at most."""
     least, so_far = 1, 0
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
         so_far += r["words"]
