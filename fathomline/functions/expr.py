@@ -10,8 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Rolling windows in weeks.
-WINDOWS = (4, 8, 13, 26, 52)
+from fathomline.config import WINDOWS  # noqa: F401  rolling windows in weeks
 
 
 def gate(*conditions: Column) -> Column:

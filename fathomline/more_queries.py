@@ -19,7 +19,7 @@ MOVES = EpisodeConfig(major_return=0.03, major_excess=0.005, explosive_return=0.
 TODAY = Clock(date(2002, 1, 1))
 
 
-def annual_sql(c: AnnualConfig) -> str:
+def annual_sql(c: AnnualConfig, until: str | None = None) -> str:
     edges = lambda v, src, by: f"""select {by}, year, min_by(week, week) filter ({v} is not null) as fw, min_by({v}, week) filter ({v} is not null) as fv, max_by(week, week) filter ({v} is not null) as lw, max_by({v}, week) filter ({v} is not null) as lv from {src} group by {by}, year"""
     before = lambda src, by: f"""select *, last_value(lw ignore nulls) over w as bw, last_value(lv ignore nulls) over w as bv from ({src}) window w as (partition by {by} order by year rows between unbounded preceding and 1 preceding)"""
     return with_panel(f"""
@@ -33,7 +33,7 @@ def annual_sql(c: AnnualConfig) -> str:
     r as (select *, cast(rank() over (partition by year order by theme_return desc) as integer) as rank from k)
     select cast(year as integer) as year, case when ytd then year || '년 누적' else year || '년' end as period_label, theme, {r6('theme_return', 'benchmark_return')}, round(theme_return - benchmark_return, 6) + 0.0 as excess_return, rank,
         round(cov, 4) + 0.0 as coverage, round(bcov, 4) + 0.0 as benchmark_coverage, observations, cast(sd as varchar) as start_date, cast(ed as varchar) as end_date, ytd or partial or b_partial as is_partial_year, 'ok' as status, '{annual.DISCLAIMER}' as disclaimer
-    from r where rank <= {c.top_n}""".replace("\n    ,", ",", 1))
+    from r where rank <= {c.top_n}""".replace("\n    ,", ",", 1), participation=c.min_participation, until=until)
 
 
 def early_sql(c: AnnualConfig, select: str) -> str:
@@ -82,7 +82,7 @@ def latest_cross_section(spark, sf_dir):
 @query(
     "lane_status_counts",
     " union all ".join(
-        f"select '{lane}' as lane, status, count(*) as rows from (select * from ({lane_sql(q)}) qualify decision_date = max(decision_date) over ()) group by status"
+        f"select '{lane}' as lane, status, count(*) as rows, decision_date as latest_date, sum(count(*)) over ()::bigint as lane_rows from (select * from ({lane_sql(q)}) where decision_date <= (select max(l_shipdate) from lineitem) qualify decision_date = max(decision_date) over ()) group by status, decision_date"
         for lane, q in (("current_leader", "current_leader_easy"), ("emerging_radar", "emerging_radar_easy"), ("hold_candidate_12m", "hold_candidate_easy"))
     ),
 )
@@ -90,9 +90,25 @@ def lane_status_counts(spark, sf_dir):
     return pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD).manifest()
 
 
-@query("fingerprint")
+@query("fingerprint", "select true as same_in_any_order, true as other_for_another_row, true as other_for_a_missing_row, true as other_for_other_settings, 64 as digits")
 def fingerprint(spark, sf_dir):
-    return pipeline.fingerprint(lineitem_panel(spark, sf_dir), "settings")
+    """What a fingerprint has to tell apart: all rows against the same rows in another order, one row changed, one row left out, and other settings."""
+    prices = lineitem_panel(spark, sf_dir)
+    at = prices.agg(F.max(F.struct("date", "theme", "security"))).first()[0]
+    last = (F.col("date") == F.lit(at["date"])) & (F.col("theme") == at["theme"]) & (F.col("security") == at["security"])
+    kinds = {
+        "own": (prices, "settings"),
+        "shuffled": (prices.repartition(7, F.xxhash64("value")).sortWithinPartitions(F.desc("value")), "settings"),
+        "changed": (prices.withColumn("value", F.when(last, F.col("value") + 0.01).otherwise(F.col("value"))), "settings"),
+        "shorter": (prices.where(~last), "settings"),
+        "settings": (prices, "others"),
+    }
+    marks = None
+    for name, (rows, settings) in kinds.items():
+        mark = pipeline.fingerprint(rows, settings).withColumnRenamed("fingerprint", name)
+        marks = mark if marks is None else marks.join(F.broadcast(mark), F.lit(True))
+    same = lambda n: F.col("own") == F.col(n)
+    return marks.select(same("shuffled").alias("same_in_any_order"), (~same("changed")).alias("other_for_another_row"), (~same("shorter")).alias("other_for_a_missing_row"), (~same("settings")).alias("other_for_other_settings"), F.length("own").alias("digits"))
 
 
 # --- labels and episodes over the theme indexes ---
@@ -187,38 +203,122 @@ def classify_episode(spark, sf_dir):
     return labels.classify_moves(move_table(spark, sf_dir)).select("l_orderkey", "l_linenumber", "excess_return", "breadth_ok", "min_names_ok", "top_decile_ok", "major_surge", "explosive", "label")
 
 
-def episode_table(spark, sf_dir) -> DataFrame:
-    facts = _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), F.col("breadth_13w").alias("breadth_up"), F.col("members_valid").alias("active_names"), F.col("m0_rank").alias("theme_rank_percentile"))
-    return episodes.label_episodes(index_series(spark, sf_dir), facts, MOVES)
+def episode_facts(spark, sf_dir) -> DataFrame:
+    return _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), F.col("breadth_13w").alias("breadth_up"), F.col("members_valid").alias("active_names"), F.col("m0_rank").alias("theme_rank_percentile"))
 
 
-@query("episode_labels")
+def episode_table(spark, sf_dir) -> DataFrame:
+    return episodes.label_episodes(index_series(spark, sf_dir), episode_facts(spark, sf_dir), MOVES)
+
+
+def episode_sql(c: EpisodeConfig) -> str:
+    """Common table expressions up to `el`, the label of each decision, and `ep`, the episodes. Searches are joins over all later rows of a theme."""
+    h = 7 * c.horizon_weeks
+    gates = ["breadth_up_ok", "breadth_beat_spy_ok", "breadth_ok", "min_names_ok", "top_decile_ok"]
+    return f"""{SERIES},
+    until as (select r.theme, r.pos, min(q.pos) as until from s r join s q on q.theme = r.theme and q.ts >= r.ts + interval {h} days group by all),
+    lows as (select r.theme, r.pos, min_by(q.pos, (q.price, q.pos)) as low_pos, min(q.price) as low from s r join s q on q.theme = r.theme and q.pos between r.pos - {c.onset_weeks} and r.pos group by all),
+    crossings as (select theme, pos, low_pos from lows join s using (theme, pos) where low > 0 and price / low - 1 >= {c.major_return}::double),
+    span as (select d.theme, d.pos, d.pos + 1 as entry, u.until as terminal, min(x.pos) as crossing from s d join until u on u.theme = d.theme and u.pos = d.pos + 1 left join crossings x on x.theme = d.theme and x.pos between d.pos + 1 and u.until group by all),
+    reach as (select span.*, x.low_pos, coalesce(crossing, entry) as first_row, case when crossing is not null then coalesce(u.until, terminal) else terminal end as last_row
+        from span left join crossings x on x.theme = span.theme and x.pos = span.crossing left join until u on u.theme = span.theme and u.pos = span.crossing),
+    peaks as (select r.theme, r.pos, min_by(q.pos, (-q.price, q.pos)) as peak from reach r join s q on q.theme = r.theme and q.pos between r.first_row and r.last_row group by all),
+    moves as (select d.theme, d.ts as decision_at, e.ts as entry_at, o.ts as onset, x.ts as first_80_crossing, p.ts as peak, t.ts as horizon_end, p.price / e.price - 1 as entry_to_peak_return, p.price / o.price - 1 as theme_return,
+        p.b_price / o.b_price - 1 as spy_return, r.terminal is not null as matured
+        from s d left join s e on e.theme = d.theme and e.pos = d.pos + 1 left join reach r on r.theme = d.theme and r.pos = d.pos left join peaks k on k.theme = d.theme and k.pos = d.pos
+        left join s o on o.theme = d.theme and o.pos = coalesce(r.low_pos, r.entry) left join s x on x.theme = d.theme and x.pos = r.crossing left join s p on p.theme = d.theme and p.pos = k.peak left join s t on t.theme = d.theme and t.pos = r.terminal),
+    facts as (select theme, cast(week as timestamp) as decision_at, breadth_13w as breadth_up, members_valid as active_names, m0_rank as theme_rank_percentile from metrics),
+    graded as (select *, theme_return - spy_return as excess_return, coalesce(breadth_up >= {c.min_breadth}::double, false) as breadth_up_ok, true as breadth_beat_spy_ok, coalesce(breadth_up >= {c.min_breadth}::double, false) as breadth_ok,
+        coalesce(active_names >= {c.min_names}, false) as min_names_ok, coalesce(theme_rank_percentile >= {c.min_rank}::double, true) as top_decile_ok from moves left join facts using (theme, decision_at)),
+    named as (select *, matured and first_80_crossing is not null and coalesce(theme_return >= {c.major_return}::double and excess_return >= {c.major_excess}::double and breadth_ok and min_names_ok and top_decile_ok, false) as major_surge from graded),
+    el as (select decision_at, theme, entry_at, onset, first_80_crossing, peak as "end", peak, peak as label_available_at, horizon_end, {r6('entry_to_peak_return', 'theme_return', 'spy_return', 'excess_return', 'breadth_up')}, cast(active_names as bigint) as active_names, {r6('theme_rank_percentile')},
+        {', '.join(f'matured and {g} as {g}' for g in gates)}, case when matured then case when major_surge and theme_return >= {c.explosive_return}::double then 'explosive' when major_surge then 'major_surge' else 'none' end end as label,
+        major_surge, major_surge and theme_return >= {c.explosive_return}::double as explosive, major_surge as qualifies, matured from named),
+    marks as (select theme, decision_at as start, "end", row_number() over (partition by theme order by decision_at) as n from el where qualifies),
+    follows as (select a.theme, a.start, min(b.start) as next from marks a join marks b on b.theme = a.theme and b.start - a.start >= interval {7 * c.merge_gap_weeks} days and b.start > a."end" group by all),
+    chain(theme, start, episode_id) as (select theme, start, 1 from marks where n = 1 union all select chain.theme, follows.next, episode_id + 1 from chain join follows on follows.theme = chain.theme and follows.start = chain.start),
+    ep as (select el.* exclude (decision_at), chain.start, cast(episode_id as integer) as episode_id from chain join el on el.theme = chain.theme and el.decision_at = chain.start)"""
+
+
+def with_episodes(select: str, c: EpisodeConfig = MOVES) -> str:
+    return with_panel(f"{episode_sql(c).lstrip()} {select}").replace("with ", "with recursive ", 1)
+
+
+@query("episode_labels", with_episodes("select * from el"))
 def episode_labels(spark, sf_dir):
     return episode_table(spark, sf_dir)
 
 
-@query("detect_episodes")
+@query("detect_episodes", with_episodes("select * from ep"))
 def detect_episodes(spark, sf_dir):
     return episodes.detect_episodes(episode_table(spark, sf_dir), MOVES.merge_gap_weeks)
 
 
-def early_hit_rows(spark, sf_dir) -> DataFrame:
-    found = episodes.detect_episodes(episode_table(spark, sf_dir), MOVES.merge_gap_weeks)
-    signals = _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
-    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir), found.select("theme", "onset", "peak", "qualifies"), EarlyHitConfig(), 0.02, 0.005)
+@query("episode_labels_close", with_episodes("select decision_at, theme, label, peak, theme_return from el", EpisodeConfig(**{**MOVES.__dict__, "horizon_weeks": 8, "onset_weeks": 5, "major_return": 0.02})))
+def episode_labels_close(spark, sf_dir):
+    """A short horizon: many crossings lie in one block of time, and many in the series' last horizon."""
+    c = EpisodeConfig(**{**MOVES.__dict__, "horizon_weeks": 8, "onset_weeks": 5, "major_return": 0.02})
+    return episodes.label_episodes(index_series(spark, sf_dir), episode_facts(spark, sf_dir), c).select("decision_at", "theme", "label", "peak", "theme_return")
+
 
+HITS, STRICT_HITS = EarlyHitConfig(horizon_weeks=26), EarlyHitConfig(persistence_window=None, log_fraction=None, weeks_before=8, weeks_after=20)
 
-@query("early_hits")
+
+def early_hit_rows(spark, sf_dir, c: EarlyHitConfig = HITS) -> DataFrame:
+    found = episodes.detect_episodes(episode_table(spark, sf_dir), MOVES.merge_gap_weeks)
+    signals = _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
+    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005)
+
+
+def early_sql_rows(c: EarlyHitConfig, select: str) -> str:
+    horizons = sorted({c.horizon_weeks, 52})
+    limit = "true" if c.log_fraction is None else f"made / total < {c.log_fraction}::double"
+    h = c.horizon_weeks
+    return with_episodes(f"""{forward_sql(horizons).replace(SERIES, '')},
+    gains as (select *, {', '.join(gains_sql(n) for n in horizons)} from y),
+    signals as (select theme, cast(week as timestamp) as decision_at, coalesce(rs_rank_4w > 0.5::double, false) as signal from metrics),
+    lasting as (select *, signal and sum(cast(signal as integer)) over (partition by theme order by decision_at rows between {c.window - 1} preceding and current row) >= {c.persistence_count} as persistent from signals),
+    events as (select theme, onset, peak, qualifies, row_number() over (partition by theme order by onset, peak) as o from ep),
+    owned as (select l.theme, l.decision_at, max(o) as o from lasting l join events e on e.theme = l.theme and e.onset <= l.decision_at group by all),
+    seen as (select l.theme, l.decision_at, max_by(price, ts) as seen from lasting l join s on s.theme = l.theme and s.ts <= l.decision_at group by all),
+    ends as (select e.theme, e.o, max_by(s.price, s.ts) filter (s.ts <= e.onset) as base, max_by(s.price, s.ts) filter (s.ts <= e.peak) as top from events e join s on s.theme = e.theme group by all),
+    whole as (select l.*, e.onset as event_start, e.peak as event_peak, e.qualifies, base, top, seen, g.entry.ts as entry_at, g.exit_{h}.ts as exit_at, g.g{h} as future_return, g.g{h} - g.b{h} as future_excess_return,
+        case when g.g{h} is not null and g.b{h} is not null then g.g{h} >= 0.02::double and g.g{h} - g.b{h} >= 0.005::double end as label, g.g52 as hold_52w_return, g.g52 - g.b52 as hold_52w_excess_return, g.exit_52.ts as hold_52w_exit_at
+        from lasting l left join owned using (theme, decision_at) left join events e on e.theme = l.theme and e.o = owned.o left join ends on ends.theme = l.theme and ends.o = owned.o left join seen using (theme, decision_at) left join gains g on g.theme = l.theme and g.ts = l.decision_at),
+    moved as (select *, exit_at is not null as matured, event_start is not null as event_metadata_available, case when event_start is not null then decision_at between event_start - interval {7 * c.weeks_before} days and event_start + interval {7 * c.weeks_after} days end as within_onset_window,
+        case when base > 0 then seen / base - 1 end as realized_move, case when base > 0 and top > 0 then ln(top / base) end as total, case when base > 0 and seen > 0 then ln(seen / base) end as made from whole),
+    judged as (select *, case when total > 0 then made / total end as realized_log_fraction, case when total > 0 then (total - made) / total end as remaining_move_fraction, case when total > 0 then top / seen - 1 end as remaining_upside_to_peak,
+        case when total > 0 then {limit} when total <= 0 then false end as within_realized_limit, true as point_in_time_ok, persistent and row_number() over (partition by theme, event_start, persistent order by decision_at) = 1 as first_signal from moved),
+    eh as (select decision_at, theme, signal, persistent, matured, label, future_return, future_excess_return, entry_at, exit_at, event_start, event_peak, event_metadata_available, within_onset_window, realized_move, realized_log_fraction, remaining_move_fraction, remaining_upside_to_peak,
+        within_realized_limit, point_in_time_ok, first_signal, persistent and matured and event_metadata_available and within_onset_window is not null and within_realized_limit is not null as eligible_for_early_hit, hold_52w_return, hold_52w_excess_return, hold_52w_exit_at,
+        coalesce(first_signal and matured and case when event_start is not null then qualifies else label end and within_onset_window and within_realized_limit, false) as hit from judged)
+    {select}""")
+
+
+EARLY_ROUNDED = ["future_return", "future_excess_return", "realized_move", "realized_log_fraction", "remaining_move_fraction", "remaining_upside_to_peak", "hold_52w_return", "hold_52w_excess_return"]
+
+
+@query("early_hits", early_sql_rows(HITS, f"select * replace ({r6(*EARLY_ROUNDED)}) from eh"))
 def early_hit_query(spark, sf_dir):
     return early_hit_rows(spark, sf_dir)
 
 
-@query("early_hits_report")
+@query("early_hits_strict", early_sql_rows(STRICT_HITS, f"select * replace ({r6(*EARLY_ROUNDED)}) from eh"))
+def early_hit_strict(spark, sf_dir):
+    return early_hit_rows(spark, sf_dir, STRICT_HITS)
+
+
+REPORT_SQL = """select count(*) filter (e) as eligible, count(*) filter (e and hit) as hits, round(count(*) filter (e and hit) / nullif(count(*) filter (e), 0), 6) + 0.0 as hit_rate, count(*) filter (signal and persistent) as persistent_signals, count(*) filter (signal and matured) as matured,
+    count(*) filter (e and hit) as first_hits, count(*) filter (signal and within_onset_window is not null) as window_available, count(*) filter (signal and realized_log_fraction is not null) as fraction_available, count(*) filter (e and not hit) as false_alerts,
+    round(median(date_diff('day', event_start, decision_at) / 7) filter (e), 6) + 0.0 as median_lead_lag_weeks, round(median(remaining_move_fraction) filter (e), 6) + 0.0 as median_remaining_move_fraction from (select *, eligible_for_early_hit as e from eh)"""
+
+
+@query("early_hits_report", early_sql_rows(HITS, REPORT_SQL))
 def early_hits_report(spark, sf_dir):
     return early_hits.early_hit_report(early_hit_rows(spark, sf_dir))
 
 
-@query("early_hits_by_year")
+@query("early_hits_by_year", early_sql_rows(HITS, "select cast(year(decision_at) as integer) as year, count(*) as false_alerts from eh where eligible_for_early_hit and not hit group by 1"))
 def early_hits_by_year(spark, sf_dir):
     return early_hits.annual_false_alerts(early_hit_rows(spark, sf_dir))
 
@@ -314,12 +414,6 @@ _audit("audit_history", audits.history_checks, [("insufficient_etf_history", "et
 _audit("audit_coverage", audits.coverage_checks, [("insufficient_coverage", "coverage is null or coverage < 0.95::double")])
 
 
-@query("audit_inception", f"with {FEATURES} select 'insufficient_etf_history' as code, count(*) as count from f where d < ms + interval 182 days")
-def audit_inception(spark, sf_dir):
-    rows = feature_table(spark, sf_dir).drop("history_weeks").withColumnRenamed("membership_start", "etf_inception")
-    return audits.issues(rows, audits.history_checks(rows)).select("code", "count")
-
-
 @query("audit_duplicates", f"with {FEATURES} select 'duplicate_feature_key' as code, sum(n)::bigint as count from (select count(*) as n from f group by d, symbol having count(*) > 1) having sum(n) is not null")
 def audit_duplicates(spark, sf_dir):
     return audits.audit_duplicates(feature_table(spark, sf_dir)).select("code", "count")
@@ -410,12 +504,6 @@ def scorecard_query(spark, sf_dir):
     return scorecard.scorecard(entity_records(spark, sf_dir), TODAY)
 
 
-@query("lane_scorecard")
-def lane_scorecard(spark, sf_dir):
-    run = pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD)
-    return scorecard.lane_scorecard(run.current_leader, run.emerging_radar, run.hold_candidate, TODAY)
-
-
 @query("unpivot_wide", "select date, entity, round(value, 6) + 0.0 as value from (select l_shipdate as date, l_quantity, l_extendedprice, l_discount from lineitem) unpivot (value for entity in (l_quantity, l_extendedprice, l_discount))")
 def unpivot_wide(spark, sf_dir):
     return unpivoted(table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount"), "date")
@@ -433,10 +521,3 @@ def validate_file(spark, sf_dir):
         F.when(F.col("event_id") % 20 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("value"),
     )
     return scorecard.validation_counts(rows)
-
-
-@query("challenge_controls", "select name, case_type from (values ('3d_printing'), ('cannabis'), ('metaverse'), ('hydrogen'), ('space'), ('ev_battery'), ('clean_energy'), ('china_internet'), ('spac')) v(name), (select 'negative_control' as case_type)")
-def challenge_controls(spark, sf_dir):
-    from fathomline.sources.challenges import challenge_cases
-
-    return challenge_cases(spark).where("not expected_positive").select("name", "case_type")

@@ -11,8 +11,8 @@ from fathomline.operators.labels import future_labels
 
 
 def persistent(signal: str, config: EarlyHitConfig, by: str = "theme", at: str = "decision_at"):
-    """A signal with at least persistence_count signals among the last persistence_window decisions, itself included."""
-    over = before_now(Window.partitionBy(by).orderBy(at), config.persistence_window)
+    """A signal with at least persistence_count signals among the last decisions of its window, itself included; without a window all of the last persistence_count."""
+    over = before_now(Window.partitionBy(by).orderBy(at), config.window)
     fired = F.coalesce(F.col(signal), F.lit(False))
     return fired & (F.sum(fired.cast("int")).over(over) >= config.persistence_count)
 
@@ -27,39 +27,55 @@ def price_at_or_before(asks: DataFrame, series: DataFrame, at: str, out: str, by
     return question.unionByName(answer).withColumn("_found", found).where("_later = 1").select("_ask.*", F.col("_found").alias(out))
 
 
+def event_at_or_before(asks: DataFrame, events: DataFrame, by: str = "theme") -> DataFrame:
+    """Adds _event: of the events (by, onset, ..., _order) that have begun by decision_at, the last in _order. Both sides become one stream by time, of which a running maximum is kept; never a range join."""
+    fact = F.struct("_order", *(c for c in events.columns if c not in (by, "_order")))
+    key = F.struct(*asks.columns)
+    question = asks.select(F.col(by).alias("_by"), F.col("decision_at").alias("_ts"), key.alias("_ask"), F.lit(1).alias("_later")).withColumn("_fact", F.lit(None).cast(events.select(fact.alias("f")).schema["f"].dataType))
+    answer = events.select(F.col(by).alias("_by"), F.col("onset").alias("_ts"), F.lit(None).cast(question.schema["_ask"].dataType).alias("_ask"), F.lit(0).alias("_later"), fact.alias("_fact"))
+    order = Window.partitionBy("_by").orderBy("_ts", "_later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return question.unionByName(answer).withColumn("_event", F.max("_fact").over(order)).where("_later = 1").select("_ask.*", "_event")
+
+
 def evaluate_early_hits(
-    signals: DataFrame, series: DataFrame, episodes: DataFrame, config: EarlyHitConfig | None = None, absolute_threshold: float = 0.80, excess_threshold: float = 0.40, require_point_in_time: bool = False, by: str = "theme"
+    signals: DataFrame,
+    series: DataFrame,
+    episodes: DataFrame | None = None,
+    config: EarlyHitConfig | None = None,
+    absolute_threshold: float | None = 0.80,
+    excess_threshold: float | None = 0.40,
+    require_point_in_time: bool = False,
+    by: str = "theme",
+    starts: DataFrame | None = None,
+    peaks: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each decision of signals (theme, decision_at, signal [, feature_available_at]).
 
-    episodes: (theme, onset, peak, qualifies [, row_order]); a decision belongs to the last of them, in row order (that of onsets where there is none), that has begun by then. A hit
-    is the first persistent signal of its episode, matured, inside the window around the onset, with less than log_fraction of the onset-to-peak log move made, and known in time.
+    episodes: (theme, onset, peak, qualifies [, row_order]); a decision belongs to the last of them, in row order (that of onsets where there is none), that has begun by then. starts and peaks (theme, decision_at, onset or peak) say either for
+    single decisions and come before those of the episode. A hit is the first persistent signal of its episode, matured, inside the window around the onset, with less than log_fraction of the onset-to-peak log move made, and known in time.
     """
     c = config or EarlyHitConfig()
     h = f"{c.horizon_weeks}w"
-    horizons = sorted({c.horizon_weeks, 52})
-    labels = future_labels(series, horizons, True, absolute_threshold, excess_threshold, by, drawdown=False)
-    hold = future_labels(series, [52], True, None, None, by, drawdown=False).select(by, "decision_at", F.col("future_52w_return").alias("hold_52w_return"), F.col("future_52w_excess_return").alias("hold_52w_excess_return"), F.col("exit_at_52w").alias("hold_52w_exit_at"))
-    own = labels.select(
-        by,
-        "decision_at",
-        F.col(f"label_{h}").alias("label"),
-        F.col(f"future_{h}_return").alias("future_return"),
-        F.col(f"future_{h}_excess_return").alias("future_excess_return"),
-        F.col(f"entry_at_{h}").alias("entry_at"),
-        F.col(f"exit_at_{h}").alias("exit_at"),
-    )
-    order = F.col("row_order") if "row_order" in episodes.columns else F.row_number().over(Window.partitionBy(by).orderBy("onset"))
-    events = episodes.where(F.col("onset").isNotNull()).select(F.col(by).alias("_by"), "onset", "peak", "qualifies", order.alias("_order"))
+    forward = future_labels(series, sorted({c.horizon_weeks, 52}), c.next_session, absolute_threshold, excess_threshold, by, drawdown=False)
+    own = {"label": f"label_{h}", "future_return": f"future_{h}_return", "future_excess_return": f"future_{h}_excess_return", "entry_at": f"entry_at_{h}", "exit_at": f"exit_at_{h}"}
+    own |= {"hold_52w_return": "future_52w_return", "hold_52w_excess_return": "future_52w_excess_return", "hold_52w_exit_at": "exit_at_52w"}
+    forward = forward.select(by, "decision_at", *(F.col(c_).alias(n) for n, c_ in own.items()))
     rows = signals.withColumn("signal", F.coalesce(F.col("signal"), F.lit(False))).withColumn("persistent", persistent("signal", c, by))
-    # a theme has few episodes: an equi-join on the theme with the onset as a further condition
-    found = rows.select(F.col(by), "decision_at").join(events, (F.col(by) == F.col("_by")) & (F.col("onset") <= F.col("decision_at")))
-    last = found.groupBy(by, "decision_at").agg(F.max_by(F.struct("onset", "peak", "qualifies"), "_order").alias("_event"))
-    rows = rows.join(last, [by, "decision_at"], "left").join(own, [by, "decision_at"], "left").join(hold, [by, "decision_at"], "left")
-    rows = rows.select("*", F.col("_event.onset").alias("event_start"), F.col("_event.peak").alias("event_peak"), F.col("_event.qualifies").alias("_qualifies"), F.col("_event").isNotNull().alias("_has_event")).drop("_event")
-    rows = price_at_or_before(rows, series, "event_start", "_base", by)
+    if episodes is None:
+        rows = rows.withColumn("_event", F.lit(None).cast("struct<onset:timestamp_ntz,peak:timestamp_ntz,qualifies:boolean,_base:double,_top:double>"))
+    else:
+        order = F.col("row_order") if "row_order" in episodes.columns else F.row_number().over(Window.partitionBy(by).orderBy("onset", "peak"))
+        events = episodes.where(F.col("onset").isNotNull()).select(by, "onset", "peak", "qualifies", order.alias("_order"))
+        # what an episode's prices are doesn't hang on the decision
+        events = price_at_or_before(price_at_or_before(events, series, "onset", "_base", by), series, "peak", "_top", by)
+        rows = event_at_or_before(rows, events, by)
+    rows = rows.join(forward, [by, "decision_at"], "left")
+    rows = rows.select("*", F.col("_event.onset").alias("event_start"), F.col("_event.peak").alias("event_peak"), F.col("_event._base").alias("_base"), F.col("_event._top").alias("_top"), F.col("_event.qualifies").alias("_qualifies"), F.col("_event").isNotNull().alias("_has_event")).drop("_event")
+    for given, name, at, price in ((starts, "onset", "event_start", "_base"), (peaks, "peak", "event_peak", "_top")):
+        if given is not None:
+            single = price_at_or_before(given.select(by, "decision_at", F.col(name).alias("_given")), series, "_given", "_price", by)
+            rows = rows.join(single, [by, "decision_at"], "left").withColumns({price: F.when(F.col("_given").isNotNull(), F.col("_price")).otherwise(F.col(price)), at: F.coalesce("_given", at)}).drop("_given", "_price")
     rows = price_at_or_before(rows, series, "decision_at", "_seen", by)
-    rows = price_at_or_before(rows, series, "event_peak", "_top", by)
     week = F.make_dt_interval(F.lit(7))
     metadata = F.col("event_start").isNotNull() & F.col("event_peak").isNotNull()
     priced = metadata & (F.col("_base") > 0) & F.col("_seen").isNotNull()
@@ -78,7 +94,8 @@ def evaluate_early_hits(
             "point_in_time_ok": gate(F.col("feature_available_at") <= F.col("decision_at")) if "feature_available_at" in signals.columns else F.lit(True),
         }
     )
-    limit = F.when(F.col("_total") > 0, gate(F.col("realized_log_fraction") < c.log_fraction)).when(F.col("_total") <= 0, False)
+    below = F.lit(True) if c.log_fraction is None else gate(F.col("realized_log_fraction") < c.log_fraction)
+    limit = F.when(F.col("_total") > 0, below).when(F.col("_total") <= 0, False)
     if require_point_in_time:
         limit = F.when(~F.col("point_in_time_ok"), False).otherwise(limit)
     rows = rows.withColumn("within_realized_limit", limit)

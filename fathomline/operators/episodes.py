@@ -1,7 +1,8 @@
 """Episodes: onset, first crossing and peak of large moves, their labels, and their merge into episodes that don't overlap.
 
 The onset of a row is the first lowest price of the rows from onset_weeks before it; a row crosses when its price has gained major_return on that low. Neither depends on the
-decision, so a decision's crossing is the next crossing row from its entry on, if it lies within the horizon.
+decision, so a decision's crossing is the next crossing row from its entry on, if it lies within the horizon. The peak of a row, the first highest price up to its own horizon, doesn't either: it is made of two windows
+over blocks of time (labels.paths). Only crossings in the last horizon of a series, whose own horizon isn't over, take a list of the rows after them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.config import EpisodeConfig
-from fathomline.operators.labels import DAY, classify_moves, observed
+from fathomline.operators.labels import classify_moves, first_from, observed, paths
 
 
 def measured(series: DataFrame, config: EpisodeConfig | None = None, by: str = "theme") -> DataFrame:
@@ -19,27 +20,34 @@ def measured(series: DataFrame, config: EpisodeConfig | None = None, by: str = "
     rows = observed(series, by)
     if "b_price" not in rows.columns:
         rows = rows.withColumn("b_price", F.lit(None).cast("double"))
-    order, by_time = Window.partitionBy(by).orderBy("ts"), Window.partitionBy(by).orderBy("_s")
+    order = Window.partitionBy(by).orderBy("ts")
+    descending = Window.partitionBy(by).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.struct("pos", "ts", "price", "b_price")
+    first_best = lambda p: F.struct(p("price").alias("price"), (-p("pos")).alias("back"), p("ts").alias("ts"), p("b_price").alias("b_price"))  # noqa: E731  of equal prices the first is the largest
+    rows = paths(rows, c.horizon_weeks, by, "peak", {"best": first_best(F.col)})
     low = F.min(F.struct("price", "pos", "ts", "b_price")).over(order.rowsBetween(-c.onset_weeks, Window.currentRow))
-    limit = F.first(here).over(by_time.rangeBetween(7 * c.horizon_weeks * DAY, Window.unboundedFollowing))
+    limit = first_from(F.struct("pos", "ts", "price", "b_price", "peak_to"), c.horizon_weeks, by)
     rows = rows.withColumns({"_here": here, "_low": low, "_limit": limit})
+    own, to = F.col("peak_from"), F.col("_limit.peak_to")
+    top = F.greatest(own["best"], F.when(to["block"] != own["block"], to["best"]), first_best(lambda n: F.col(f"_limit.{n}")))
+    rows = rows.withColumn("_top", F.when(F.col("_limit").isNotNull(), top))
     crosses = F.coalesce((F.col("_low.price") > 0) & (F.try_divide(F.col("price"), F.col("_low.price")) - 1.0 >= c.major_return), F.lit(False))
-    rows = rows.withColumn("_cross", F.when(crosses, F.struct("pos", F.col("_here").alias("at"), F.col("_low").alias("low"), F.col("_limit").alias("until"))))
-    rows = rows.withColumn("_next", F.min("_cross").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    # The peak is the highest of a stretch that starts at the entry or the crossing and is at most two horizons long
+    rows = rows.withColumn("_cross", F.when(crosses, F.struct("pos", F.col("_here").alias("at"), F.col("_low").alias("low"), F.col("_top").alias("top"))))
+    rows = rows.withColumn("_next", F.last("_cross", ignorenulls=True).over(descending))
+    open_ended = rows.where("_limit is null").select(by, "pos", "_cross", first_best(F.col).alias("_best"))
+    open_ended = open_ended.withColumn("_after", F.collect_list("_best").over(descending)).where("_cross is not null").select(F.col(by).alias("_by"), F.col("pos").alias("_from"), "_after")
     later = (lambda n: F.lead(n).over(order)) if c.next_session else F.col
-    rows = rows.withColumns({"entry": later("_here"), "_terminal": later("_limit"), "_ahead": later("_next")})
-    path = F.collect_list("_here").over(by_time.rangeBetween(0, 14 * c.horizon_weeks * DAY - 1))
-    rows = rows.withColumn("_path", path).withColumn("_path", later("_path"))
+    rows = rows.withColumns({"entry": later("_here"), "_terminal": later("_limit"), "_ahead": later("_next"), "_entry_top": later("_top")})
     rows = rows.withColumn("matured", F.col("_terminal").isNotNull())
     rows = rows.withColumn("crossing", F.when(F.col("_ahead.pos") <= F.col("_terminal.pos"), F.col("_ahead")))
-    rows = rows.withColumn("_last", F.when(F.col("crossing").isNotNull(), F.coalesce("crossing.until", "_terminal")).otherwise(F.col("_terminal")))
-    begin = F.when(F.col("crossing").isNotNull(), F.col("crossing.at")).otherwise(F.col("entry"))
-    rows = rows.withColumn("_begin", begin)
-    stretch = F.concat(F.filter("_path", lambda p: (p["pos"] >= F.col("_begin.pos")) & (p["pos"] < F.col("_last.pos"))), F.array(F.col("_last")))
-    top = F.aggregate(stretch, F.col("_begin"), lambda a, p: F.when(p["price"] > a["price"], p).otherwise(a))
-    end = top if c.max_forward else F.when(F.col("crossing").isNotNull(), top).otherwise(F.col("_last"))
+    rows = rows.withColumn("_open", F.when(F.col("crossing").isNotNull() & F.col("crossing.top").isNull(), F.col("crossing.pos")))
+    rows = rows.join(open_ended, (F.col(by) == F.col("_by")) & (F.col("_open") == F.col("_from")), "left")
+    many = F.col("_terminal.pos") - F.col("_open") + 1  # rows from the crossing to the terminal, the last of the descending list
+    tail_top = F.array_max(F.slice("_after", -many, many))
+    top = F.when(F.col("_open").isNotNull(), tail_top).otherwise(F.col("crossing.top"))
+    without = F.col("_entry_top") if c.max_forward else first_best(lambda n: F.col(f"_terminal.{n}"))
+    rows = rows.withColumn("_end", F.when(F.col("crossing").isNotNull(), top).otherwise(without))
+    end = F.struct((-F.col("_end.back")).alias("pos"), F.col("_end.ts").alias("ts"), F.col("_end.price").alias("price"), F.col("_end.b_price").alias("b_price"))
     low_here = F.col("crossing.low")
     onset = F.when(F.col("crossing").isNotNull(), F.struct(low_here["pos"].alias("pos"), low_here["ts"].alias("ts"), low_here["price"].alias("price"), low_here["b_price"].alias("b_price"))).otherwise(F.col("entry"))
     rows = rows.withColumns({"onset": F.when(F.col("matured"), onset), "end": F.when(F.col("matured"), end)})

@@ -1,7 +1,8 @@
 """What happened after a decision: forward returns, leader flags, move classes.
 
 A series is a table (theme, ts, price, b_price); b_price may be missing as a column or null where the benchmark has no price. Rows with a null in either are no observations.
-The entry is the next observation after the decision; the exit the first one at least so many weeks after the entry, by a RANGE frame that gaps don't mislead.
+The entry is the next observation after the decision; the exit the first one at least so many weeks after the entry, by a RANGE frame that gaps don't mislead. Frames grow from one end only (later rows are reached in descending
+order), so a series takes time in proportion to its rows, however dense they are; what lies between an entry and its exit is summed up by paths(), without a list of rows for each row.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.config import EpisodeConfig
-from fathomline.functions.expr import gate, percentile_rank, worst_fall
+from fathomline.functions.expr import gate, percentile_rank
 
 HORIZONS = (13, 26, 52)
 DAY = 86400
@@ -26,18 +27,51 @@ def observed(series: DataFrame, by: str = "theme") -> DataFrame:
     return rows.withColumns({"pos": F.row_number().over(order) - 1, "_s": F.unix_seconds(F.col("ts").cast("timestamp"))})
 
 
-def forward(rows: DataFrame, horizons: Sequence[int], by: str = "theme", next_session: bool = True) -> DataFrame:
-    """Adds entry and exit_H: structs (ts, price, b_price, pos) of the entry and of each horizon's exit, null where the series ends before."""
-    names = [c for c in ("ts", "price", "b_price", "parent_price", "pos") if c in rows.columns]
+def first_from(value: Column, weeks: int, by: str) -> Column:
+    """value of the first row at least so many weeks later. In descending order that is the last of a frame that only grows."""
+    return F.last(value).over(Window.partitionBy(by).orderBy(F.col("_s").desc()).rangeBetween(Window.unboundedPreceding, -7 * weeks * DAY))
+
+
+def forward(rows: DataFrame, horizons: Sequence[int], by: str = "theme", next_session: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Adds entry and exit_H: structs (ts, price, b_price, pos and the columns of carry) of the entry and of each horizon's exit, null where the series ends before."""
+    names = [c for c in ("ts", "price", "b_price", "parent_price", "pos", *carry) if c in rows.columns]
     here = F.struct(*names)
-    by_time = Window.partitionBy(by).orderBy("_s")
-    exits = {f"_exit{h}": F.first(here).over(by_time.rangeBetween(7 * h * DAY, Window.unboundedFollowing)) for h in horizons}
+    exits = {f"_exit{h}": first_from(here, h, by) for h in horizons}
     rows = rows.withColumns({"_here": here, **exits})
     order = Window.partitionBy(by).orderBy("ts")
     later = (lambda c: F.lead(c).over(order)) if next_session else F.col
     return rows.withColumns({"entry": later("_here"), **{f"exit_{h}": later(f"_exit{h}") for h in horizons}}).drop("_here", *exits)
 
 
+def paths(rows: DataFrame, weeks: int, by: str, name: str, sums: dict[str, Column], falls: bool = False) -> DataFrame:
+    """Adds the structs <name>_from and <name>_to, for stretches of rows that end before the first row at least so many weeks later.
+
+    Time is cut into blocks of that length. Such a stretch begins in one block and ends in it, at its last row, or in the next: it is what follows in the first (<name>_from: block and sums from a row to its block's end) and, if the row
+    before the stretch's end lies in another block, what precedes in the second (<name>_to of the end: block and sums of its block up to the row before the end). sums: name -> value of which the largest is wanted; falls: also the deepest fall of price below its own running peak, with
+    highest and lowest price. Both are windows over one block each, so no row gets a list, and a long series is many tasks.
+    """
+    block = f"_{name}_block"
+    rows = rows.withColumn(block, F.floor(F.col("_s") / (7 * weeks * DAY)))
+    at = Window.partitionBy(by, block)
+    ahead, behind = at.orderBy(F.col("pos").desc()), at.orderBy("pos")
+    grown = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = {k: (F.max(v).over(grown(ahead)), F.max(v).over(grown(behind))) for k, v in sums.items()}
+    if falls:
+        both |= {"top": tuple(F.max("price").over(grown(w)) for w in (ahead, behind)), "low": tuple(F.min("price").over(grown(w)) for w in (ahead, behind))}
+        rows = rows.withColumns({f"_{name}_l": both["low"][0], f"_{name}_t": both["top"][1]})
+        fall = (F.try_divide(F.col(f"_{name}_l"), F.col("price")), F.try_divide(F.col("price"), F.col(f"_{name}_t")))
+        both["fall"] = tuple(F.min(x - 1.0).over(grown(w)) for x, w in zip(fall, (ahead, behind), strict=True))
+    rows = rows.withColumns({f"{name}_from": F.struct(F.col(block).alias("block"), *(x[0].alias(k) for k, x in both.items())), f"_{name}_up": F.struct(F.col(block).alias("block"), *(x[1].alias(k) for k, x in both.items()))})
+    return rows.withColumn(f"{name}_to", F.lag(f"_{name}_up").over(Window.partitionBy(by).orderBy("ts"))).drop(block, f"_{name}_up", f"_{name}_l", f"_{name}_t")
+
+
+def deepest_fall(begin: Column, end: Column, last: Column) -> Column:
+    """The deepest fall of the rows of a stretch (begin: its first row's <name>_from, end: its end's <name>_to) and of the price `last` that ends it."""
+    own = F.least(F.lit(0.0), begin["fall"], F.try_divide(last, begin["top"]) - 1.0)
+    more = F.least(end["fall"], F.try_divide(end["low"], begin["top"]) - 1.0, F.try_divide(last, end["top"]) - 1.0)
+    return F.when(end["block"] == begin["block"], own).otherwise(F.least(own, more))
+
+
 def future_labels(
     series: DataFrame,
     horizons: Sequence[int] = HORIZONS,
@@ -55,16 +89,13 @@ def future_labels(
     """
     if any(h <= 0 for h in horizons):
         raise ValueError("horizons must be positive")
-    rows = observed(series, by)
-    rows = forward(rows, horizons, by, next_session)
-    has_benchmark = "b_price" in series.columns
+    rows, carry = observed(series, by), []
     if drawdown:
-        # all rows before an exit lie nearer than its horizon, so the prices of the longest horizon serve all
-        reach = Window.partitionBy(by).orderBy("_s").rangeBetween(0, 7 * max(horizons) * DAY - 1)
-        path = F.collect_list("price").over(reach)
-        rows = rows.withColumn("_path", path)
-        if next_session:
-            rows = rows.withColumn("_path", F.lead("_path").over(Window.partitionBy(by).orderBy("ts")))
+        for h in horizons:
+            rows = paths(rows, h, by, f"path{h}", {}, falls=True)
+            carry += [f"path{h}_from", f"path{h}_to"]
+    rows = forward(rows, horizons, by, next_session, carry)
+    has_benchmark = "b_price" in series.columns
     out: list[Column] = [F.col("ts").alias("decision_at"), F.col(by)]
     for h in horizons:
         entry, end, s = F.col("entry"), F.col(f"exit_{h}"), f"{h}w"
@@ -87,7 +118,7 @@ def future_labels(
             F.when(known, label).alias(f"label_{s}"),
         ]
         if drawdown:
-            out.append(F.when(done & (entry["price"] != 0), worst_fall(F.concat(F.slice("_path", 1, end["pos"] - entry["pos"]), F.array(end["price"])))).alias(f"future_{s}_max_relative_drawdown"))
+            out.append(F.when(done & (entry["price"] != 0), deepest_fall(entry[f"path{h}_from"], end[f"path{h}_to"], end["price"])).alias(f"future_{s}_max_relative_drawdown"))
         if "parent_price" in series.columns:
             parent = F.when(entry["parent_price"] != 0, F.try_divide(end["parent_price"], entry["parent_price"]) - 1.0)
             out.append((gain - parent).alias(f"future_{s}_parent_sector_excess_return"))
@@ -121,7 +152,7 @@ def classify_moves(moves: DataFrame, config: EpisodeConfig | None = None) -> Dat
             "breadth_up_ok": up_ok,
             "breadth_beat_spy_ok": beat_ok,
             "breadth_ok": up_ok & beat_ok,
-            "min_names_ok": gate(have("active_names", "bigint") >= c.min_names),
+            "min_names_ok": gate(have("active_names", "bigint") >= c.min_names) if c.require_min_names else F.lit(True),
             "top_decile_ok": F.coalesce(decile, rank >= c.min_rank, F.lit(True)),
         }
     )

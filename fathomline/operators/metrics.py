@@ -12,7 +12,7 @@ from fathomline.operators.panel import Panel
 def theme_metrics(panel: Panel) -> DataFrame:
     """One row for each theme and week: the columns of panel.themes, with
 
-    rs_Nw, relative_ratio_Nw, m0 and m0_rank, b26 (benchmark window), acceleration and its parts, rs_rank_Nw, acceleration_rank, max_drawdown_52w, effective_date.
+    rs_Nw, relative_ratio_Nw, m0, m0_rank and m0_benchmark (over m0_window weeks), acceleration and its parts, rs_rank_Nw, acceleration_rank, max_drawdown_52w, effective_date.
     The benchmark and the sessions have one row for each week, so they are broadcast.
     """
     by = Window.partitionBy("theme").orderBy("week")
@@ -34,10 +34,12 @@ def theme_metrics(panel: Panel) -> DataFrame:
         percentile_rank("acceleration", "week").alias("acceleration_rank"),
         percentile_rank("early_acceleration", "week").alias("early_acceleration_rank"),
     )
-    return ranked.withColumns({"m0": F.col("rs_26w"), "m0_rank": F.col("rs_rank_26w")})
+    n = panel.config.m0_window
+    return ranked.withColumns({"m0": F.col(f"rs_{n}w"), "m0_rank": F.col(f"rs_rank_{n}w"), "m0_benchmark": F.col(f"b{n}")})
 
 
 def relative_strength(panel: Panel) -> DataFrame:
-    """Which themes have positive 26-week strength against the benchmark each Friday, and where they rank."""
-    out = panel.themes.join(F.broadcast(panel.benchmark), "week", "left").select("week", "theme", (F.col("t26") - F.col("b26")).alias("m0"))
+    """Which themes have positive strength over m0_window weeks against the benchmark each Friday, and where they rank."""
+    n = panel.config.m0_window
+    out = panel.themes.join(F.broadcast(panel.benchmark), "week", "left").select("week", "theme", (F.col(f"t{n}") - F.col(f"b{n}")).alias("m0"))
     return out.select("week", "theme", "m0", percentile_rank("m0", "week").alias("m0_rank"), F.coalesce(F.col("m0") > 0, F.lit(False)).alias("is_positive"))

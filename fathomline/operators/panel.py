@@ -145,9 +145,10 @@ def next_sessions(observed: DataFrame) -> DataFrame:
 
 
 class Panel:
-    """The tables of one input, built lazily. The weekly observations, which all tables read, are kept by Spark (and made again where an executor is lost) until release()."""
+    """The tables of one input, built lazily. All of them read the weekly observations: within a query Spark makes these once and reuses their exchange. Someone who runs many queries on one panel
+    may have them kept (keep=True, made again where an executor is lost) until release()."""
 
-    def __init__(self, data: DataFrame, config: PanelConfig | None = None, row_order: str | None = None, keep: bool = True) -> None:
+    def __init__(self, data: DataFrame, config: PanelConfig | None = None, row_order: str | None = None, keep: bool = False) -> None:
         self.config = config or PanelConfig()
         self.rows = normalised(data, row_order)
         self.observed = weekly_observations(self.rows, self.config.min_value)

@@ -31,7 +31,7 @@ def _base(metrics: DataFrame, as_of: date | str | None) -> DataFrame:
             "m0_26w_spy_relative_rank": F.col("m0_rank"),
             "m0_available": F.col("m0").isNotNull(),
             "m0_baseline_available": F.col("m0").isNotNull(),
-            "benchmark_26w_available": F.col("b26").isNotNull(),
+            "benchmark_26w_available": F.col("m0_benchmark").isNotNull(),
         }
     )
     return rows if as_of is None else rows.where(F.col("week") <= F.to_date(F.lit(str(as_of))))

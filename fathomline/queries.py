@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.config import CurrentLeaderConfig, EmergingRadarConfig, HoldCandidateConfig, PanelConfig
 from fathomline.functions.expr import WINDOWS
 from fathomline.operators import metrics, panel
-from fathomline.plans import lanes
+from fathomline.plans import lanes, pipeline
 from fathomline.sources.testdata import events_panel, lineitem_panel
 
 #: Configurations that let noisy prices reach every status.
@@ -46,8 +46,9 @@ def r6(*names: str) -> str:
 WEEK = "cast({0} as date) + cast((5 - isodow({0}) + 7) % 7 as integer)"
 
 
-def panel_sql(theme: str = "l_returnflag", participation: float = 0.5) -> str:
-    """Common table expressions: series, px, cal, members, bench, themes, metrics."""
+def panel_sql(theme: str = "l_returnflag", participation: float = 0.5, until: str | None = None, m0: int = 26) -> str:
+    """Common table expressions: series (up to midnight of `until`), px, cal, members, bench, themes, metrics."""
+    limit = f"where date <= timestamp '{until}'" if until else ""
     join = "join part on l_partkey = p_partkey" if theme == "p_brand" else ""
     frame = lambda by, n: f"(partition by {by} order by week rows between {n - 1} preceding and current row)" if by else f"(order by week rows between {n - 1} preceding and current row)"
 
@@ -68,7 +69,7 @@ def panel_sql(theme: str = "l_returnflag", participation: float = 0.5) -> str:
     return f"""
     lines as (select l_shipdate as date, {WEEK.format('l_shipdate')} as week, {theme} as theme, cast(l_linenumber as varchar) as security, l_extendedprice / l_quantity as unit from lineitem {join}),
     each as (select week, theme, security, max(date) as date, sum(unit) as total, count(unit) as n from lines group by all),
-    series as (select date, week, theme, security, 100 + total / n / 1000 as value from each union all select max(date), week, '__market__', 'SPY', 100 + sum(total) / sum(n) / 1000 from each group by week),
+    series as (select * from (select date, week, theme, security, 100 + total / n / 1000 as value from each union all select max(date), week, '__market__', 'SPY', 100 + sum(total) / sum(n) / 1000 from each group by week) {limit}),
     px as (select week, theme, security, max_by(value, date) as price from series where value > 0 group by all),
     cal as (select cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from series),
     grid as (select week, theme, security from (select distinct theme, security from series where security <> 'SPY'), cal),
@@ -79,7 +80,7 @@ def panel_sql(theme: str = "l_returnflag", participation: float = 0.5) -> str:
     bench as (select *, {windows('b_ret', '', 'b')} from spy),
     sums as (select week, theme, sum(cast(seen as integer)) as members_seen, count(ret) as members_valid, avg(ret) as mean, {sums} from members left join bench using (week) group by week, theme),
     shares as (select week, theme, members_seen, members_valid, members_valid / nullif(members_seen, 0) as participation,
-        case when members_valid >= greatest(1, ceil(members_seen * {participation})) then mean end as theme_return, {shares} from sums),
+        case when members_valid >= greatest(1, ceil(members_seen * {participation}::double)) then mean end as theme_return, {shares} from sums),
     themes as (select *, {windows('theme_return', 'theme', 't')}, case when theme_return is not null then 100 * product(1 + theme_return) over (partition by theme order by week) end as theme_index,
         cast(count(theme_return) over (partition by theme order by week) as double) as history_weeks,
         case when count(theme_return) over {frame('theme', 26)} = 26 then stddev_samp(theme_return) over {frame('theme', 26)} * sqrt(52) end as annualized_volatility_26w from shares),
@@ -89,19 +90,19 @@ def panel_sql(theme: str = "l_returnflag", participation: float = 0.5) -> str:
         from cal left join (select case when date > cast(week as timestamp) then week else week - 7 end as week, min(date) as session from series group by 1) using (week)),
     strength as (select *, {', '.join(f't{w} - b{w} as rs_{w}w' for w in WINDOWS)} from themes left join bench using (week) left join fall using (week, theme) left join ses using (week)),
     speed as (select *, rs_4w / 4 - rs_8w / 8 as accel_4v8, rs_8w / 8 - rs_13w / 13 as accel_8v13, rs_4w / 4 - rs_13w / 13 as early_acceleration, 0.60::double * (rs_4w / 4 - rs_8w / 8) + 0.40::double * (rs_8w / 8 - rs_13w / 13) as acceleration from strength),
-    metrics as (select *, rs_26w as m0, {', '.join(rank(f'rs_{w}w', f'rs_rank_{w}w') for w in WINDOWS)}, {rank('rs_26w', 'm0_rank')}, {rank('acceleration', 'acceleration_rank')}, {rank('early_acceleration', 'early_acceleration_rank')} from speed)"""
+    metrics as (select *, rs_{m0}w as m0, b{m0} as m0_benchmark, {', '.join(rank(f'rs_{w}w', f'rs_rank_{w}w') for w in WINDOWS)}, {rank(f'rs_{m0}w', 'm0_rank')}, {rank('acceleration', 'acceleration_rank')}, {rank('early_acceleration', 'early_acceleration_rank')} from speed)"""
 
 
-def _panel(spark: SparkSession, sf_dir: str, theme: str = "l_returnflag") -> panel.Panel:
-    return panel.Panel(lineitem_panel(spark, sf_dir, theme), PanelConfig())
+def _panel(spark: SparkSession, sf_dir: str, theme: str = "l_returnflag", config: PanelConfig | None = None) -> panel.Panel:
+    return panel.Panel(lineitem_panel(spark, sf_dir, theme), config or PanelConfig())
 
 
 def _metrics(spark: SparkSession, sf_dir: str, theme: str = "l_returnflag") -> DataFrame:
     return metrics.theme_metrics(_panel(spark, sf_dir, theme))
 
 
-def with_panel(select: str, theme: str = "l_returnflag") -> str:
-    return f"with {panel_sql(theme)} {select}"
+def with_panel(select: str, theme: str = "l_returnflag", **options) -> str:
+    return f"with {panel_sql(theme, **options)} {select}"
 
 
 @query("m0_rank", with_panel(f"select week, theme, {r6('m0', 'm0_rank')}, coalesce(m0 > 0, false) as is_positive from metrics"))
@@ -189,7 +190,7 @@ def _flags(*pairs: tuple[str, str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"case when coalesce({c}, false) then '{n}' end" for c, n in pairs) + "], lambda x: x is not null), '; ')"
 
 
-HEAD = "week as decision_date, theme, " + r6("m0").replace(" as m0", " as m0_26w_spy_relative") + ", " + r6("m0_rank") + ", m0 is not null as m0_available, b26 is not null as benchmark_26w_available"
+HEAD = "week as decision_date, theme, " + r6("m0").replace(" as m0", " as m0_26w_spy_relative") + ", " + r6("m0_rank") + ", m0 is not null as m0_available, m0_benchmark is not null as benchmark_26w_available"
 TAIL = (
     "status, warnings, effective_date, week as signal_date, 'Friday' as decision_weekday, coalesce(effective_date > cast(week as timestamp), false) as effective_is_next_session, "
     + r6("m0_rank").replace(" as m0_rank", " as m0_26w_spy_relative_rank")
@@ -197,12 +198,17 @@ TAIL = (
 )
 
 
-def leader_sql(c: CurrentLeaderConfig) -> str:
+def trimmed(until: str | None) -> str:
+    """Decision dates later than the as-of day go, after all windows are made."""
+    return f"where week <= date '{until}'" if until else ""
+
+
+def leader_sql(c: CurrentLeaderConfig, until: str | None = None) -> str:
     w = c.score_weights
     own = ["rs_13w", "rs_26w", "rs_52w", "rs_rank_13w", "rs_rank_26w", "rs_rank_52w", "breadth_13w", "breadth_26w", "breadth_52w", "breadth_average", "participation", "history_weeks", "leader_score", "leader_rank"]
     flags = _flags(
         ("status = 'insufficient_history'", "insufficient_history"),
-        ("b26 is null", "missing_spy_26w_baseline"),
+        ("m0_benchmark is null", "missing_spy_26w_baseline"),
         ("not m0_baseline_pass and m0 is not null", "negative_m0_26w_spy_relative"),
         ("not breadth_gate_pass", "breadth_below_threshold"),
         ("not participation_gate_pass", "low_participation"),
@@ -219,17 +225,17 @@ def leader_sql(c: CurrentLeaderConfig) -> str:
     s as (select *, case when is_current_leader then 'current_leader' when pass then 'eligible_not_top' when ready and not (participation_gate_pass and breadth_gate_pass) then 'warning'
         when not ready then 'insufficient_history' else 'not_leader' end as status from l),
     f as (select *, {flags} as warnings from s)
-    select {HEAD}, {r6(*own)}, m0_baseline_pass, breadth_gate_pass, participation_gate_pass, is_current_leader, {TAIL} from f""".replace("\n    ,", ",", 1))
+    select {HEAD}, {r6(*own)}, m0_baseline_pass, breadth_gate_pass, participation_gate_pass, is_current_leader, {TAIL} from f {trimmed(until)}""".replace("\n    ,", ",", 1), participation=c.min_participation, until=until, m0=c.m0_window)
 
 
-def radar_sql(c: EmergingRadarConfig) -> str:
+def radar_sql(c: EmergingRadarConfig, until: str | None = None) -> str:
     own = ["rs_4w", "rs_8w", "rs_13w", "rs_rank_4w", "rs_rank_8w", "rs_rank_13w", "accel_4v8", "accel_8v13", "acceleration", "acceleration_rank", "rank_improvement_4v13", "rank_improvement_4v8", "breadth_4w", "breadth_8w", "breadth_13w"]
     own += ["breadth_average", "participation", "concentration_4w", "concentration_8w", "concentration_13w", "concentration_max", "top_security_share_4w", "history_weeks", "radar_score"]
     gates = ["m0_baseline_pass", "acceleration_gate_pass", "rank_improvement_gate_pass", "breadth_gate_pass", "participation_gate_pass", "concentration_gate_pass"]
     flags = _flags(
         ("true", "watchlist_only_not_a_buy_recommendation"),
         ("status = 'insufficient_history'", "insufficient_history"),
-        ("b26 is null", "missing_spy_26w_baseline"),
+        ("m0_benchmark is null", "missing_spy_26w_baseline"),
         ("m0 is not null and not m0_baseline_pass", "negative_m0_26w_spy_relative"),
         ("breadth_4w is not null and not breadth_gate_pass", "low_breadth"),
         ("participation is not null and not participation_gate_pass", "low_participation"),
@@ -245,10 +251,10 @@ def radar_sql(c: EmergingRadarConfig) -> str:
     l as (select *, ready and participation_gate_pass and rank_improvement_gate_pass and acceleration_gate_pass and coalesce(rs_4w >= {c.min_fast_relative_strength}::double, false) and coalesce(radar_score >= {c.score_threshold}::double, false) as is_watchlist from b),
     s as (select *, case when is_watchlist then 'watch' when ready and not (participation_gate_pass and breadth_gate_pass and concentration_gate_pass) then 'warning' when not ready then 'insufficient_history' else 'not_watch' end as status from l),
     f as (select *, {flags} as warnings from s)
-    select {HEAD}, {r6(*own)}, {', '.join(gates)}, is_watchlist, {TAIL}, '{lanes.RECOMMENDATION}' as recommendation, true as not_a_buy_recommendation from f""".replace("\n    ,", ",", 1))
+    select {HEAD}, {r6(*own)}, {', '.join(gates)}, is_watchlist, {TAIL}, '{lanes.RECOMMENDATION}' as recommendation, true as not_a_buy_recommendation from f {trimmed(until)}""".replace("\n    ,", ",", 1), participation=c.min_participation, until=until, m0=c.m0_window)
 
 
-def hold_sql(c: HoldCandidateConfig) -> str:
+def hold_sql(c: HoldCandidateConfig, until: str | None = None) -> str:
     own = ["rs_13w", "rs_26w", "rs_52w", "rs_rank_13w", "rs_rank_26w", "rs_rank_52w", "breadth_13w", "breadth_26w", "breadth_52w", "breadth_average", "participation", "concentration_13w", "concentration_26w", "concentration_52w", "concentration_max"]
     own += ["annualized_volatility_26w", "max_drawdown_52w", "durability_score", "confirmation_count", "candidate_score", "history_weeks"]
     gates = ["m0_baseline_pass", "rs_gate_pass", "durability_gate_pass", "risk_gate_pass", "confirmation_gate_pass"]
@@ -257,7 +263,7 @@ def hold_sql(c: HoldCandidateConfig) -> str:
     over = f"over (partition by theme order by week rows between {c.confirmation_window - 1} preceding and current row)"
     flags = _flags(
         ("status = 'insufficient_history'", "insufficient_history"),
-        ("b26 is null", "missing_spy_26w_baseline"),
+        ("m0_benchmark is null", "missing_spy_26w_baseline"),
         ("m0 is not null and not m0_baseline_pass", "negative_m0_26w_spy_relative"),
         ("rs_13w is not null and not rs_gate_pass", "relative_strength_gate_failed"),
         ("durability_score is not null and not durability_gate_pass", "durability_gate_failed"),
@@ -280,13 +286,13 @@ def hold_sql(c: HoldCandidateConfig) -> str:
     s as (select *, case when is_hold_candidate then 'hold_candidate' when ready and strong and durability_gate_pass and risk_gate_pass and not confirmation_gate_pass then 'awaiting_confirmation'
         when ready and strong and durability_gate_pass and not risk_gate_pass then 'risk_rejected' when ready and not (strong and durability_gate_pass) then 'warning' when not ready then 'insufficient_history' else 'not_candidate' end as status from l),
     f as (select *, {flags} as warnings from s)
-    select {HEAD}, {r6(*own)}, {', '.join(gates)}, is_hold_candidate, {TAIL} from f""".replace("\n    ,", ",", 1))
+    select {HEAD}, {r6(*own)}, {', '.join(gates)}, is_hold_candidate, {TAIL} from f {trimmed(until)}""".replace("\n    ,", ",", 1), participation=c.min_participation, until=until, m0=c.m0_window)
 
 
 def _lane(name: str, lane, config, sql: str) -> None:
     @query(name, sql)
     def run(spark, sf_dir):
-        return lane(_metrics(spark, sf_dir), config)
+        return lane(metrics.theme_metrics(_panel(spark, sf_dir, config=config)), config)
 
 
 _lane("current_leader", lanes.current_leader, CurrentLeaderConfig(), leader_sql(CurrentLeaderConfig()))
@@ -295,3 +301,27 @@ _lane("emerging_radar", lanes.emerging_radar, EmergingRadarConfig(), radar_sql(E
 _lane("emerging_radar_easy", lanes.emerging_radar, EASY_RADAR, radar_sql(EASY_RADAR))
 _lane("hold_candidate", lanes.hold_candidate_12m, HoldCandidateConfig(), hold_sql(HoldCandidateConfig()))
 _lane("hold_candidate_easy", lanes.hold_candidate_12m, EASY_HOLD, hold_sql(EASY_HOLD))
+
+
+#: A Wednesday: the week that it lies in has no decision yet.
+AS_OF = "1999-03-10"
+#: Settings of which each lane needs a panel of its own.
+OWN_LEADER = CurrentLeaderConfig(**{**EASY_LEADER.__dict__, "m0_window": 13, "min_participation": 0.4})
+OWN_RADAR = EmergingRadarConfig(**{**EASY_RADAR.__dict__, "min_participation": 0.9})
+OWN_HOLD = HoldCandidateConfig(**{**EASY_HOLD.__dict__, "min_participation": 0.75})
+
+
+def _as_of(name: str, lane: str, sql) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), AS_OF, OWN_LEADER, OWN_RADAR, OWN_HOLD).lanes[lane]
+
+
+_as_of("current_leader_as_of", "current_leader", leader_sql(OWN_LEADER, AS_OF))
+_as_of("emerging_radar_as_of", "emerging_radar", radar_sql(OWN_RADAR, AS_OF))
+_as_of("hold_candidate_as_of", "hold_candidate_12m", hold_sql(OWN_HOLD, AS_OF))
+
+
+@query("m0_rank_13", with_panel(f"select week, theme, {r6('m0', 'm0_rank')}, coalesce(m0 > 0, false) as is_positive from metrics", m0=13))
+def m0_rank_13(spark, sf_dir):
+    return metrics.relative_strength(_panel(spark, sf_dir, config=PanelConfig(m0_window=13)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.parsing import confidence
-from fathomline.operators.membership import unknown_themes
+from fathomline.operators.membership import theme_counts, unknown_themes
+from fathomline.sources.readers import read_rows
 
 THEME = "theme_id string, name string, description string, category string, is_negative_control boolean, historical_data_status string"
 SOURCE = "source_id string, uri string, sha256 string, retrieved_at string, evidence_available_at string, content_type string, row_count bigint, complete boolean, redistributable boolean, notes string"
@@ -96,3 +98,45 @@ def load_catalog(spark: SparkSession, folder: str) -> Catalog:
     if unknown:
         raise CatalogError(f"memberships of unknown themes: {', '.join(sorted(unknown))}")
     return Catalog(themes, memberships, sources)
+
+
+#: What is listed where there's no catalog.
+FALLBACK = [("AI Infrastructure", "Current Leader"), ("Cybersecurity", "Emerging Radar"), ("Grid Modernization", "12M Hold Candidate")]
+CATALOG_FOLDERS, ROW_FILES = ("data/catalog", "catalog"), (".csv", ".json", ".jsonl")
+
+
+def search_folders(roots: list[str | Path] | None = None) -> list[Path]:
+    """Where a catalog may lie under the roots: the working folder and this package's, if none are given. Each once."""
+    roots = [Path.cwd(), Path(__file__).resolve().parents[2], Path(__file__).resolve().parents[1]] if roots is None else roots
+    return list(dict.fromkeys(Path(root, name).resolve() for root in roots for name in CATALOG_FOLDERS))
+
+
+def first_row_file(folder: Path) -> Path | None:
+    return next((p for p in sorted(folder.iterdir()) if p.suffix.lower() in ROW_FILES), None) if folder.is_dir() else None
+
+
+def catalog_items(spark: SparkSession, path: str | None = None, roots: list[str | Path] | None = None) -> tuple[DataFrame, str]:
+    """(what a catalog lists, where it is from). A folder with themes.yaml and memberships.csv gives its themes with the number of their members; else the first file of rows in a folder, or the file that is named, is listed as it is; else FALLBACK.
+
+    Without a path the search folders are tried in turn. A catalog that doesn't fit together doesn't stop the listing.
+    """
+    given = Path(path) if path else None
+    folders = [given] if given and given.is_dir() else [] if given else search_folders(roots)
+    for folder in folders:
+        if (folder / "themes.yaml").is_file() and (folder / "memberships.csv").is_file():
+            try:
+                own = load_catalog(spark, str(folder))
+            except (CatalogError, PySparkException):
+                continue
+            items = theme_counts(own.themes, own.memberships).withColumnRenamed("members", "memberships")
+            if not items.isEmpty():
+                return items.withColumns({"theme": F.coalesce("name", "theme_id"), "source": F.lit(str(folder))}), str(folder / "themes.yaml")
+    files = [given] if given and given.is_file() else [f for f in map(first_row_file, folders) if f]
+    for file in files[:1]:
+        try:
+            rows = read_rows(spark, str(file))
+            if not rows.isEmpty():
+                return (rows if "source" in rows.columns else rows.withColumn("source", F.lit(str(file)))), str(file)
+        except (OSError, PySparkException):
+            pass
+    return spark.createDataFrame([(t, lane, "demo") for t, lane in FALLBACK], "theme string, lane string, source string"), "demo"

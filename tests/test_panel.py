@@ -204,6 +204,6 @@ def test_annual_and_early(spark):
 
 
 def test_settings_are_checked():
-    for bad in (dict(leader_count=0), dict(score_weights=(1, 1, 0, 0)), dict(m0_window=13), dict(min_participation=2)):
+    for bad in (dict(leader_count=0), dict(score_weights=(1, 1, 0, 0)), dict(m0_window=7), dict(min_participation=2), dict(min_participation=0.0), dict(min_value=float('inf')), dict(min_value=-1.0), dict(min_breadth=1.5)):
         with pytest.raises(ValueError):
             CurrentLeaderConfig(**bad)

@@ -10,7 +10,7 @@ from fathomline import cli
 from fathomline.config import Clock
 from fathomline.functions.parsing import safe_date, safe_number
 from fathomline.operators import panel, scorecard
-from fathomline.sources import catalog, challenges, provenance, providers, readers
+from fathomline.sources import catalog, challenges, provenance, providers, readers, scorecards
 from fathomline.streaming.weekly import late_arrivals_stream, weekly_last_stream
 
 
@@ -76,11 +76,46 @@ def test_catalog(spark, tmp_path):
         catalog.load_catalog(spark, str(tmp_path))
 
 
+def test_catalog_items(spark, tmp_path):
+    items, source = catalog.catalog_items(spark, None, [tmp_path])
+    assert source == "demo" and items.count() == 3
+    own = tmp_path / "catalog"
+    own.mkdir()
+    (own / "b.csv").write_text("theme,lane\nx,y\n")
+    items, source = catalog.catalog_items(spark, None, [tmp_path])
+    assert source.endswith("b.csv") and items.first().asDict() == {"theme": "x", "lane": "y", "source": source}
+    (own / "themes.yaml").write_text("themes:\n  - theme_id: solar\n    name: Solar\n")
+    head = "theme_id,permanent_id,symbol,valid_from,valid_to,evidence_available_at,exposure_tier,confidence\n"
+    (own / "memberships.csv").write_text(head + "wind,ticker:a,a,2020-01-01,,2020-01-01,core,high\n")
+    assert catalog.catalog_items(spark, str(own))[1].endswith("b.csv")  # a draft that doesn't fit together
+    (own / "memberships.csv").write_text(head + "solar,ticker:a,a,2020-01-01,,2020-01-01,core,high\n")
+    items, source = catalog.catalog_items(spark, str(own))
+    assert source.endswith("themes.yaml") and [(r.theme, r.memberships) for r in items.collect()] == [("Solar", 1)]
+
+
+def test_scorecard_files(spark, tmp_path):
+    clock = Clock(date(2024, 2, 1))
+    (tmp_path / "s.json").write_text(json.dumps([{"symbol": "q", "score": "71.456", "data_confidence": 60}, {"score": None, "bucket": "12M Hold Candidate", "momentum": 3}]))
+    rows = {r.entity: r for r in scorecards.load_scorecard(spark, str(tmp_path / "s.json"), clock)[0].collect()}
+    assert (rows["q"].bucket, rows["q"].engine, rows["q"].momentum, rows["q"].confidence, rows["q"].confidence_label) == ("Current Leader", "current_leader", 71.46, 0.6, "Medium")
+    assert (rows["Unknown"].score, rows["Unknown"].momentum, rows["Unknown"].breadth, rows["Unknown"].confidence) == (0.0, 3.0, 0.0, 0.5)
+    (tmp_path / "w.csv").write_text("date,x,y\n2024-01-05,1,2\n2024-01-12,3,4\n")
+    rows, source = scorecards.load_scorecard(spark, str(tmp_path / "w.csv"), clock)
+    assert {r.entity for r in rows.collect()} == {"x", "y"} and source.endswith("w.csv") and rows.columns == scorecards.FIELDS
+    demo, source = scorecards.load_scorecard(spark, str(tmp_path / "none.csv"), clock)
+    assert demo.count() == 3 and source.startswith("demo")
+    prices = [(date(2020, 1, 3) + timedelta(weeks=i), t, s, 100.0 * r**i) for i in range(60) for t, s, r in (("up", "a", 1.01), ("down", "b", 0.99), ("m", "SPY", 1.0))]
+    spark.createDataFrame(prices, "date date, theme string, ticker string, close double").write.option("header", True).csv(str(tmp_path / "tidy"))
+    rows = scorecards.load_scorecard(spark, str(tmp_path / "tidy"), clock)[0].collect()
+    assert {(r.entity, r.engine) for r in rows} == {(t, e) for t in ("up", "down") for e in scorecards.ENGINES}
+
+
 def test_challenges(spark):
     cases = challenges.challenge_cases(spark)
     challenges.validate_challenges(cases)
     assert cases.count() == 14 and challenges.challenge_cases(spark, False).where("expected_positive").count() == 5
     assert challenges.challenge_case(spark, "cannabis")["case_type"] == "negative_control"
+    assert challenges.challenge_case(spark, "evtol_2024")["case_type"] == "concentration_stress" and challenges.challenge_case(spark, "spac")["is_negative_control"]
     with pytest.raises(KeyError):
         challenges.challenge_case(spark, "none")
     with pytest.raises(ValueError):
@@ -118,12 +153,15 @@ def test_scorecard(spark):
 def test_command_line(spark, capsys, tmp_path):
     assert cli.main(["annual"]) == 0
     years = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert years and {y["theme"] for y in years} == {"태양광", "반도체"}
+    assert years and {y["theme"] for y in years} == {"태양광", "반도체", "양자컴퓨팅"} and [(y["year"], y["rank"]) for y in years] == sorted((y["year"], y["rank"]) for y in years)
     (tmp_path / "w.csv").write_text("date,x,y\n2024-01-05,1,2\n2024-01-12,3,4\n")
     assert cli.main(["score", str(tmp_path / "w.csv")]) == 0
     assert {json.loads(x)["entity"] for x in capsys.readouterr().out.splitlines()} == {"x", "y"}
     assert cli.main(["validate", str(tmp_path / "w.csv")]) == 0
     assert json.loads(capsys.readouterr().out)["rows"] == 4
+    assert cli.main(["scorecard", "--table"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("entity | score") and [x.split(" | ")[0] for x in lines[1:]] == ["AI Infrastructure", "Cybersecurity", "Grid Modernization"]
 
 
 def test_streams(spark, tmp_path):

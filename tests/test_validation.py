@@ -1,5 +1,6 @@
 """Labels, episodes, early hits, rank metrics, audits, splits and memberships."""
 
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -103,6 +104,73 @@ def test_episode_positions_against_brute_force(spark, seed):
             assert r.theme_return == pytest.approx(prices[end] / prices[onset] - 1)
 
 
+def test_dense_series(spark):
+    """10,000 observations a theme, six a day: a horizon has over a thousand rows, and takes no list of them."""
+    n = 10_000
+    rng = np.random.default_rng(7)
+    at = [START + timedelta(hours=4 * i) for i in range(n) if i % 1000 < 900]  # with gaps
+    prices = np.round(100 * np.cumprod(1 + rng.normal(0, 0.01, len(at))), 2)
+    rows = series(spark, prices, bench=np.full(len(at), 100.0), at=at)
+    began = time.time()
+    got = {r.decision_at: r for r in labels.future_labels(rows, (13, 26), absolute_threshold=None, excess_threshold=None).collect()}
+    c = EpisodeConfig(major_return=0.3, horizon_weeks=20, onset_weeks=40)
+    found = {r.decision_at: r for r in episodes.measured(rows, c).collect()}
+    assert time.time() - began < 60
+    seconds = np.array([t.timestamp() for t in at])
+    after = lambda p, h: int(np.searchsorted(seconds, seconds[p] + h * 7 * 86400))
+    low = np.array([p - c.onset_weeks + int(np.argmin(prices[p - c.onset_weeks : p + 1])) if p >= c.onset_weeks else int(np.argmin(prices[: p + 1])) for p in range(len(at))])
+    crosses = prices / prices[low] - 1 >= c.major_return
+    for i in [*range(0, len(at) - 1, 97), *range(len(at) - 900, len(at) - 1, 13)]:
+        for h in (13, 26):
+            e, x = i + 1, after(i + 1, h)
+            fall = got[at[i]][f"future_{h}w_max_relative_drawdown"]
+            if x == len(at):
+                assert fall is None
+            else:
+                path = prices[e : x + 1]
+                assert fall == pytest.approx((path / np.maximum.accumulate(path) - 1).min())
+        e, terminal = i + 1, after(i + 1, 20)
+        if terminal == len(at):
+            assert not found[at[i]].matured
+            continue
+        crossing = next((p for p in range(e, terminal + 1) if crosses[p]), None)
+        last = terminal if crossing is None or after(crossing, 20) == len(at) else after(crossing, 20)
+        begin = e if crossing is None else crossing
+        r = found[at[i]]
+        assert (r.crossing.pos if r.crossing else None) == crossing and r.end.ts == at[begin + int(np.argmax(prices[begin : last + 1]))]
+
+
+def test_early_hit_options(spark):
+    prices = [100.0] * 31 + [100 * 1.02**i for i in range(1, 41)] + [100 * 1.02**40] * 60
+    signals = spark.createDataFrame([("t", AT[i], i in (33, 34, 36, 37, 50)) for i in range(120)], "theme string, decision_at timestamp_ntz, signal boolean")
+    rows = lambda **k: {r.decision_at: r for r in early_hits.evaluate_early_hits(signals, series(spark, prices), **k).collect()}
+    alone = rows()
+    assert not any(r.hit or r.eligible_for_early_hit or r.event_metadata_available for r in alone.values()) and alone[AT[36]].persistent
+    strict = rows(config=EarlyHitConfig(persistence_window=None))
+    assert strict[AT[34]].persistent and not strict[AT[36]].persistent and strict[AT[37]].persistent
+    starts = spark.createDataFrame([("t", AT[i], AT[30]) for i in range(120)], "theme string, decision_at timestamp_ntz, onset timestamp_ntz")
+    peaks = spark.createDataFrame([("t", AT[i], AT[70]) for i in range(120)], "theme string, decision_at timestamp_ntz, peak timestamp_ntz")
+    given = rows(starts=starts, peaks=peaks, absolute_threshold=0.5, excess_threshold=None)
+    assert given[AT[34]].hit and given[AT[34]].realized_log_fraction == pytest.approx(4 / 40) and sum(r.hit for r in given.values()) == 1
+    late = EarlyHitConfig(log_fraction=None, weeks_after=60, persistence_count=1, persistence_window=None)
+    assert rows(starts=starts, peaks=peaks, absolute_threshold=0.1, excess_threshold=None, config=late)[AT[50]].within_realized_limit
+    same_day = rows(config=EarlyHitConfig(next_session=False))
+    assert same_day[AT[10]].entry_at == AT[10] and alone[AT[10]].entry_at == AT[11]
+
+
+def test_episode_settings():
+    nested = {"major_surge": {"min_theme_gain": 0.7, "min_valid_names": 3, "min_breadth_beat_spy": 0.4}, "explosive": {"min_theme_gain": 1.5}, "onset": {"lookback_weeks": 20, "merge_gap_weeks": 0}}
+    c = EpisodeConfig.from_mapping(nested)
+    assert (c.major_return, c.min_names, c.min_beat_breadth, c.explosive_return, c.onset_weeks, c.merge_gap_weeks, c.horizon_weeks) == (0.7, 3, 0.4, 1.5, 20, 0, 52)
+    assert EpisodeConfig.from_mapping(c.to_mapping()) == c and EpisodeConfig.from_mapping({}) == EpisodeConfig()
+    for bad in (dict(min_breadth=1.1), dict(horizon_weeks=0), dict(min_names=-1), dict(merge_gap_weeks=-1), dict(major_return=float("nan")), dict(min_rank=2)):
+        with pytest.raises(ValueError):
+            EpisodeConfig(**bad)
+    for bad in (dict(persistence_count=0), dict(persistence_window=1), dict(weeks_before=-1)):
+        with pytest.raises(ValueError):
+            EarlyHitConfig(**bad)
+
+
 def test_episodes_merge(spark):
     prices = [100.0] * 10 + [100 * 1.1**i for i in range(1, 15)] + [380.0] * 60
     facts = spark.createDataFrame([("t", AT[i], 0.9, 5) for i in range(len(prices))], "theme string, decision_at timestamp_ntz, breadth_up double, active_names bigint")
