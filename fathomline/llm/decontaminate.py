@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import numbered, renamed, small_batches, text_of, with_fields, written
+from fathomline.llm.shared import numbered, released, renamed, set_up, text_of, with_fields, written
 
 SAMPLE = 8
 SHARD_BYTES = 24 << 20
@@ -280,14 +280,14 @@ def _blocks(items: DataFrame, phrase_bytes: int, length: int):
 
 def _searched(docs: DataFrame, benchmark: DataFrame, length: int, text: str, item_id: str, phrase_bytes: int, keep: list[str], clean_only: bool) -> DataFrame:
     """The columns `keep` as _0 and so on, with n_words, spans and items; with clean_only, only rows without spans."""
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), text_of(text).alias("text"))
     every = [text, *(c for c in keep if c != text)]  # a text that is kept goes to Python and back once
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("_0"), *numbered(docs, every)[0][1:])
     for place, (last, block) in enumerate(_blocks(items, phrase_bytes, length)):
         table, out = sc.broadcast(phrase_table(block, length)), keep if last else every
-        found = rows.mapInArrow(_search(table, [every.index(c) for c in out], place > 0, clean_only), with_fields(numbered(docs, out)[1], OUT))
+        found = rows.mapInArrow(released(_search(table, [every.index(c) for c in out], place > 0, clean_only)), with_fields(numbered(docs, out)[1], OUT))
         if not last:  # the tables of several passes don't meet in one task
             found = written(found, "contamination")
             rows = found.drop("n_words")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shared import parts, small_batches, text_of
+from fathomline.llm.shared import parts, released, set_up, text_of
 
 BUDGET = 32 << 20
 FANOUT = 16
@@ -140,12 +140,12 @@ def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are equal when identical after normalised(). Of rows with the same smallest doc_id and text, one (any) stays. Null doc_ids come after all others.
     Extra columns pass through under names of their own, so names like _hash don't clash.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     norm = normalised(F.col(text))
     own = [F.xxhash64(norm).alias("_hash"), norm.alias("_norm"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.lit(1).cast("bigint").alias("_copies")]
     rows = docs.select(*own, *((F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)) if carry else ()))
-    few = rows.mapInArrow(_combine, rows.schema)
-    return few.repartition(parts(docs), "_hash").mapInArrow(_dedup, rows.schema)
+    few = rows.mapInArrow(released(_combine), rows.schema)
+    return few.repartition(parts(docs), "_hash").mapInArrow(released(_dedup), rows.schema)
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import numbered, renamed, small_batches, with_fields
+from fathomline.llm.shared import numbered, released, renamed, set_up, with_fields
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -159,14 +159,14 @@ def fit(labelled: DataFrame, text: str, lang: str, per_language: int = PER_LANGU
 
 def _found(docs: DataFrame, labelled: DataFrame, text: str, lang: str, keep: list[str] | tuple[str, ...]) -> DataFrame:
     """The columns `keep` as _0 and so on, lang_pred and score."""
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     names, model = fit(labelled, text, lang)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep if c != text]  # a text that is kept goes to Python and back once
     own = [F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")]
     rows = docs.select(*own, *numbered(docs, others)[0])
     places = [0 if c == text else 2 + others.index(c) for c in keep]
-    return rows.mapInArrow(_predict(model_at, names, places), with_fields(numbered(docs, keep)[1], "lang_pred string, score double"))
+    return rows.mapInArrow(released(_predict(model_at, names, places)), with_fields(numbered(docs, keep)[1], "lang_pred string, score double"))
 
 
 def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
 from fathomline.llm.components import connected_components
-from fathomline.llm.shared import parts, small_batches, text_of, written
+from fathomline.llm.shared import parts, released, set_up, text_of, written
 
 COORDINATES = 256
 ROWS = 6
@@ -294,10 +294,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     text has an empty set and is linked with nothing; nor is a row without doc_id, whose component_id is null and which is kept. Rows that share a doc_id count as one node of the graph, each with a row of its own. An empty table gives an empty one;
     further columns, whatever their names, are not read.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>, sketch binary"
-    each = written(rows.mapInArrow(_sketch_batches(k), schema), "near-sketches")
+    each = written(rows.mapInArrow(released(_sketch_batches(k)), schema), "near-sketches")
     alike = ["n_shingles", "set_1", "set_2"]
     classes = written(
         each.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes"
@@ -309,16 +309,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     sketch = classes.select("rep", "sketch")
     pivots = sketch.select(F.col("rep").alias("least"), F.col("sketch").alias("pivot"))
     in_bucket = in_band.join(buckets.select("band", "least"), "band").join(sketch, "rep").join(pivots, "least").select("band", "least", "rep", "sketch", "pivot")
-    in_bucket = written(in_bucket.mapInArrow(_near_pivot(percent), "band bigint, least bigint, rep bigint, passive boolean"), "near-buckets")
+    in_bucket = written(in_bucket.mapInArrow(released(_near_pivot(percent)), "band bigint, least bigint, rep bigint, passive boolean"), "near-buckets")
     to_pivot = in_bucket.where("passive and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     screened = _blocks(in_bucket.select("band", "rep", "passive"), F.col("rep"), ["band"]).join(sketch, "rep").select("band", "p", "q", "rep", "passive", "sketch")
     screened = screened.repartition(parts(docs), "band", "p", "q").sortWithinPartitions("band", "p", "q")
-    clusters = connected_components(to_pivot.union(screened.mapInArrow(_screen(percent), "a bigint, b bigint")))
+    clusters = connected_components(to_pivot.union(screened.mapInArrow(released(_screen(percent)), "a bigint, b bigint")))
 
     texts = rows.withColumnRenamed("doc_id", "rep")
     members = written(clusters.select(F.col("node").alias("rep"), "component").join(texts, "rep"), "near-members")
     pivots = members.where("rep = component").select("component", F.col("text").alias("pivot"))
-    met = members.join(pivots, "component").select("rep", "component", "text", "pivot").mapInArrow(_meets_pivot(k, percent), "rep bigint, component bigint, passive boolean")
+    met = members.join(pivots, "component").select("rep", "component", "text", "pivot").mapInArrow(released(_meets_pivot(k, percent)), "rep bigint, component bigint, passive boolean")
     met = written(met, "near-met")
     to_pivot = met.where("passive and rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
     width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1e-9
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     dealt = _blocks(dealt, F.col("rep"), ["component", "g"], F.col("n_shingles")).join(sketch, "rep").join(members.select("rep", "text"), "rep")
     dealt = dealt.select("component", "g", "p", "q", "rep", "native", "passive", "sketch", "text")
     dealt = dealt.repartition(parts(docs), "component", "g", "p", "q").sortWithinPartitions("component", "g", "p", "q")
-    links = connected_components(to_pivot.union(dealt.mapInArrow(_verify(k, percent), "a bigint, b bigint")))
+    links = connected_components(to_pivot.union(dealt.mapInArrow(released(_verify(k, percent)), "a bigint, b bigint")))
 
     of_class = classes.select(*alike, "rep").join(links, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

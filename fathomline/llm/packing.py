@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import tokens
-from fathomline.llm.shared import parts, small_batches, text_of, written
+from fathomline.llm.shared import parts, released, set_up, text_of, written
 
 LENGTH = 2048
 OPEN = 32
@@ -146,12 +146,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str = "doc_id",
     A document's ids end with `end`. Null and empty texts are that id alone. A sequence's pieces lie at offsets without gaps from 0; it has LENGTH tokens or, among the merged leftovers,
     a power of two, so nothing is padded. Rows that repeat a doc_id are documents of their own. An empty table gives an empty one. Other columns aren't read.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     content_at = docs.sparkSession.sparkContext.broadcast(tokens.load(tokenizer_path))
     rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint, part bigint, ids binary"
-    packed = written(rows.mapInArrow(_pack(content_at, end, with_ids), schema), "packed")
+    packed = written(rows.mapInArrow(released(_pack(content_at, end, with_ids)), schema), "packed")
     left = packed.where("sequence_id < 0").withColumn("_group", F.floor(F.col("part") / GROUP)).repartition(parts(docs), "_group").drop("_group")
-    every = packed.where("sequence_id >= 0").union(left.mapInArrow(_merge(with_ids), schema))
+    every = packed.where("sequence_id >= 0").union(left.mapInArrow(released(_merge(with_ids)), schema))
     return every.drop("part") if with_ids else every.drop("part", "ids")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import small_batches, text_of, written
+from fathomline.llm.shared import released, set_up, text_of, written
 
 GROUPS, PLACES = 64, 64
 VOCABULARY = GROUPS * PLACES
@@ -219,9 +219,9 @@ PARTS = "block bigint, spread bigint, windows bigint, sums binary"
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): the keys of all words of docs, and how often each occurs."""
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     rows = docs.select(text_of(text).alias("text"))
-    return written(rows.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    return written(rows.mapInArrow(released(_counts), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def of_round(rows: DataFrame, turn: int, rounds: int) -> DataFrame:
@@ -231,14 +231,14 @@ def of_round(rows: DataFrame, turn: int, rounds: int) -> DataFrame:
 
 def token_counts(counts: DataFrame, top_at) -> np.ndarray:
     out = np.zeros(VOCABULARY)
-    for r in counts.mapInArrow(_token_counts(top_at), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in counts.mapInArrow(released(_token_counts(top_at)), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[r["token"]] = r["n"]
     return out
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted keys of the words with tokens of their own, weights) from all documents. Equally frequent words are taken by their key. counts: word_counts of docs, if they are there already."""
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(text_of(text).alias("text"))
     counts = word_counts(docs, text) if counts is None else counts
@@ -246,9 +246,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataF
     top_at = sc.broadcast(top)
     flat = start(token_counts(counts, top_at))
     for turn in range(rounds):
-        each = of_round(rows, turn, rounds).mapInArrow(_trained(top_at, sc.broadcast(flat)), PARTS)
-        some = each.repartition(SPREAD, "block", "spread").mapInArrow(_summed, PARTS).withColumn("spread", F.lit(0).cast("bigint"))
-        whole = {r["block"]: np.frombuffer(r["sums"]) / r["windows"] for r in some.repartition(8, "block").mapInArrow(_summed, PARTS).collect()}
+        each = of_round(rows, turn, rounds).mapInArrow(released(_trained(top_at, sc.broadcast(flat))), PARTS)
+        some = each.repartition(SPREAD, "block", "spread").mapInArrow(released(_summed), PARTS).withColumn("spread", F.lit(0).cast("bigint"))
+        whole = {r["block"]: np.frombuffer(r["sums"]) / r["windows"] for r in some.repartition(8, "block").mapInArrow(released(_summed), PARTS).collect()}
         if whole:
             flat = np.concatenate([whole[b] for b in sorted(whole)]).astype(np.float32)
     return top, flat
@@ -311,7 +311,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str =
     counts: word_counts of the documents that the model is from; without it, words are counted over docs. Words are parted by \\x20 and \\x09-\\x0D and A-Z count as a-z. Null and empty texts have no words; texts of any length
     are read whole; repeated rows give repeated rows; an empty table an empty one, and a model of one keeps its starting weights. Other columns aren't read.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     counts = word_counts(docs, text) if counts is None else counts
     top, flat = model
@@ -321,7 +321,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str =
     model_at = sc.broadcast((top, flat, listed, np.log(n), whole))
     rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, log_likelihood double"
-    found = rows.mapInArrow(_scored(model_at, apart), schema + (", _key bigint, _rest array<bigint>" if apart else ""))
+    found = rows.mapInArrow(released(_scored(model_at, apart)), schema + (", _key bigint, _rest array<bigint>" if apart else ""))
     if apart:
         found = written(found, "token-scores")
         others = found.select("_key", F.explode("_rest").alias("word")).join(counts.where((F.col("n") > 1) & (F.col("n") < least)), "word")

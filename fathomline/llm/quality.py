@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words as W
-from fathomline.llm.shared import small_batches
+from fathomline.llm.shared import released, set_up
 
 WORDS = 1 << 15
 LEVELS = 16
@@ -137,14 +137,14 @@ def _scored(model_at):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", chars: str | None = "n_chars", sample: int = SAMPLE) -> dict:
     """A model from about `sample` labelled documents, and no more than twice that, chosen by a hash of their key; rows with a null label or key don't count. Of rows that share a key, in either table, the least counts once
     (label 0 before 1, and the text that sorts first), so copies of a key don't reach the driver."""
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("y"))
     n = marks.agg(F.approx_count_distinct("_key", 0.02)).first()[0]
     marks = marks.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_003)) < min(1.0, sample / max(n, 1)) * 1_000_003).groupBy("_key").agg(F.min("y").alias("y"))
     marks = marks.orderBy(F.xxhash64("_key"), "_key").limit(2 * sample)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), _chars(docs, chars), F.col(key).alias("_key")).join(F.broadcast(marks), "_key")
     rows = rows.groupBy("_key", "y").agg(F.min(F.struct("text", "chars")).alias("_first")).select("_first.text", "_first.chars", "y")
-    got = rows.mapInArrow(_featured, "y int, number array<int>, value array<float>").toArrow()
+    got = rows.mapInArrow(released(_featured), "y int, number array<int>, value array<float>").toArrow()
     y = got.column("y").to_numpy().astype(np.float32)
     number, value = (got.column(c).combine_chunks() for c in ("number", "value"))
     count = np.asarray([len(x) for x in number.to_pylist()], np.int64) if len(y) else np.zeros(0, np.int64)
@@ -167,9 +167,9 @@ def quality(docs: DataFrame, model: dict, text: str = "text", chars: str | None
     Null texts count as empty, and empty ones get a score from their statistics; without any labels all scores are the same. Whole texts are read; repeated rows
     give repeated rows; an empty table an empty one.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     model_at = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), _chars(docs, chars), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)))
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = rows.mapInArrow(_scored(model_at), ", ".join(filter(None, [kinds, "score double"])))
+    found = rows.mapInArrow(released(_scored(model_at)), ", ".join(filter(None, [kinds, "score double"])))
     return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -59,16 +61,39 @@ def with_fields(fields: list[StructField], ddl: str) -> StructType:
     return StructType([*fields, *StructType.fromDDL(ddl).fields])
 
 
+def give_back() -> None:
+    """Returns memory that this process no longer uses to the system: Arrow's pool and the C library's heap keep it otherwise, and a worker that serves several stages adds up what each of them needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """A function of mapInArrow that gives memory back before and after its task."""
+
+    def own(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def parts(df: DataFrame) -> int:
     """As many partitions as the session's shuffles have."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of rows that hold whole texts: Spark's default of 10,000 rows a batch takes several times the memory in executors and their Python. A value that
-    the user has set to something else stays."""
+def set_up(spark: SparkSession, rows: int = 2000) -> None:
+    """What these operators need of a session; each calls it, and only the first call changes anything. Users who want other values set them before.
+
+    Arrow batches hold whole texts: Spark's default of 10,000 rows a batch takes several times the memory in executors and their Python, so that default becomes `rows`. Executors' Python finds this package by the root that
+    is added to its PYTHONPATH, where driver and executors share a file system.
+    """
     root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment  # where driver and executors share a file system, executors' Python finds this package as the driver does
+    environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

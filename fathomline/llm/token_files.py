@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import tokens
-from fathomline.llm.shared import new_path, parts, small_batches, text_of
+from fathomline.llm.shared import new_path, parts, released, set_up, text_of
 
 MAGIC = b"FLTOKEN1"
 FRAME_IDS = 1 << 16
@@ -128,13 +128,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, folder: str | N
     Null texts count as empty and give `end` alone; rows that repeat a doc_id follow each other, ordered by their text's hash; a null doc_id counts as NO_ID; an empty table
     writes no file.
     """
-    small_batches(docs.sparkSession)
+    set_up(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     content_at = spark.sparkContext.broadcast(tokens.load(tokenizer_path))
     rows = docs.select(text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"))
-    rows = rows.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    done = rows.mapInArrow(_write(folder, content_at, end), "part bigint, uri string, documents bigint, ids bigint").collect()
+    rows = rows.repartitionByRange(parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # many texts of one doc_id may lie in several files
+    done = rows.mapInArrow(released(_write(folder, content_at, end)), "part bigint, uri string, documents bigint, ids bigint").collect()
     return [(r["uri"], r["documents"], r["ids"]) for r in sorted(done)]
 
 
@@ -158,5 +158,5 @@ def read_digests(spark: SparkSession, files: list[tuple[str, int, int]]) -> Data
         rows.append((uri, start))
         start += ids
     table = spark.createDataFrame(rows, "uri string, start bigint").repartition(max(1, len(rows)))
-    rows = table.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = table.mapInArrow(released(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
