@@ -79,7 +79,6 @@ def valid(kind: str, hit: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-    none = F.array().cast(SPAN)
 
     def step(a: Column, r: Column) -> Column:
         begin = a["at"] + F.length(r["gap"])
@@ -87,17 +86,42 @@ def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
         found = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), r["hit"].alias("hit"), F.right(r["gap"], F.lit(24)).alias("before"), F.left(r["after"], F.lit(1)).alias("after"))
         return F.when(r["hit"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(found)).alias("out")))
 
+    return _chunked(rows, F.lit(0).cast("bigint"), step, SPAN)
+
+
+def _chunked(items: Column, at: Column, step, kind: str) -> Column:
+    """Goes over items with a state struct(at, out) and gives out, an array of type `kind`. Arrays are copied when they grow, so long ones are built chunk by chunk."""
+    none = F.array().cast(kind)
+
     def chunk(a: Column, part: Column) -> Column:
         own = F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), step)
         return F.struct(own["at"].alias("at"), F.concat(a["out"], F.array(own["out"])).alias("out"))
 
-    # arrays are copied when they grow, so long lists of matches are built chunk by chunk
     cut = lambda whole: F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda j: F.slice(whole, j * CHUNK + 1, F.lit(CHUNK)))
-    chunks = F.transform(F.array(rows), cut)[0]  # as an element, the matches are found once and not for each chunk
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    chunks = F.transform(F.array(items), cut)[0]  # as an element, the items are made once and not for each chunk
+    start = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
     return F.flatten(F.aggregate(chunks, start, chunk)["out"])
 
 
+def resolved(spans: Column) -> Column:
+    """Of spans (start, kind, end, base) by start, then kind: those of base rules, and of the others each that meets none of these and no other before it. Three runs over the list, so a text with many spans takes time in proportion to them."""
+    kind = "array<struct<start:bigint,kind:int,end:bigint,base:boolean,clear:boolean>>"
+
+    def run(items: Column, zero: int, meets, reach) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            out = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), (s["clear"] & (s["base"] | ~meets(a["at"], s))).alias("clear"))
+            return F.struct(reach(a["at"], s).alias("at"), F.concat(a["out"], F.array(out)).alias("out"))
+
+        return _chunked(items, F.lit(zero).cast("bigint"), step, kind)
+
+    after_base = lambda at, s: at > s["start"]
+    every = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), F.lit(True).alias("clear")))
+    every = run(every, 0, after_base, lambda at, s: F.when(s["base"], F.greatest(at, s["end"])).otherwise(at))
+    every = F.reverse(run(F.reverse(every), 2**62, lambda at, s: at < s["end"], lambda at, s: F.when(s["base"], F.least(at, s["start"])).otherwise(at)))
+    every = run(every, 0, after_base, lambda at, s: F.when(s["clear"] & ~s["base"], F.greatest(at, s["end"])).otherwise(at))
+    return F.transform(F.filter(every, lambda s: s["clear"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
+
+
 def candidates(text: Column) -> Column:
     """All generators' spans in one array; a generator runs only over texts that can hold a match."""
     number = text.rlike("[0-9]")
@@ -280,13 +304,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: tup
     if math.isinf(least) or not trees:
         return found.select("doc_id", F.array_sort(base).alias("spans"))
     chosen = F.transform(F.filter("found", lambda c: ~c["base"] & (_score(trees, c) >= least)), brief)
-    found = found.withColumn("_base", base).withColumn("_wide", chosen)
-    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
-    clear = F.filter("_wide", lambda c: ~F.exists("_base", lambda b: meets(b, c)))
-    # of added spans that overlap, the first by start, then kind
-    first = lambda b, c: F.struct(b["start"], b["kind"], b["end"]) < F.struct(c["start"], c["kind"], c["end"])
-    added = F.filter("_clear", lambda c: ~F.exists("_clear", lambda b: meets(b, c) & first(b, c)))
-    return found.withColumn("_clear", clear).select("doc_id", F.array_sort(F.concat("_base", added)).alias("spans"))
+    found = found.select("doc_id", base.alias("_base"), chosen.alias("_wide")).select("doc_id", F.size("_wide").alias("_n"), F.array_sort(F.concat("_base", "_wide")).alias("spans"))
+    return found.select("doc_id", F.when(F.col("_n") == 0, F.col("spans")).otherwise(resolved(F.col("spans"))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 """Personal data: base rules against Python's re, added spans, hard texts."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -123,6 +124,24 @@ def test_boosting_learns_and_calibrates():
     assert pii.boost([]) == [] and pii.calibrated([], []) == float("inf")
 
 
+def test_overlaps_are_resolved_in_linear_time(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        spans = sorted({(a := rng.randint(0, 60), rng.randint(0, 3), a + rng.randint(1, 9), rng.random() < 0.5) for _ in range(rng.randint(0, 25))})
+        rows.append((i, spans))
+    rows.append((60, [(4 * j, j % 4, 4 * j + 3, j % 3 > 0) for j in range(30_000)]))
+    kind = "id int, spans array<struct<start:bigint,kind:int,end:bigint,base:boolean>>"
+    began = time.time()
+    got = {r.id: [tuple(s) for s in r.spans] for r in spark.createDataFrame(rows, kind).select("id", pii.resolved(F.col("spans")).alias("spans")).collect()}
+    assert time.time() - began < 60 and got[60] == rows[60][1]
+    for i, spans in rows[:60]:
+        meets = lambda x, y: x[0] < y[2] and y[0] < x[2]
+        clear = [s for s in spans if not s[3] and not any(b[3] and meets(b, s) for b in spans)]
+        want = [s for s in spans if s[3]] + [s for n, s in enumerate(clear) if not any(meets(b, s) for b in clear[:n])]
+        assert got[i] == sorted(want), spans
+
+
 def test_hard_texts_take_linear_time(spark):
     hard = ["a" * 400_000 + "@", "a." * 150_000 + "@" + "b." * 150_000, "1" * 300_000, "1 " * 200_000, "+1" + " (" * 200_000, "1." * 200_000, "x@y.z " * 3_000]
     began = time.time()
