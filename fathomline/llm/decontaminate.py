@@ -19,7 +19,7 @@ from fathomline.llm import words as W
 from fathomline.llm.shared import numbered, released, renamed, set_up, text_of, with_fields, written
 
 SAMPLE = 8
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Rows that go back to Spark at once, and words of a piece of a long item.
 OUT_ROWS, PIECE_WORDS = 1000, 1 << 15
 
