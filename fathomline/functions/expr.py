@@ -37,23 +37,27 @@ def so_far(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def compounded(returns: str, spec: WindowSpec, rows: int) -> Column:
-    """Compounded return of exactly `rows` rows, all of them observed."""
-    over = before_now(spec, rows)
-    return F.when(F.count(returns).over(over) == rows, F.product(F.lit(1.0) + F.col(returns)).over(over) - 1.0)
+def compounded_all(returns: str, spec: WindowSpec, windows: tuple[int, ...], prefix: str) -> list[Column]:
+    """For each window, as <prefix>N, the compounded return of exactly N rows, all of them observed."""
+    seen, growth, one = F.count(returns), F.product(F.lit(1.0) + F.col(returns)), F.lit(1.0)
+    out = []
+    for n in windows:
+        over = before_now(spec, n)
+        out.append(F.when(seen.over(over) == n, growth.over(over) - one).alias(f"{prefix}{n}"))
+    return out
 
 
 def average_rank(value: str, *by: str) -> Column:
     """Rank within the groups of `by`, from 1; equal values share their mean rank. Nulls have none. Both parts read one window order, so Spark sorts once."""
-    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    equal = F.count(value).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (equal - 1) / 2.0)
+    order = f"partition by {', '.join(by)} order by {value} asc nulls last"
+    return F.expr(f"case when {value} is not null then rank() over ({order}) + (count({value}) over ({order} range between current row and current row) - 1) / 2D end")
 
 
 def percentile_rank(value: str, *by: str) -> Column:
     """average_rank as a share of the values that there are."""
-    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    return average_rank(value, *by) / F.count(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = f"partition by {', '.join(by)} order by {value} asc nulls last"
+    rank = f"case when {value} is not null then rank() over ({order}) + (count({value}) over ({order} range between current row and current row) - 1) / 2D end"
+    return F.expr(f"{rank} / count({value}) over ({order} rows between unbounded preceding and unbounded following)")
 
 
 def clipped(value: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fathomline.config import AnnualConfig, Clock, EarlyHitConfig, EpisodeConfig, SplitConfig
 from fathomline.operators import audits, early_hits, episodes, labels, membership, rank_metrics, scorecard, splits
+from fathomline.operators.metrics import theme_metrics
+from fathomline.operators.panel import Panel
 from fathomline.plans import annual, lanes, pipeline
 from fathomline.queries import EASY_HOLD, EASY_LEADER, EASY_RADAR, _metrics, _panel, query, r6, with_panel
 from fathomline.sources.readers import unpivoted
@@ -16,6 +18,7 @@ from fathomline.sources.testdata import lineitem_panel, table
 
 EASY_ANNUAL = AnnualConfig(min_coverage=0.3, min_weeks_per_year=10, top_n=2, early_min_rank=0.3, early_min_acceleration_rank=0.3, early_min_rank_improvement=-1.0, early_min_breadth=0.1, early_min_fast_rs=-0.5)
 MOVES = EpisodeConfig(major_return=0.03, major_excess=0.005, explosive_return=0.05, min_breadth=0.2, min_names=1, horizon_weeks=26, onset_weeks=13, merge_gap_weeks=13, min_rank=0.3)
+CLOSE = EpisodeConfig(**{**MOVES.__dict__, "horizon_weeks": 8, "onset_weeks": 5, "major_return": 0.02})
 TODAY = Clock(date(2002, 1, 1))
 
 
@@ -114,8 +117,8 @@ def fingerprint(spark, sf_dir):
 # --- labels and episodes over the theme indexes ---
 
 
-def index_series(spark, sf_dir) -> DataFrame:
-    p = _panel(spark, sf_dir)
+def index_series(spark, sf_dir, p: Panel | None = None) -> DataFrame:
+    p = p or _panel(spark, sf_dir)
     return p.themes.join(F.broadcast(p.benchmark), "week").select("theme", F.col("week").cast("timestamp_ntz").alias("ts"), F.col("theme_index").alias("price"), F.col("b_price"))
 
 
@@ -203,12 +206,13 @@ def classify_episode(spark, sf_dir):
     return labels.classify_moves(move_table(spark, sf_dir)).select("l_orderkey", "l_linenumber", "excess_return", "breadth_ok", "min_names_ok", "top_decile_ok", "major_surge", "explosive", "label")
 
 
-def episode_facts(spark, sf_dir) -> DataFrame:
-    return _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), F.col("breadth_13w").alias("breadth_up"), F.col("members_valid").alias("active_names"), F.col("m0_rank").alias("theme_rank_percentile"))
+def episode_facts(found: DataFrame) -> DataFrame:
+    return found.select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), F.col("breadth_13w").alias("breadth_up"), F.col("members_valid").alias("active_names"), F.col("m0_rank").alias("theme_rank_percentile"))
 
 
-def episode_table(spark, sf_dir) -> DataFrame:
-    return episodes.label_episodes(index_series(spark, sf_dir), episode_facts(spark, sf_dir), MOVES)
+def episode_table(spark, sf_dir, c: EpisodeConfig = MOVES, p: Panel | None = None) -> DataFrame:
+    p = p or _panel(spark, sf_dir)
+    return episodes.label_episodes(index_series(spark, sf_dir, p), episode_facts(theme_metrics(p)), c)
 
 
 def episode_sql(c: EpisodeConfig) -> str:
@@ -254,20 +258,20 @@ def detect_episodes(spark, sf_dir):
     return episodes.detect_episodes(episode_table(spark, sf_dir), MOVES.merge_gap_weeks)
 
 
-@query("episode_labels_close", with_episodes("select decision_at, theme, label, peak, theme_return from el", EpisodeConfig(**{**MOVES.__dict__, "horizon_weeks": 8, "onset_weeks": 5, "major_return": 0.02})))
+@query("episode_labels_close", with_episodes("select decision_at, theme, label, peak, theme_return from el", CLOSE))
 def episode_labels_close(spark, sf_dir):
     """A short horizon: many crossings lie in one block of time, and many in the series' last horizon."""
-    c = EpisodeConfig(**{**MOVES.__dict__, "horizon_weeks": 8, "onset_weeks": 5, "major_return": 0.02})
-    return episodes.label_episodes(index_series(spark, sf_dir), episode_facts(spark, sf_dir), c).select("decision_at", "theme", "label", "peak", "theme_return")
+    return episode_table(spark, sf_dir, CLOSE).select("decision_at", "theme", "label", "peak", "theme_return")
 
 
 HITS, STRICT_HITS = EarlyHitConfig(horizon_weeks=26), EarlyHitConfig(persistence_window=None, log_fraction=None, weeks_before=8, weeks_after=20)
 
 
 def early_hit_rows(spark, sf_dir, c: EarlyHitConfig = HITS) -> DataFrame:
-    found = episodes.detect_episodes(episode_table(spark, sf_dir), MOVES.merge_gap_weeks)
-    signals = _metrics(spark, sf_dir).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
-    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005)
+    p = _panel(spark, sf_dir)
+    found = episodes.detect_episodes(episode_table(spark, sf_dir, p=p), MOVES.merge_gap_weeks)
+    signals = theme_metrics(p).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
+    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir, p), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005)
 
 
 def early_sql_rows(c: EarlyHitConfig, select: str) -> str:

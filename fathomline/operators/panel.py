@@ -3,17 +3,19 @@
 Weeks end on Fridays. Every table is long and lazy; a grid of all weeks makes ROWS frames count weeks. Three tables come out:
 
     members     week, theme, security, price, seen, ret, r4 .. r52       one row for each member and week
-    benchmark   week, b_price, b_ret, b4 .. b52                          one row for each week
+    calendar    week, b_price, b_ret, b4 .. b52, effective_date          one row for each week
     themes      week, theme, members_seen, members_valid, participation, theme_return
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.config import PanelConfig
-from fathomline.functions.expr import WINDOWS, before_now, compounded, number, so_far, week_of
+from fathomline.functions.expr import WINDOWS, compounded_all, number, so_far, week_of
 
 REQUIRED = ("date", "theme", "security", "value")
 
@@ -60,90 +62,74 @@ def weeks(rows: DataFrame) -> DataFrame:
     return ends.select(F.explode(F.sequence("first", "last", F.expr("interval 7 days"))).alias("week"))
 
 
-def densified(observed: DataFrame, benchmark: str) -> DataFrame:
+def by_week(observed: DataFrame, benchmark: str) -> DataFrame:
+    """One row for each week that has any: the benchmark's price (the median over the themes that hold it), the first session after Friday 00:00 and the first one up to it."""
+    return observed.groupBy("week").agg(F.median(F.when(F.col("security") == benchmark, F.col("price"))).alias("b_price"), F.min("late_session").alias("late"), F.min("session").alias("session"))
+
+
+def calendar_panel(weekly: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """One row for each week from the first to the last: the benchmark's price, return and windows, and effective_date, the first session after Friday 00:00 or, where there is none, the next business day (the Monday).
+
+    Its windows run over one row a week, in one task. Later sessions are looked for in descending order, in a frame that only grows.
+    """
+    dense = weeks(weekly).join(weekly, "week", "left")
+    by = Window.partitionBy(F.lit(0)).orderBy("week")
+    onward = Window.partitionBy(F.lit(0)).orderBy(F.desc("week")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dense.select("week", "b_price", (F.col("b_price") / F.lag("b_price").over(by) - 1.0).alias("b_ret"), F.least("late", F.lead("session").over(by)).alias("_session"))
+    return rows.select("week", "b_price", "b_ret", *compounded_all("b_ret", by, windows, "b"), F.coalesce(F.min("_session").over(onward), F.date_add("week", 3).cast("timestamp_ntz")).alias("effective_date"))
+
+
+def densified(observed: DataFrame, benchmark: str, weekly: DataFrame | None = None) -> DataFrame:
     """A row for each member ever named and each week; price is null where there is none. Each member makes its own weeks from the two ends of the calendar,
     one row that every task gets."""
-    ends = observed.agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
+    ends = (observed if weekly is None else weekly).agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
     own = observed.where(F.col("security") != benchmark)
     grid = own.select("theme", "security").distinct().join(F.broadcast(ends), F.lit(True)).select("theme", "security", F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("week"))
     return grid.join(own.select("week", "theme", "security", "price"), ["week", "theme", "security"], "left")
 
 
-def member_panel(observed: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def member_panel(observed: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS, weekly: DataFrame | None = None) -> DataFrame:
     by = Window.partitionBy("theme", "security").orderBy("week")
-    grid = densified(observed, benchmark)
+    grid = densified(observed, benchmark, weekly)
     seen = F.max(F.col("price").isNotNull()).over(so_far(by))
     known = grid.select("week", "theme", "security", "price", seen.alias("seen"), (F.col("price") / F.lag("price").over(by) - 1.0).alias("ret"))
-    return known.select("*", *(compounded("ret", by, w).alias(f"r{w}") for w in windows))
-
+    return known.select("*", *compounded_all("ret", by, windows, "r"))
 
-def benchmark_panel(observed: DataFrame, benchmark: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """The benchmark's weekly price is the median over the themes that hold it. Its windows run over one row for each week of the calendar."""
-    own = observed.where(F.col("security") == benchmark).groupBy("week").agg(F.median("price").alias("b_price"))
-    dense = weeks(observed).join(own, "week", "left")
-    by = Window.partitionBy(F.lit(0)).orderBy("week")
-    returns = dense.select("week", "b_price", (F.col("b_price") / F.lag("b_price").over(by) - 1.0).alias("b_ret"))
-    return returns.select("*", *(compounded("b_ret", by, w).alias(f"b{w}") for w in windows))
 
-
-def member_sums(members: DataFrame, benchmark: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def member_sums(members: DataFrame, calendar: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """One row for each theme and week: members seen and valid, mean return, breadth, concentration and top share for each window. One shuffle, with partial sums."""
-    rows = members.join(F.broadcast(benchmark), "week", "left")
-    sums = [
-        F.sum(F.col("seen").cast("int")).alias("members_seen"),
-        F.count("ret").alias("members_valid"),
-        F.avg("ret").alias("_mean"),
-    ]
+    rows = members.join(F.broadcast(calendar), "week", "left")
+    sums = ["sum(int(seen)) as members_seen", "count(ret) as members_valid", "avg(ret) as _mean"]
     for w in windows:
-        r, b = F.col(f"r{w}"), F.col(f"b{w}")
-        gain = F.when(r.isNotNull(), F.greatest(r, F.lit(0.0)))
-        sums += [
-            F.count_if(r.isNotNull() & b.isNotNull()).alias(f"_valid{w}"),
-            F.count_if(r > b).alias(f"_winners{w}"),
-            F.count(r).alias(f"_n{w}"),
-            F.sum(gain).alias(f"_gain{w}"),
-            F.sum(gain * gain).alias(f"_gain2{w}"),
-            F.max(gain).alias(f"_top{w}"),
-        ]
-    each = rows.groupBy("week", "theme").agg(*sums)
-
-    def flat(w: int, value: Column) -> Column:
-        return F.when(F.col(f"_n{w}") == 0, None).when(F.col(f"_gain{w}") <= 0, 0.0).otherwise(value)
-
-    out = ["week", "theme", "members_seen", "members_valid", F.try_divide(F.col("members_valid").cast("double"), F.nullif("members_seen", F.lit(0))).alias("participation"), "_mean"]
+        gain = f"case when r{w} is not null then greatest(r{w}, 0D) end"
+        sums += [f"count_if(r{w} is not null and b{w} is not null) as _valid{w}", f"count_if(r{w} > b{w}) as _winners{w}", f"count(r{w}) as _n{w}", f"sum({gain}) as _gain{w}", f"sum(({gain}) * ({gain})) as _gain2{w}", f"max({gain}) as _top{w}"]
+    each = rows.groupBy("week", "theme").agg(*map(F.expr, sums))
+    out = ["week", "theme", "members_seen", "members_valid", "try_divide(double(members_valid), nullif(members_seen, 0)) as participation", "_mean"]
     for w in windows:
+        flat = f"case when _n{w} = 0 then null when _gain{w} <= 0 then 0D else "
         out += [
-            F.try_divide(F.col(f"_winners{w}").cast("double"), F.nullif(F.col(f"_valid{w}"), F.lit(0))).alias(f"breadth_{w}w"),
-            flat(w, F.try_divide(F.col(f"_gain2{w}"), F.col(f"_gain{w}") * F.col(f"_gain{w}"))).alias(f"concentration_{w}w"),
-            flat(w, F.try_divide(F.col(f"_top{w}"), F.col(f"_gain{w}"))).alias(f"top_share_{w}w"),
+            f"try_divide(double(_winners{w}), nullif(_valid{w}, 0)) as breadth_{w}w",
+            f"{flat} try_divide(_gain2{w}, _gain{w} * _gain{w}) end as concentration_{w}w",
+            f"{flat} try_divide(_top{w}, _gain{w}) end as top_share_{w}w",
         ]
-    return each.select(*out)
+    return each.selectExpr(*out)
 
 
 def theme_panel(sums: DataFrame, min_participation: float, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Adds theme_return (the mean, where enough of the known members have one), its windows t4 .. t52, theme_index and history_weeks."""
     by = Window.partitionBy("theme").orderBy("week")
-    enough = F.col("members_valid") >= F.greatest(F.lit(1.0), F.ceil(F.col("members_seen") * min_participation).cast("double"))
-    own = sums.withColumn("theme_return", F.when(enough, F.col("_mean"))).drop("_mean")
+    enough = F.expr(f"case when members_valid >= greatest(1D, double(ceil(members_seen * {float(min_participation)}D))) then _mean end")
+    own = sums.withColumn("theme_return", enough).drop("_mean")
     growth = F.product(F.lit(1.0) + F.col("theme_return")).over(so_far(by))
     return own.select(
         "*",
-        *(compounded("theme_return", by, w).alias(f"t{w}") for w in windows),
+        *compounded_all("theme_return", by, windows, "t"),
         F.when(F.col("theme_return").isNotNull(), 100.0 * growth).alias("theme_index"),
-        F.count("theme_return").over(so_far(by)).cast("double").alias("history_weeks"),
-        F.when(F.count("theme_return").over(before_now(by, 26)) == 26, F.stddev_samp("theme_return").over(before_now(by, 26)) * F.sqrt(F.lit(52.0))).alias("annualized_volatility_26w"),
+        F.expr("double(count(theme_return) over (partition by theme order by week rows between unbounded preceding and current row)) as history_weeks"),
+        F.expr("case when count(theme_return) over y = 26 then stddev_samp(theme_return) over y * sqrt(52D) end as annualized_volatility_26w".replace("over y", "over (partition by theme order by week rows between 25 preceding and current row)")),
     )
 
 
-def next_sessions(observed: DataFrame) -> DataFrame:
-    """week, effective_date: the first session after Friday 00:00, or the next business day (the Monday) where there is none. One row for each week."""
-    each = observed.groupBy("week").agg(F.min("late_session").alias("late"), F.min("session").alias("session"))
-    own = each.select(F.explode(F.array(F.struct(F.col("week"), F.col("late").alias("session")), F.struct(F.date_sub("week", 7).alias("week"), F.col("session")))).alias("_s")).select("_s.*")
-    calendar = weeks(observed).join(own.groupBy("week").agg(F.min("session").alias("session")), "week", "left")
-    after = F.min("session").over(Window.partitionBy(F.lit(0)).orderBy("week").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return calendar.select("week", F.coalesce(after, F.date_add("week", 3).cast("timestamp_ntz")).alias("effective_date"))
-
-
 class Panel:
     """The tables of one input, built lazily. All of them read the weekly observations: within a query Spark makes these once and reuses their exchange. Someone who runs many queries on one panel
     may have them kept (keep=True, made again where an executor is lost) until release()."""
@@ -154,11 +140,34 @@ class Panel:
         self.observed = weekly_observations(self.rows, self.config.min_value)
         if keep:
             self.observed = self.observed.persist()
-        self.members = member_panel(self.observed, self.config.benchmark)
-        self.benchmark = benchmark_panel(self.observed, self.config.benchmark)
-        self.sums = member_sums(self.members, self.benchmark)
-        self.themes = theme_panel(self.sums, self.config.min_participation)
-        self.sessions = next_sessions(self.observed)
+
+    @cached_property
+    def weekly(self) -> DataFrame:
+        return by_week(self.observed, self.config.benchmark)
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return calendar_panel(self.weekly)
+
+    @cached_property
+    def benchmark(self) -> DataFrame:
+        return self.calendar.drop("effective_date")
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.calendar.select("week", "effective_date")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return member_panel(self.observed, self.config.benchmark, weekly=self.weekly)
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        return member_sums(self.members, self.benchmark)
+
+    @cached_property
+    def themes(self) -> DataFrame:
+        return theme_panel(self.sums, self.config.min_participation)
 
     def release(self) -> None:
         self.observed.unpersist()
