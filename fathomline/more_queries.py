@@ -267,14 +267,19 @@ def episode_labels_close(spark, sf_dir):
 HITS, STRICT_HITS = EarlyHitConfig(horizon_weeks=26), EarlyHitConfig(persistence_window=None, log_fraction=None, weeks_before=8, weeks_after=20)
 
 
-def early_hit_rows(spark, sf_dir, c: EarlyHitConfig = HITS) -> DataFrame:
+def early_hit_rows(spark, sf_dir, c: EarlyHitConfig = HITS, known: bool = False) -> DataFrame:
+    """known: signals say when their features were known, and late ones don't count."""
     p = _panel(spark, sf_dir)
     found = episodes.detect_episodes(episode_table(spark, sf_dir, p=p), MOVES.merge_gap_weeks)
     signals = theme_metrics(p).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
-    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir, p), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005)
+    if known:
+        late = F.make_dt_interval(F.weekofyear("decision_at") % 3 - 1)
+        signals = signals.withColumn("feature_available_at", F.when(F.weekofyear("decision_at") % 5 != 0, F.col("decision_at") + late))
+    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir, p), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005, require_point_in_time=known)
 
 
-def early_sql_rows(c: EarlyHitConfig, select: str) -> str:
+def early_sql_rows(c: EarlyHitConfig, select: str, known: bool = False) -> str:
+    in_time = "week(decision_at) % 5 <> 0 and week(decision_at) % 3 - 1 <= 0" if known else "true"
     horizons = sorted({c.horizon_weeks, 52})
     limit = "true" if c.log_fraction is None else f"made / total < {c.log_fraction}::double"
     h = c.horizon_weeks
@@ -292,10 +297,10 @@ def early_sql_rows(c: EarlyHitConfig, select: str) -> str:
     moved as (select *, exit_at is not null as matured, event_start is not null as event_metadata_available, case when event_start is not null then decision_at between event_start - interval {7 * c.weeks_before} days and event_start + interval {7 * c.weeks_after} days end as within_onset_window,
         case when base > 0 then seen / base - 1 end as realized_move, case when base > 0 and top > 0 then ln(top / base) end as total, case when base > 0 and seen > 0 then ln(seen / base) end as made from whole),
     judged as (select *, case when total > 0 then made / total end as realized_log_fraction, case when total > 0 then (total - made) / total end as remaining_move_fraction, case when total > 0 then top / seen - 1 end as remaining_upside_to_peak,
-        case when total > 0 then {limit} when total <= 0 then false end as within_realized_limit, true as point_in_time_ok, persistent and row_number() over (partition by theme, event_start, persistent order by decision_at) = 1 as first_signal from moved),
+        case when not ({in_time}) then false when total > 0 then {limit} when total <= 0 then false end as within_realized_limit, {in_time} as point_in_time_ok, persistent and row_number() over (partition by theme, event_start, persistent order by decision_at) = 1 as first_signal from moved),
     eh as (select decision_at, theme, signal, persistent, matured, label, future_return, future_excess_return, entry_at, exit_at, event_start, event_peak, event_metadata_available, within_onset_window, realized_move, realized_log_fraction, remaining_move_fraction, remaining_upside_to_peak,
         within_realized_limit, point_in_time_ok, first_signal, persistent and matured and event_metadata_available and within_onset_window is not null and within_realized_limit is not null as eligible_for_early_hit, hold_52w_return, hold_52w_excess_return, hold_52w_exit_at,
-        coalesce(first_signal and matured and case when event_start is not null then qualifies else label end and within_onset_window and within_realized_limit, false) as hit from judged)
+        coalesce(first_signal and matured and case when event_start is not null then qualifies else label end and within_onset_window and within_realized_limit and point_in_time_ok, false) as hit from judged)
     {select}""")
 
 
@@ -312,6 +317,11 @@ def early_hit_strict(spark, sf_dir):
     return early_hit_rows(spark, sf_dir, STRICT_HITS)
 
 
+@query("early_hits_in_time", early_sql_rows(HITS, f"select * replace ({r6(*EARLY_ROUNDED)}) from eh", True))
+def early_hit_in_time(spark, sf_dir):
+    return early_hit_rows(spark, sf_dir, known=True)
+
+
 REPORT_SQL = """select count(*) filter (e) as eligible, count(*) filter (e and hit) as hits, round(count(*) filter (e and hit) / nullif(count(*) filter (e), 0), 6) + 0.0 as hit_rate, count(*) filter (signal and persistent) as persistent_signals, count(*) filter (signal and matured) as matured,
     count(*) filter (e and hit) as first_hits, count(*) filter (signal and within_onset_window is not null) as window_available, count(*) filter (signal and realized_log_fraction is not null) as fraction_available, count(*) filter (e and not hit) as false_alerts,
     round(median(date_diff('day', event_start, decision_at) / 7) filter (e), 6) + 0.0 as median_lead_lag_weeks, round(median(remaining_move_fraction) filter (e), 6) + 0.0 as median_remaining_move_fraction from (select *, eligible_for_early_hit as e from eh)"""

@@ -43,13 +43,13 @@ def _edges(rows: DataFrame, value: str, *by: str) -> DataFrame:
     )
 
 
-def annual_theme_leaders(data: DataFrame, config: AnnualConfig | None = None, as_of: date | str | None = None) -> DataFrame:
+def annual_theme_leaders(data: DataFrame, config: AnnualConfig | None = None, as_of: date | str | None = None, panel: Panel | None = None) -> DataFrame:
     """The top_n themes of each calendar year (of the week's Friday) by return from the last index value of earlier years, or the first of the year, to the last of the year.
 
-    Only rows of status ok are ranked and returned; ties share the smaller rank. Years have one row for each theme, so the joins with yearly benchmark and calendar rows are small.
+    panel: that of data until as_of, if it is there already. Only rows of status ok are ranked and returned; ties share the smaller rank. Years have one row for each theme, so the joins with yearly benchmark and calendar rows are small.
     """
     c = config or AnnualConfig()
-    panel = Panel(until(data, as_of), c.panel)
+    panel = panel or Panel(until(data, as_of), c.panel)
     themes = panel.themes.withColumn("year", F.year("week"))
     calendar = panel.benchmark.withColumn("year", F.year("week"))
     per_year = calendar.groupBy("year").agg(F.count("*").alias("weeks"), F.max("week").alias("last_week"), F.count("b_price").alias("b_weeks"))
@@ -92,10 +92,10 @@ def annual_theme_leaders(data: DataFrame, config: AnnualConfig | None = None, as
     )
 
 
-def early_rise_signals(data: DataFrame, config: AnnualConfig | None = None, as_of: date | str | None = None) -> DataFrame:
+def early_rise_signals(data: DataFrame, config: AnnualConfig | None = None, as_of: date | str | None = None, panel: Panel | None = None) -> DataFrame:
     """One row for each theme and week: watched when eight gates hold, confirmed on the week when enough of the last weeks were watched and the week before wasn't so."""
     c = config or AnnualConfig()
-    rows = theme_metrics(Panel(until(data, as_of), c.panel)).withColumn("rank_improvement_4v13", F.col("rs_rank_4w") - F.col("rs_rank_13w"))
+    rows = theme_metrics(panel or Panel(until(data, as_of), c.panel)).withColumn("rank_improvement_4v13", F.col("rs_rank_4w") - F.col("rs_rank_13w"))
     least = {
         "history_weeks": c.signal_history_weeks,
         "rs_4w": c.early_min_fast_rs,
@@ -144,6 +144,8 @@ def latest_by_theme(rows: DataFrame, at: str = "decision_date") -> DataFrame:
 
 def annual_leadership_report(data: DataFrame, config: AnnualConfig | None = None, as_of: date | str | None = None) -> dict[str, DataFrame]:
     """Both tables, the latest row of each theme, and the latest rows that are watched or confirmed."""
-    early = early_rise_signals(data, config, as_of)
+    c = config or AnnualConfig()
+    panel = Panel(until(data, as_of), c.panel)
+    early = early_rise_signals(data, c, as_of, panel)
     latest = latest_by_theme(early)
-    return {"annual_leaders": annual_theme_leaders(data, config, as_of), "early_signals": early, "latest": latest, "latest_early": latest.where("early_watch or early_confirmed")}
+    return {"annual_leaders": annual_theme_leaders(data, c, as_of, panel), "early_signals": early, "latest": latest, "latest_early": latest.where("early_watch or early_confirmed")}
