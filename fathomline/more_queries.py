@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from fathomline.config import AnnualConfig, Clock, EarlyHitConfig, EpisodeConfig, SplitConfig
 from fathomline.operators import audits, early_hits, episodes, labels, membership, rank_metrics, scorecard, splits
 from fathomline.operators.metrics import theme_metrics
-from fathomline.operators.panel import Panel
 from fathomline.plans import annual, lanes, pipeline
 from fathomline.queries import EASY_HOLD, EASY_LEADER, EASY_RADAR, _metrics, _panel, query, r6, with_panel
 from fathomline.sources.readers import unpivoted
+from fathomline.sources.shared import written
 from fathomline.sources.testdata import lineitem_panel, table
 
 EASY_ANNUAL = AnnualConfig(min_coverage=0.3, min_weeks_per_year=10, top_n=2, early_min_rank=0.3, early_min_acceleration_rank=0.3, early_min_rank_improvement=-1.0, early_min_breadth=0.1, early_min_fast_rs=-0.5)
@@ -90,7 +90,7 @@ def latest_cross_section(spark, sf_dir):
     ),
 )
 def lane_status_counts(spark, sf_dir):
-    return pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD).manifest()
+    return pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD, keep=written).manifest()
 
 
 @query("fingerprint", "select true as same_in_any_order, true as other_for_another_row, true as other_for_a_missing_row, true as other_for_other_settings, 64 as digits")
@@ -117,8 +117,8 @@ def fingerprint(spark, sf_dir):
 # --- labels and episodes over the theme indexes ---
 
 
-def index_series(spark, sf_dir, p: Panel | None = None) -> DataFrame:
-    p = p or _panel(spark, sf_dir)
+def index_series(spark, sf_dir) -> DataFrame:
+    p = _panel(spark, sf_dir)
     return p.themes.join(F.broadcast(p.benchmark), "week").select("theme", F.col("week").cast("timestamp_ntz").alias("ts"), F.col("theme_index").alias("price"), F.col("b_price"))
 
 
@@ -206,13 +206,18 @@ def classify_episode(spark, sf_dir):
     return labels.classify_moves(move_table(spark, sf_dir)).select("l_orderkey", "l_linenumber", "excess_return", "breadth_ok", "min_names_ok", "top_decile_ok", "major_surge", "explosive", "label")
 
 
+def series_of(found: DataFrame) -> DataFrame:
+    return found.select("theme", F.col("week").cast("timestamp_ntz").alias("ts"), F.col("theme_index").alias("price"), "b_price")
+
+
 def episode_facts(found: DataFrame) -> DataFrame:
     return found.select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), F.col("breadth_13w").alias("breadth_up"), F.col("members_valid").alias("active_names"), F.col("m0_rank").alias("theme_rank_percentile"))
 
 
-def episode_table(spark, sf_dir, c: EpisodeConfig = MOVES, p: Panel | None = None) -> DataFrame:
-    p = p or _panel(spark, sf_dir)
-    return episodes.label_episodes(index_series(spark, sf_dir, p), episode_facts(theme_metrics(p)), c)
+def episode_table(spark, sf_dir, c: EpisodeConfig = MOVES, found: DataFrame | None = None) -> DataFrame:
+    """Series and facts are columns of one metrics table, which is written once."""
+    found = found if found is not None else written(theme_metrics(_panel(spark, sf_dir)), "metrics")
+    return episodes.label_episodes(series_of(found), episode_facts(found), c)
 
 
 def episode_sql(c: EpisodeConfig) -> str:
@@ -269,13 +274,13 @@ HITS, STRICT_HITS = EarlyHitConfig(horizon_weeks=26), EarlyHitConfig(persistence
 
 def early_hit_rows(spark, sf_dir, c: EarlyHitConfig = HITS, known: bool = False) -> DataFrame:
     """known: signals say when their features were known, and late ones don't count."""
-    p = _panel(spark, sf_dir)
-    found = episodes.detect_episodes(episode_table(spark, sf_dir, p=p), MOVES.merge_gap_weeks)
-    signals = theme_metrics(p).select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
+    each = written(theme_metrics(_panel(spark, sf_dir)), "metrics")
+    found = episodes.detect_episodes(episode_table(spark, sf_dir, found=each), MOVES.merge_gap_weeks)
+    signals = each.select("theme", F.col("week").cast("timestamp_ntz").alias("decision_at"), (F.col("rs_rank_4w") > 0.5).alias("signal"))
     if known:
         late = F.make_dt_interval(F.weekofyear("decision_at") % 3 - 1)
         signals = signals.withColumn("feature_available_at", F.when(F.weekofyear("decision_at") % 5 != 0, F.col("decision_at") + late))
-    return early_hits.evaluate_early_hits(signals, index_series(spark, sf_dir, p), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005, require_point_in_time=known)
+    return early_hits.evaluate_early_hits(signals, series_of(each), found.select("theme", "onset", "peak", "qualifies"), c, 0.02, 0.005, require_point_in_time=known)
 
 
 def early_sql_rows(c: EarlyHitConfig, select: str, known: bool = False) -> str:

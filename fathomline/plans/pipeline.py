@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,8 +126,10 @@ def run_signal_pipeline(
     radar: EmergingRadarConfig | None = None,
     hold: HoldCandidateConfig | None = None,
     row_order: str | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> SignalRun:
-    """Checks the input at once (checked_as_of) and leaves all else lazy. Lanes whose settings make the same panel share its metrics, which Spark then plans once; any others have a panel of their own."""
+    """Checks the input at once (checked_as_of) and leaves all else lazy. Lanes whose settings make the same panel share its metrics, which Spark then plans once; any others have a panel of their own. keep: what is done with a metrics table
+    (one row for each theme and week) before lanes read it, such as sources.shared.written, where several results of a run are wanted."""
     until = checked_as_of(prices, as_of)
     own = up_to(prices, until)
     current, radar, hold = current or CurrentLeaderConfig(), radar or EmergingRadarConfig(), hold or HoldCandidateConfig()
@@ -134,7 +137,7 @@ def run_signal_pipeline(
     made: dict[PanelConfig, DataFrame] = {}
     for c in (current, radar, hold):
         if c.panel not in made:
-            made[c.panel] = theme_metrics(Panel(own, c.panel, row_order))
+            made[c.panel] = (keep or (lambda x: x))(theme_metrics(Panel(own, c.panel, row_order)))
     day = f"{until:%Y-%m-%d}"
     return SignalRun(
         day, fingerprint(own, settings), lanes.current_leader(made[current.panel], current, day), lanes.emerging_radar(made[radar.panel], radar, day), lanes.hold_candidate_12m(made[hold.panel], hold, day)

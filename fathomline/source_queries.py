@@ -6,8 +6,6 @@ What readers read is written first, loosely, from the star-schema tables, into a
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from datetime import date
 from pathlib import Path
 
@@ -22,15 +20,10 @@ from fathomline.operators import audits, early_hits, labels, membership, panel,
 from fathomline.plans import annual, lanes, pipeline
 from fathomline.queries import AS_OF, EASY_HOLD, EASY_LEADER, EASY_RADAR, _panel, query, r6, with_panel
 from fathomline.sources import catalog, challenges, provenance, providers, readers, scorecards
+from fathomline.sources.shared import scratch, written
 from fathomline.sources.testdata import lineitem_panel, table
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; on one machine without spark.checkpoint.dir, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="fathomline-")
-    return f"{root.rstrip('/')}/loose-{uuid.uuid4().hex}"
-
-
 def local(path: str) -> Path:
     return Path(path.removeprefix("file://").removeprefix("file:"))
 
@@ -321,7 +314,7 @@ def lane_scorecard_sql() -> str:
 
 @query("lane_scorecard", lane_scorecard_sql())
 def lane_scorecard(spark, sf_dir):
-    run = pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD)
+    run = pipeline.run_signal_pipeline(lineitem_panel(spark, sf_dir), None, EASY_LEADER, EASY_RADAR, EASY_HOLD, keep=written)
     return scorecard.lane_scorecard(run.current_leader, run.emerging_radar, run.hold_candidate, TODAY)
 
 
