@@ -29,12 +29,11 @@ def op1_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    raw = F.to_variant_object(F.struct("turn", "role", "text"))
     said = "</s>[INST] ok [/INST]"
     control = {"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]}
-    kinds = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turn {rows.schema['turn'].dataType.simpleString()}, raw string"
-    records = rows.select("conv_id", "turn", raw.alias("raw")).union(spark.createDataFrame([(-1, 0, json.dumps(control))], kinds).withColumn("raw", F.parse_json("raw")))
-    read = chat.format_chats(records).withColumns({"_turns": chat.read_turns(F.col("formatted")), "_loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    more = spark.createDataFrame([(-1, 0, json.dumps(control))], f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turn int, raw string")
+    every = chat.format_chats(rows.select("conv_id", "turn", F.struct("turn", "role", "text").alias("raw"))).unionByName(chat.format_chats(more))
+    read = every.withColumns({"_turns": chat.read_turns(F.col("formatted")), "_loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
     lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
