@@ -21,8 +21,8 @@ CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#].*)", re.DOTALL)
-#: Entries of the two tables of a worker, and the longest piece in them.
-BETWEEN_SPACES, PIECES, LONGEST = 450_000, 60_000, 64
+#: Entries of the tables of a worker (the first has two generations of so many), and the longest piece in them.
+BETWEEN_SPACES, PIECES, LONGEST = 260_000, 60_000, 64
 
 
 def load(path: str) -> str:
@@ -64,13 +64,21 @@ class Pieces(dict):
 
 
 class BetweenSpaces(dict):
-    """What stands between two spaces, with the space before it. Words are kept, with and without marks; what spans lines seldom comes again and isn't."""
+    """What stands between two spaces, with the space before it. Words are kept, with and without marks; what spans lines seldom comes again and isn't. When the table is full it becomes the old one, from which what is
+    used again moves on, so common words needn't be encoded again."""
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.old = pieces, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, text: str) -> bytes:
+        if (out := self.old.get(text)) is not None:
+            self[text] = out
+            return out
         if LETTERS.fullmatch(text):
             out = self.pieces.word(" " + text)
         elif not text or text[0].isspace() or text[-1].isspace():
@@ -96,7 +104,7 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the id `end`."""
         if len(self.spaced) > BETWEEN_SPACES:
-            self.spaced.clear()
+            self.spaced.age()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         last, out = struct.pack("<I", end), []
