@@ -48,7 +48,7 @@ def paths(rows: DataFrame, weeks: int, by: str, name: str, sums: dict[str, Colum
 
     Time is cut into blocks of that length. Such a stretch begins in one block and ends in it, at its last row, or in the next: it is what follows in the first (<name>_from: block and sums from a row to its block's end) and, if the row
     before the stretch's end lies in another block, what precedes in the second (<name>_to of the end: block and sums of its block up to the row before the end). sums: name -> value of which the largest is wanted; falls: also the deepest fall of price below its own running peak, with
-    highest and lowest price. Both are windows over one block each, so no row gets a list, and a long series is many tasks.
+    highest and lowest price. Both are windows over one block each, so no row gets a list and each row is read a fixed number of times.
     """
     block = f"_{name}_block"
     rows = rows.withColumn(block, F.floor(F.col("_s") / (7 * weeks * DAY)))
