@@ -19,7 +19,8 @@ from fathomline.llm import words as W
 from fathomline.llm.shared import numbered, released, renamed, set_up, text_of, with_fields, written
 
 SAMPLE = 8
-SHARD_BYTES = 12 << 20
+#: Bytes of text in a shard: at least, at most, and for each byte of phrases in between. All phrases are searched in each shard, so many phrases want large shards.
+SHARD_LEAST, SHARD_MOST, SHARD_SHARE = 4 << 20, 24 << 20, 2
 #: Rows that go back to Spark at once, and words of a piece of a long item.
 OUT_ROWS, PIECE_WORDS = 1000, 1 << 15
 
@@ -195,13 +196,13 @@ OUT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _gathered(batches):
-    """Batches of about SHARD_BYTES."""
+def _gathered(batches, most: int):
+    """Batches of about so many bytes."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= SHARD_BYTES:
+        if size >= most:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
     if held:
@@ -226,9 +227,10 @@ def _search(table_at, keep: list[int], earlier: bool, clean_only: bool):
         table = table_at.value
         vocabulary = table["vocabulary"]
         names = table["names"]
-        for batch in _gathered(batches):
+        shard_bytes = min(max(SHARD_LEAST, SHARD_SHARE * table["phrases"].nbytes), SHARD_MOST)
+        for batch in _gathered(batches, shard_bytes):
             texts = batch.column(0)
-            for at, to in W.pieces(texts, SHARD_BYTES):
+            for at, to in W.pieces(texts, shard_bytes):
                 symbols, counts = [], []
                 shard = texts.slice(at, to - at)
                 for a, b in W.pieces(shard):
