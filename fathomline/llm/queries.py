@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chat, decontaminate, exact_dup, language, near_dup, packing, pii, pseudo_likelihood, quality, token_files
+from fathomline.llm import alignment, chat, decontaminate, exact_dup, language, near_dup, packing, pii, pseudo_likelihood, quality, token_files, toxicity, whitening
 from fathomline.llm.shared import read_table
 
 
@@ -88,6 +88,20 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.toxicity(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op12_block_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(read_table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
 SQL: dict[str, str] = {
     "op2_fingerprint_chat_format": r"""
         with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations

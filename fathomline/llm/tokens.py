@@ -95,10 +95,14 @@ class BetweenSpaces(dict):
 
 
 class Encoder:
-    def __init__(self, content: str) -> None:
+    """plain: the strings of special tokens inside texts are plain text."""
+
+    def __init__(self, content: str, plain: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.pieces = Pieces(Tokenizer.from_str(content))
+        tokenizer = Tokenizer.from_str(content)
+        tokenizer.encode_special_tokens = plain
+        self.pieces = Pieces(tokenizer)
         self.spaced = BetweenSpaces(self.pieces)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
