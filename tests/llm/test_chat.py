@@ -91,6 +91,74 @@ def test_structs_need_no_parsing(spark):
     assert read_back(chat.format_chats(typed)) == read_back(chat.format_chats(as_variant))
 
 
+def fingerprints(spark, records):
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "raw string").select(chat.paths(F.parse_json("raw")).alias("p"))
+    return [tuple(r) for r in df.select(chat.fingerprint(F.col("p")), chat.layout_of(F.col("p"))).collect()]
+
+
+def test_one_nested_path_changes_the_fingerprint_and_the_layout(spark):
+    plain = {"messages": [{"role": "user", "content": "q"}]}
+    parts = {"messages": [{"role": "user", "content": [{"text": "q"}]}]}
+    deep = {"conversation": {"turns": [{"role": "user", "text": "q"}]}}
+    broken = {"conversation": {"turns": [{"role": "user", "words": "q"}]}}
+    found = fingerprints(spark, [plain, parts, deep, broken])
+    assert len({f for f, _ in found}) == 4
+    names = [chat.LAYOUTS[i - 1]["name"] if i else None for _, i in found]
+    assert names == ["messages", "message_parts", "conversation_turns", None]
+
+
+def test_types_and_variants_have_one_fingerprint(spark):
+    kinds = {
+        "raw struct<turn:int,role:string,text:string>": {"turn": 1, "role": "user", "text": "t"},
+        "raw struct<messages:array<struct<role:string,content:array<struct<text:string>>>>>": {"messages": [{"role": "user", "content": [{"text": "q"}]}]},
+        "raw struct<conversation:struct<turns:array<struct<role:string,text:string>>>>": {"conversation": {"turns": [{"role": "user", "text": "q"}]}},
+    }
+    for ddl, record in kinds.items():
+        kind = spark.createDataFrame([], ddl).schema["raw"].dataType
+        typed = spark.range(1).select(chat.fingerprint(F.array(*map(F.lit, chat.paths_of(kind))))).first()[0]
+        assert typed == fingerprints(spark, [record])[0][0]
+
+
+def test_the_hash_decides(spark, monkeypatch):
+    """Without the fingerprint no layout is found, of typed rows neither."""
+    df = spark.createDataFrame([(1, 0, (0, "user", "t"))], "conv_id int, turn int, raw struct<turn:int,role:string,text:string>")
+    assert chat.format_chats(df).count() == 1
+    asked, real = [], chat.fingerprint
+
+    def other(found):  # each call gives another hash of the same paths
+        asked.append(found)
+        return real(found) + len(asked)
+
+    monkeypatch.setattr(chat, "fingerprint", other)
+    assert chat.format_chats(df).count() == 0 and len(asked) > len(chat.admissible())
+
+
+def test_a_table_of_all_layouts(spark):
+    """One typed table, and one of variants, whose rows have different layouts."""
+    ddl = "conv_id string, turn int, raw struct<prompt:string,response:string,instruction:string,input:string,output:string,messages:array<struct<role:string,content:string>>,conversation:struct<turns:array<struct<role:string,text:string>>>,note:string>"
+    rows = [
+        ("a", 0, ("p", "r", None, None, None, None, None, "n")),
+        ("b", 0, (None, None, "do", "this", "done", None, None, None)),
+        ("c", 0, (None, None, None, None, None, [("user", "q"), ("gpt", None)], None, None)),
+        ("d", 0, (None, None, None, None, None, None, ([("human", "h")],), "n")),
+        ("e", 0, ("p", None, None, None, None, [("user", "q")], None, None)),
+        ("f", 0, ("p", "r", "do", None, "done", None, None, None)),
+        ("g", 0, (None, None, None, None, None, None, None, "n")),
+    ]
+    want = {
+        "a": [("user", "p"), ("assistant", "r")],
+        "b": [("user", "do\n\nthis"), ("assistant", "done")],
+        "c": [("user", "q"), ("assistant", "")],
+        "d": [("user", "h")],
+        "e": [("user", "q")],
+    }
+    df = spark.createDataFrame(rows, ddl)
+    assert {k: v[0] for k, v in read_back(chat.format_chats(df)).items()} == want
+    assert sorted(r.conv_id for r in chat.rejects(df).collect()) == ["f", "g"]
+    texts = df.select("conv_id", "turn", F.to_json("raw").alias("raw"))  # without the null fields
+    assert {k: v[0] for k, v in read_back(chat.format_chats(texts)).items()} == want
+
+
 def test_query_keeps_very_long_texts(spark, tmp_path):
     rows = spark.range(1).select(F.lit(5).cast("bigint").alias("conv_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), F.lit("assistant").alias("role"))
     rows = rows.withColumn("text", F.when(F.col("turn") == 0, "short").otherwise(F.repeat(F.lit("x"), 25_000_000)))
