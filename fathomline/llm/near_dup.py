@@ -1,12 +1,12 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
-1. Each text becomes its set of k-word shingles (64-bit hashes); texts with equal sets are one class from here on.
+1. Each text becomes its set of k-word shingles (64-bit hashes); texts with equal sets are one class from here on, with a key of its own, whatever ids its rows have.
 2. A set of any size gets a sketch of T coordinates. In round i < T each shingle is thrown into a random bin, in round T + j all go to bin j; a bin
    keeps the smallest (round, hash). Rounds end when all bins are full, which takes about T ln T throws, so every coordinate is
    filled and the share of equal coordinates of two sketches concentrates around their Jaccard similarity as if drawn without replacement.
 3. Bands of ROWS coordinates are bucket keys. A pair at similarity .8 shares none of the 42 bands with a chance of 3e-6.
 4. In each bucket, sketches screen the pairs; the bucket gives one star for each group of similar sketches, never its pairs.
-5. The components of those stars are clusters. Texts of a cluster are compared exactly on full sets, which gives one star for each linked group. Components of these links are the result.
+5. The components of those stars are clusters. Texts of a cluster are compared exactly on full sets, which gives one star for each linked group. Components of these links, and of those between classes that share an id, are the result.
 
 Steps 4 and 5 compare every member with its bucket's or cluster's smallest member first, in time linear in the members. Those that match it are connected, so they meet only the others afterwards: others are
 active and meet everyone, in pairs of blocks dealt out over tasks. No task holds more than two blocks, and no partner is dropped.
@@ -61,7 +61,7 @@ def shingle_sets(column: pa.Array, k: int):
 def _sketch_batches(k: int):
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(2)
             for at, to, hashes, n in shingle_sets(column, k):
                 sketch = sketches(hashes, n)
                 text = np.repeat(np.arange(to - at), n)
@@ -77,13 +77,14 @@ def _sketch_batches(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
+                        batch.column(1).slice(at, to - at),
                         pa.array(n.astype(np.int64)),
                         pa.array(ones.view(np.int64)),
                         pa.array(twos.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())),
                         pa.array([r.tobytes() for r in low], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_1", "set_2", "bands", "sketch"],
+                    ["doc_id", "said", "n_shingles", "set_1", "set_2", "bands", "sketch"],
                 )
 
     return run
@@ -286,6 +287,13 @@ def _blocks(rows: DataFrame, by: Column, keys: list[str], weight: Column | None
     return dealt.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumns({"p": F.least("_s", "_t"), "q": F.greatest("_s", "_t")}).drop("_s", "_t", "_a", "_c")
 
 
+def _dealt(rows: DataFrame, docs: DataFrame, *keys: str) -> DataFrame:
+    """Rows with p <= q, each pair of blocks in one partition. The pairs of a group are numbered and go round the partitions from a place of the group's own, so a large group's pairs are spread evenly."""
+    n = parts(docs)
+    pair = F.pmod(F.xxhash64(*keys), F.lit(n)) + F.expr("q * (q + 1) div 2 + p")
+    return rows.repartitionById(n, F.pmod(pair, F.lit(n)).cast("int"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that chains of links reach), kept.
 
@@ -296,12 +304,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     """
     set_up(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>, sketch binary"
-    each = written(rows.mapInArrow(released(_sketch_batches(k)), schema), "near-sketches")
+    schema = "doc_id bigint, said bigint, n_shingles bigint, set_1 bigint, set_2 bigint, bands array<bigint>, sketch binary"
+    each = written(rows.select("doc_id", F.xxhash64("text").alias("said"), "text").mapInArrow(released(_sketch_batches(k)), schema), "near-sketches")
     alike = ["n_shingles", "set_1", "set_2"]
-    classes = written(
-        each.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes"
-    )
+    classes = each.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min(F.struct("doc_id", "said")).alias("shown"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
     in_band = classes.select(F.explode("bands").alias("band"), "rep")
     buckets = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
@@ -312,11 +319,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     in_bucket = written(in_bucket.mapInArrow(released(_near_pivot(percent)), "band bigint, least bigint, rep bigint, passive boolean"), "near-buckets")
     to_pivot = in_bucket.where("passive and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     screened = _blocks(in_bucket.select("band", "rep", "passive"), F.col("rep"), ["band"]).join(sketch, "rep").select("band", "p", "q", "rep", "passive", "sketch")
-    screened = screened.repartition(parts(docs), "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    screened = _dealt(screened, docs, "band").sortWithinPartitions("band", "p", "q")
     clusters = connected_components(to_pivot.union(screened.mapInArrow(released(_screen(percent)), "a bigint, b bigint")))
 
-    texts = rows.withColumnRenamed("doc_id", "rep")
-    members = written(clusters.select(F.col("node").alias("rep"), "component").join(texts, "rep"), "near-members")
+    shown = clusters.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "shown.doc_id", "shown.said"), "rep")
+    shown = shown.join(rows.withColumn("said", F.xxhash64("text")), ["doc_id", "said"]).groupBy("doc_id", "said", "rep", "component").agg(F.first("text").alias("text"))  # one text of each class
+    members = written(shown.select("rep", "component", "text"), "near-members")
     pivots = members.where("rep = component").select("component", F.col("text").alias("pivot"))
     met = members.join(pivots, "component").select("rep", "component", "text", "pivot").mapInArrow(released(_meets_pivot(k, percent)), "rep bigint, component bigint, passive boolean")
     met = written(met, "near-met")
@@ -327,10 +335,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: float = 80, doc_id: st
     dealt = sized.select("component", "rep", "passive", "n_shingles", F.explode(both).alias("to")).select("component", F.col("to.g").alias("g"), F.col("to.native").alias("native"), "rep", "passive", "n_shingles")
     dealt = _blocks(dealt, F.col("rep"), ["component", "g"], F.col("n_shingles")).join(sketch, "rep").join(members.select("rep", "text"), "rep")
     dealt = dealt.select("component", "g", "p", "q", "rep", "native", "passive", "sketch", "text")
-    dealt = dealt.repartition(parts(docs), "component", "g", "p", "q").sortWithinPartitions("component", "g", "p", "q")
-    links = connected_components(to_pivot.union(dealt.mapInArrow(released(_verify(k, percent)), "a bigint, b bigint")))
-
-    of_class = classes.select(*alike, "rep").join(links, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
+    dealt = _dealt(dealt, docs, "component", "g").sortWithinPartitions("component", "g", "p", "q")
+    # rows that share an id are one node: all classes of an id hang on its first
+    named, kind = each.where("n_shingles > 0 and doc_id is not null").select("doc_id", *alike), F.struct(*alike)
+    several = named.groupBy("doc_id").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).where("x <> y").select("doc_id")
+    of_row = named.join(several, "doc_id", "left_semi").distinct().join(classes.select(*alike, "rep"), alike).select("doc_id", "rep")
+    first = of_row.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    one_id = of_row.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    links = connected_components(to_pivot.union(dealt.mapInArrow(released(_verify(k, percent)), "a bigint, b bigint")).union(one_id))
+
+    least = links.join(classes.select(F.col("rep").alias("node"), "shown.doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = links.join(least, "component").select("node", "least")
+    of_class = classes.join(named, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("least", "shown.doc_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     rows = each.select("doc_id", *alike).join(of_class, alike, "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

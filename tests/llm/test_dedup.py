@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import pyarrow as pa
@@ -101,6 +102,44 @@ def test_near_duplicates_edges(spark):
     assert got == sorted([(3, 3, True), (3, 3, True), (None, None, True), (5, 3, False), (6, 6, True), (7, 7, True)], key=str)
 
 
+def test_near_copies_that_share_an_id(spark):
+    """300 near copies under one id, others linked to them through other ids of theirs: as fast as rows of 300 ids, and right by brute force over rows."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+
+    def copies(n, base):
+        for _ in range(n):
+            own = list(base)
+            own[rng.randrange(len(own))] = rng.choice(words)
+            yield " ".join(own)
+
+    one, two, three = (rng.sample(words, 120) for _ in range(3))
+    rows = [(77, t) for t in copies(300, one)] + [(i, t) for i, t in enumerate(copies(20, two), 100)] + [(110, " ".join(three)), (200, " ".join(three)), (201, " ".join(three)), (77, " ".join(two)), (300, " ".join(rng.sample(words, 50))), (301, None), (77, None)]
+    ids = spark.createDataFrame([(1000 + i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near_dup.near_duplicates(ids, 2, 80).collect()  # warm
+    started = time.time()
+    near_dup.near_duplicates(ids, 2, 80).collect()
+    apart = time.time() - started
+    started = time.time()
+    got = near_dup.near_duplicates(df, 2, 80).collect()
+    assert time.time() - started < 3 * apart + 5
+    by_row = brute_components([(i, t) for i, (_, t) in enumerate(rows)], 2, 80)
+    nodes = {i: i for i, _ in rows}
+
+    def find(x):
+        while nodes[x] != x:
+            x = nodes[x]
+        return x
+
+    for i, (doc_id, _) in enumerate(rows):
+        x, y = find(doc_id), find(rows[by_row[i][1]][0])
+        nodes[max(x, y)] = min(x, y)
+    want = sorted((d, by_row[i][0], find(d)) for i, (d, t) in enumerate(rows) if t)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.n_shingles) == want
+    assert find(77) == find(200) == 77 and len(got) == len(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (103, 101)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
