@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.config import EarlyHitConfig
 from fathomline.functions.expr import before_now, gate
+from fathomline.operators.asof import largest_at_or_before, last_at_or_before
 from fathomline.operators.labels import future_labels
 
 
@@ -18,23 +19,14 @@ def persistent(signal: str, config: EarlyHitConfig, by: str = "theme", at: str =
 
 
 def price_at_or_before(asks: DataFrame, series: DataFrame, at: str, out: str, by: str = "theme") -> DataFrame:
-    """Adds the last price at or before asks.<at>. Both sides become one stream by theme and time, so the look-up is a window, not a range join."""
-    key = F.struct(*(F.col(c) for c in asks.columns))
-    question = asks.select(F.col(by).alias("_by"), F.col(at).alias("_ts"), key.alias("_ask"), F.lit(None).cast("double").alias("_price"), F.lit(1).alias("_later"))
-    answer = series.dropna(subset=["ts", "price"]).select(F.col(by).alias("_by"), F.col("ts").alias("_ts"), F.lit(None).cast(dict(question.dtypes)["_ask"]).alias("_ask"), F.col("price").alias("_price"), F.lit(0).alias("_later"))
-    order = Window.partitionBy("_by").orderBy("_ts", "_later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = F.when(F.col("_ts").isNotNull(), F.last("_price", ignorenulls=True).over(order))
-    return question.unionByName(answer).withColumn("_found", found).where("_later = 1").select("_ask.*", F.col("_found").alias(out))
+    """Adds the last price at or before asks.<at>."""
+    return last_at_or_before(asks, series, by, at, "ts", F.col("price"), out)
 
 
 def event_at_or_before(asks: DataFrame, events: DataFrame, by: str = "theme") -> DataFrame:
-    """Adds _event: of the events (by, onset, ..., _order) that have begun by decision_at, the last in _order. Both sides become one stream by time, of which a running maximum is kept; never a range join."""
+    """Adds _event: of the events (by, onset, ..., _order) that have begun by decision_at, the last in _order."""
     fact = F.struct("_order", *(c for c in events.columns if c not in (by, "_order")))
-    key = F.struct(*asks.columns)
-    question = asks.select(F.col(by).alias("_by"), F.col("decision_at").alias("_ts"), key.alias("_ask"), F.lit(1).alias("_later")).withColumn("_fact", F.lit(None).cast(events.select(fact.alias("f")).schema["f"].dataType))
-    answer = events.select(F.col(by).alias("_by"), F.col("onset").alias("_ts"), F.lit(None).cast(question.schema["_ask"].dataType).alias("_ask"), F.lit(0).alias("_later"), fact.alias("_fact"))
-    order = Window.partitionBy("_by").orderBy("_ts", "_later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return question.unionByName(answer).withColumn("_event", F.max("_fact").over(order)).where("_later = 1").select("_ask.*", "_event")
+    return largest_at_or_before(asks, events, by, "decision_at", "onset", fact, "_event")
 
 
 def evaluate_early_hits(

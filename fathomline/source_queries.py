@@ -64,6 +64,41 @@ def read_json_list(spark, sf_dir):
     return readers.normalised_records(readers.read_rows(spark, path))
 
 
+@query(
+    "read_quoted_cells",
+    "select n_name || chr(10) || 'of \"' || r_name || '\", both' as symbol, cast(date '2024-01-05' + cast(n_nationkey as integer) as timestamp) as date, cast(n_nationkey as double) as value from nation join region on r_regionkey = n_regionkey",
+)
+def read_quoted_cells(spark, sf_dir):
+    """Cells with separators, doubled quotes and line ends."""
+    path, quote = scratch(spark), F.lit('"')
+    names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    cell = F.concat(quote, "n_name", F.lit('\nof ""'), "r_name", F.lit('"", both'), quote)
+    lines = names.select(F.concat_ws(",", F.date_add(F.lit("2024-01-05").cast("date"), F.col("n_nationkey").cast("int")).cast("string"), cell, F.col("n_nationkey").cast("string")).alias("value"))
+    head = spark.createDataFrame([("date,symbol,close",)], "value string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions(F.col("value").startswith("date").cast("int").desc()).write.text(path)
+    rows = readers.read_rows(spark, path)
+    return rows.select("symbol", parsing.safe_date(F.col("date")).alias("date"), parsing.safe_number(F.col("close")).alias("value"))
+
+
+@query("read_bad_json_line", "select 'line ' || cast((select count(*) from nation where n_nationkey <= 4) as varchar) as place, count(*) as good from nation where n_regionkey > 0")
+def read_bad_json_line(spark, sf_dir):
+    """A line that isn't JSON is an error that names it; lines of JSON that aren't objects are skipped."""
+    path, nations = scratch(spark) + ".jsonl", table(spark, sf_dir, "nation")
+    record = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value")))
+    line = F.when(F.col("n_regionkey") > 0, record).otherwise(F.lit("17"))
+    nations.select(line.alias("value")).coalesce(1).write.text(path)
+    good = readers.read_rows(spark, path)
+    torn = F.when(F.col("n_nationkey") == 4, F.lit('{"name": "torn')).otherwise(record)
+    path = scratch(spark) + ".jsonl"
+    nations.select(torn.alias("value"), "n_nationkey").coalesce(1).sortWithinPartitions("n_nationkey").select("value").write.text(path)
+    try:
+        readers.read_rows(spark, path)
+        place = "no error"
+    except ValueError as error:
+        place = str(error).partition(", ")[2].partition(":")[0]
+    return good.agg(F.lit(place).alias("place"), F.count("*").alias("good"))
+
+
 @query("read_wide", "select date, entity, value from (select cast(d as timestamp) as date, unnest(['low', 'high']) as entity, unnest([lo, hi]) as value from (select cast(o_orderdate as date) as d, round(min(cast(o_totalprice as double)), 6) + 0.0 as lo, round(max(cast(o_totalprice as double)), 6) + 0.0 as hi from orders group by 1))")
 def read_wide(spark, sf_dir):
     path = scratch(spark)
@@ -240,6 +275,24 @@ def snapshot_cache(spark, sf_dir):
     return kept.select("*", F.lit(had).alias("has_manifest"), F.lit(gone).alias("dropped"))
 
 
+@query("snapshot_versions", "select n_nationkey, n_name, n_regionkey, true as kept, true as old_readable, 2 as versions from nation where n_regionkey > 0")
+def snapshot_versions(spark, sf_dir):
+    """A put that fails leaves rows and manifest as they were; a frame read from a key can be put under it; a reader of the older version keeps it."""
+    cache = provenance.SnapshotCache(spark, scratch(spark))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    mark = provenance.SourceManifest("nation", "table:nation", None, "2024-01-01", "2024-01-01")
+    cache.put("k", rows, mark)
+    try:
+        cache.put("k", rows.withColumn("n_name", F.when(F.col("n_nationkey") < 20, F.col("n_name")).otherwise(F.raise_error(F.lit("torn")))))
+        kept = False
+    except Exception:  # noqa: BLE001  whatever a failing job raises
+        kept = cache.manifest("k") == mark and cache.get("k").count() == rows.count()
+    old = cache.get("k")
+    cache.put("k", cache.get("k").where("n_regionkey > 0"))
+    readable = old.count() == rows.count() and cache.manifest("k") is None
+    return cache.get("k").select("*", F.lit(kept).alias("kept"), F.lit(readable).alias("old_readable"), F.lit(len(cache.versions("k"))).alias("versions"))
+
+
 def emitted(spark: SparkSession, rows: DataFrame, kind: str, names: list[str]) -> DataFrame:
     """What the sink prints, line by line, as (place, names)."""
     import contextlib

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +85,11 @@ class MemoryCache:
 
 
 class SnapshotCache:
-    """Frames as Parquet under a root that Spark can reach, in folders named by the key's hash, each with a manifest table beside it."""
+    """Frames as Parquet under a root that Spark can reach, in folders named by the key's hash.
+
+    Every put() writes a version of its own, rows and manifest, and then one small file, `current`, that names it and is renamed into place last. So a put that fails leaves the snapshot as it was, readers of an
+    older version keep it, a frame read from a key may be put under it again, and rows never meet another version's manifest. Older versions stay until clean() or delete(). Of two puts at once, the one that renames last counts.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -92,27 +97,77 @@ class SnapshotCache:
     def _at(self, key: str) -> str:
         return f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}"
 
-    def put(self, key: str, frame: DataFrame, manifest: SourceManifest | None = None) -> None:
-        frame.write.mode("overwrite").parquet(f"{self._at(key)}/rows")
-        text = manifest.to_json() if manifest else ""
-        self.spark.createDataFrame([(key, text)], "key string, manifest string").coalesce(1).write.mode("overwrite").json(f"{self._at(key)}/manifest")
+    def _path(self, path: str):
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return own.getFileSystem(self.spark._jsc.hadoopConfiguration()), own
+
+    def _write(self, path: str, text: str) -> None:
+        files, own = self._path(path)
+        out = files.create(own, True)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+
+    def _read(self, path: str) -> str | None:
+        files, own = self._path(path)
+        if not files.exists(own):
+            return None
+        source = files.open(own)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def _current(self, key: str) -> str | None:
+        name = self._read(f"{self._at(key)}/current")
+        return f"{self._at(key)}/{name}" if name else None
 
-    def _there(self, key: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._at(key)}/manifest/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def put(self, key: str, frame: DataFrame, manifest: SourceManifest | None = None) -> None:
+        name = f"version-{uuid.uuid4().hex}"
+        at = f"{self._at(key)}/{name}"
+        try:
+            frame.write.parquet(f"{at}/rows")
+            self._write(f"{at}/manifest.json", manifest.to_json() if manifest else "")
+            self._write(f"{at}/pointer", name)
+        except Exception:
+            files, own = self._path(at)
+            files.delete(own, True)
+            raise
+        jvm = self.spark._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files, own = self._path(f"{at}/pointer")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(own, self._path(f"{self._at(key)}/current")[1], how)
 
     def __contains__(self, key: str) -> bool:
-        return self._there(key)
+        return self._current(key) is not None
 
     def get(self, key: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self._at(key)}/rows") if self._there(key) else None
+        at = self._current(key)
+        return self.spark.read.parquet(f"{at}/rows") if at else None
 
     def manifest(self, key: str) -> SourceManifest | None:
-        if not self._there(key):
-            return None
-        text = self.spark.read.schema("key string, manifest string").json(f"{self._at(key)}/manifest").first()["manifest"]
+        at = self._current(key)
+        text = self._read(f"{at}/manifest.json") if at else None
         return SourceManifest.from_json(text) if text else None
 
+    def versions(self, key: str) -> list[str]:
+        """The folders of all versions that are kept, those of puts under way too."""
+        files, own = self._path(self._at(key))
+        return [s.getPath().toString() for s in files.listStatus(own) if s.isDirectory()] if files.exists(own) else []
+
+    def clean(self, key: str) -> int:
+        """Removes all versions but the current one, when nothing reads or writes them any more; their number."""
+        now = self._current(key)
+        gone = [v for v in self.versions(key) if not now or v.rpartition("/")[2] != now.rpartition("/")[2]]
+        for version in gone:
+            files, own = self._path(version)
+            files.delete(own, True)
+        return len(gone)
+
     def delete(self, key: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(key))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in (f"{self._at(key)}/current", self._at(key)):  # the pointer first: a snapshot is there as a whole or not at all
+            files, own = self._path(path)
+            files.delete(own, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.functions.parsing import canonical, safe_date, safe_number
 
@@ -25,22 +26,58 @@ def sniffed_delimiter(sample: str) -> str:
     return max(",;\t|", key=lambda c: (head.count(c), c == ","))
 
 
+def _first_bad_line(spark: SparkSession, path: str) -> str | None:
+    """Where a file of JSON lines has its first line that isn't JSON: file, number and content. Only looked for when there is one, so the count of the lines before it may take a pass of its own."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    line = F.trim("value")
+    bad = lines.where((line != "") & F.try_parse_json("value").isNull() & ~line.rlike(r"^-?(?:NaN|Infinity)$")).orderBy("file", "place").first()
+    if bad is None:
+        return None
+    before = lines.where((F.col("file") == bad["file"]) & (F.col("place") <= bad["place"])).count()
+    return f"{bad['file']}, line {before}: not JSON: {bad['value'][:100]}"
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Objects, a line each. The pass that finds the schema also finds lines that aren't objects: such a line is skipped if it is JSON (a number, a string), else an error names it."""
+    corrupt = "_corrupt_record"
+    rows = spark.read.option("columnNameOfCorruptRecord", corrupt).json(path)
+    if corrupt not in rows.columns:
+        return rows
+    where = _first_bad_line(spark, path)
+    if where:
+        raise ValueError(where)
+    objects = spark.read.text(path).where(F.trim("value").startswith("{"))
+    kind = StructType([f for f in rows.schema if f.name != corrupt])
+    return objects.select(F.from_json("value", kind).alias("_row")).select("_row.*")
+
+
+def has_line_ends_in_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of delimited text goes over a line end: then, and only then, some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """.json: a list, an object with a list under one of LIST_FIELDS, or one object; .jsonl: objects, a line each; else delimited text with a header. Rows that are all blank go."""
+    """.json: a list, an object with a list under one of LIST_FIELDS, or one object; .jsonl: objects, a line each; else delimited text with a header. Rows that are all blank go; what isn't JSON raises ValueError.
+
+    Quoted cells of delimited text may hold separators, doubled quotes and line ends. Files without line ends in cells are split over tasks; only those that have them, which one pass over the text tells, are read by a task each.
+    """
     if path.endswith(".jsonl"):
-        rows = spark.read.option("mode", "DROPMALFORMED").json(path)
-        return rows
+        return _json_lines(spark, path)
     if path.endswith(".json"):
-        rows = spark.read.option("multiLine", True).json(path)
+        rows = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+        if "_corrupt_record" in rows.columns:
+            raise ValueError(f"{path}: not JSON")
         for name in LIST_FIELDS:
             if name in rows.columns and rows.schema[name].dataType.simpleString().startswith("array<struct"):
                 return rows.select(F.inline(name))
         return rows
     first = spark.read.text(path).limit(1).collect()
     sep = sniffed_delimiter(first[0][0] if first else "")
-    rows = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
-    return rows.where(F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns)).isNotNull())
+    options = {"header": True, "sep": sep, "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": has_line_ends_in_cells(spark, path)}
+    rows = spark.read.options(**options).csv(path)
+    rows = rows.toDF(*(c.lstrip("\ufeff").strip() for c in rows.columns))
+    return rows.where(F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns)).isNotNull()) if rows.columns else rows
 
 
 def _pick(rows: DataFrame, names: list[str]) -> Column | None:

@@ -139,8 +139,34 @@ def test_provenance(spark, tmp_path):
     assert "k" in cache and cache.get("k").count() == 3 and cache.manifest("k") == manifest
     cache.put("k", spark.range(2))
     assert cache.get("k").count() == 2 and cache.manifest("k") is None
+    old = cache.get("k")
+    with pytest.raises(Exception, match="torn"):
+        cache.put("k", spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("torn"))).alias("id")), manifest)
+    assert "k" in cache and cache.get("k").count() == 2 and cache.manifest("k") is None and len(cache.versions("k")) == 2
+    cache.put("k", cache.get("k").where("id = 1"), manifest)
+    assert [r.id for r in cache.get("k").collect()] == [1] and cache.manifest("k") == manifest and old.count() == 2
+    assert cache.clean("k") == 2 and cache.get("k").count() == 1 and len(cache.versions("k")) == 1
     cache.delete("k")
-    assert "k" not in cache and cache.get("k") is None
+    assert "k" not in cache and cache.get("k") is None and cache.manifest("k") is None and cache.clean("k") == 0
+
+
+def test_csv_cells_with_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('date,symbol,close\n2024-01-01,"A\nB",1\n2024-01-02,"say ""x"", y",2\n , ,\n2024-01-03,plain,3\n')
+    (tmp_path / "b.csv").write_text('date;symbol;close\n2024-01-01;"A;""B""";1\n')
+    assert readers.has_line_ends_in_cells(spark, str(tmp_path / "a.csv")) and not readers.has_line_ends_in_cells(spark, str(tmp_path / "b.csv"))
+    assert [tuple(r) for r in readers.read_rows(spark, str(tmp_path / "a.csv")).collect()] == [("2024-01-01", "A\nB", "1"), ("2024-01-02", 'say "x", y', "2"), ("2024-01-03", "plain", "3")]
+    assert [tuple(r) for r in readers.read_rows(spark, str(tmp_path / "b.csv")).collect()] == [("2024-01-01", 'A;"B"', "1")]
+
+
+def test_bad_json(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n17\n"text"\n{"a": 2}\n')
+    assert [r.a for r in readers.read_rows(spark, str(tmp_path / "a.jsonl")).collect()] == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n\n{"a": 2\n{"a": 3}\n')
+    with pytest.raises(ValueError, match=r"b.jsonl, line 3: not JSON"):
+        readers.read_rows(spark, str(tmp_path / "b.jsonl"))
+    (tmp_path / "c.json").write_text('{"rows": [{"a": 1}, {"a"')
+    with pytest.raises(ValueError, match="not JSON"):
+        readers.read_rows(spark, str(tmp_path / "c.json"))
 
 
 def test_scorecard(spark):
