@@ -20,12 +20,14 @@ def block_of(at: Column, weeks: float = BLOCK_WEEKS) -> Column:
     return F.floor(F.unix_seconds(at.cast("timestamp")) / int(7 * weeks * DAY))
 
 
-def _answered(questions: DataFrame, facts: DataFrame, largest: bool, weeks: float) -> DataFrame:
-    """questions (_by, _ts, _ask) with _found: of facts (_by, _ts, _fact) of the same _by with _ts at or before theirs, the latest (of equal times the larger) or, if largest, the largest _fact."""
+def _answered(questions: DataFrame, facts: DataFrame, largest: bool, weeks: float, ahead: bool = False) -> DataFrame:
+    """questions (_by, _ts, _ask) with _found: of facts (_by, _ts, _fact) of the same _by with _ts at or before theirs, the latest (of equal times the larger) or, if largest, the largest _fact. ahead: the same in reversed time, so the earliest at or after
+    theirs, of equal times the smaller."""
     kind = facts.schema["_fact"].dataType
-    facts = facts.where("_ts is not null and _fact is not null").select("_by", "_ts", "_fact", block_of(F.col("_ts"), weeks).alias("_block"))
-    asked = questions.select("_by", "_ts", "_ask", block_of(F.col("_ts"), weeks).alias("_block"))
-    best = F.max("_fact") if largest else F.max(F.struct("_ts", "_fact"))["_fact"]
+    number = lambda c: -block_of(c, weeks) if ahead else block_of(c, weeks)
+    facts = facts.where("_ts is not null and _fact is not null").select("_by", "_ts", "_fact", number(F.col("_ts")).alias("_block"))
+    asked = questions.select("_by", "_ts", "_ask", number(F.col("_ts")).alias("_block"))
+    best = F.max("_fact") if largest else (F.min if ahead else F.max)(F.struct("_ts", "_fact"))["_fact"]
     blocks = facts.groupBy("_by", "_block").agg(best.alias("_own"))
     order = Window.partitionBy("_by").orderBy("_block")
     blocks = blocks.select("_by", "_block", (F.max("_own").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) if largest else F.col("_own")).alias("_fact"), F.lead("_block").over(order).alias("_next"))
@@ -34,7 +36,7 @@ def _answered(questions: DataFrame, facts: DataFrame, largest: bool, weeks: floa
     none = F.lit(None).cast(questions.schema["_ask"].dataType)
     row = lambda df, place, **have: df.select("_by", "_block", F.lit(place).alias("_place"), *(have.get(n, F.lit(None).cast(t)).alias(n) for n, t in (("_ts", questions.schema["_ts"].dataType), ("_fact", kind))), have.get("_ask", none).alias("_ask"))
     stream = row(carried, 0, _fact=F.col("_fact")).unionByName(row(facts, 1, _ts=F.col("_ts").cast(questions.schema["_ts"].dataType), _fact=F.col("_fact"))).unionByName(row(asked, 2, _ts=F.col("_ts"), _ask=F.col("_ask")))
-    order = Window.partitionBy("_by", "_block").orderBy(F.col("_place") != 0, "_ts", "_place", "_fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("_by", "_block").orderBy(F.col("_place") != 0, *((F.col("_ts").desc(), "_place", F.col("_fact").desc()) if ahead else ("_ts", "_place", "_fact"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = (F.max("_fact") if largest else F.last("_fact", ignorenulls=True)).over(order)
     found = stream.withColumn("_found", over).where("_place = 2").select("_by", "_block", "_ask", "_found")
     found = found.join(final, F.col("_by").eqNullSafe(F.col("_of")), "left")
@@ -53,3 +55,10 @@ def largest_at_or_before(asks: DataFrame, facts: DataFrame, by: str, at: str, wh
     questions = asks.select(F.col(by).alias("_by"), F.col(at).alias("_ts"), F.struct(*(F.col(c) for c in asks.columns)).alias("_ask"))
     found = _answered(questions, facts.select(F.col(by).alias("_by"), F.col(when).alias("_ts"), value.alias("_fact")), True, weeks)
     return found.select("_ask.*", F.col("_found").alias(out))
+
+
+def first_at_or_after(asks: DataFrame, facts: DataFrame, by: str, at: str, when: str, value: Column, out: str, weeks: float = BLOCK_WEEKS) -> DataFrame:
+    """As last_at_or_before, in the other direction: value of the first row of facts at or after asks.<at>; of several at that time the smallest value."""
+    questions = asks.select(F.col(by).alias("_by"), F.col(at).alias("_ts"), F.struct(*(F.col(c) for c in asks.columns)).alias("_ask"))
+    found = _answered(questions, facts.select(F.col(by).alias("_by"), F.col(when).alias("_ts"), value.alias("_fact")), False, weeks, ahead=True)
+    return found.select("_ask.*", F.col("_found").alias(out))

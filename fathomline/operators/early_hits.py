@@ -9,6 +9,8 @@ from fathomline.config import EarlyHitConfig
 from fathomline.functions.expr import before_now, gate
 from fathomline.operators.asof import largest_at_or_before, last_at_or_before
 from fathomline.operators.labels import future_labels
+from fathomline.operators.selection import exact_medians
+from fathomline.sources.shared import written
 
 
 def persistent(signal: str, config: EarlyHitConfig, by: str = "theme", at: str = "decision_at"):
@@ -102,9 +104,14 @@ def evaluate_early_hits(
 
 
 def early_hit_report(rows: DataFrame) -> DataFrame:
-    """One row of counts, rates and medians over the rows of evaluate_early_hits."""
+    """One row of counts, rates and exact medians over the rows of evaluate_early_hits. What it needs of them, a few columns, is written once; the medians come from histograms of it, so no task holds all values."""
     e, s = F.col("eligible_for_early_hit"), F.col("signal")
     lead = F.datediff("decision_at", "event_start") / 7.0
+    rows = rows.select(
+        "signal", "persistent", "matured", "hit", "eligible_for_early_hit", F.col("within_onset_window").isNotNull().alias("_window"), F.col("realized_log_fraction").isNotNull().alias("_fraction"), F.when(e, lead).alias("_lead"), F.when(e, F.col("remaining_move_fraction")).alias("_left")
+    )
+    rows = written(rows, "early-hits")
+    medians = exact_medians(rows, ["_lead", "_left"])
     return rows.agg(
         F.count_if(e).alias("eligible"),
         F.count_if(e & F.col("hit")).alias("hits"),
@@ -112,11 +119,11 @@ def early_hit_report(rows: DataFrame) -> DataFrame:
         F.count_if(s & F.col("persistent")).alias("persistent_signals"),
         F.count_if(s & F.col("matured")).alias("matured"),
         F.count_if(e & F.col("hit")).alias("first_hits"),
-        F.count_if(s & F.col("within_onset_window").isNotNull()).alias("window_available"),
-        F.count_if(s & F.col("realized_log_fraction").isNotNull()).alias("fraction_available"),
+        F.count_if(s & F.col("_window")).alias("window_available"),
+        F.count_if(s & F.col("_fraction")).alias("fraction_available"),
         F.count_if(e & ~F.col("hit")).alias("false_alerts"),
-        F.median(F.when(e, lead)).alias("median_lead_lag_weeks"),
-        F.median(F.when(e, F.col("remaining_move_fraction"))).alias("median_remaining_move_fraction"),
+        F.lit(medians["_lead"]).cast("double").alias("median_lead_lag_weeks"),
+        F.lit(medians["_left"]).cast("double").alias("median_remaining_move_fraction"),
     )
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.config import EpisodeConfig
+from fathomline.operators.asof import first_at_or_after
 from fathomline.operators.labels import classify_moves, first_from, observed, paths
+from fathomline.sources.shared import written
 
 
 def measured(series: DataFrame, config: EpisodeConfig | None = None, by: str = "theme") -> DataFrame:
@@ -108,16 +110,24 @@ def label_episodes(series: DataFrame, facts: DataFrame | None = None, config: Ep
 def detect_episodes(labels: DataFrame, merge_gap_weeks: int = 13, by: str = "theme") -> DataFrame:
     """Of qualifying decisions, those that start an episode: in order, one at least merge_gap_weeks after the last start and after the last end. episode_id counts from 1.
 
-    A theme's qualifying decisions, a few columns of weekly rows, are folded in one array; other columns are joined back.
+    Whether a decision starts one hangs on the start before it, but where the next start after it would be doesn't: the first decision that is clear of it, found by an as-of look-up. These pointers are followed from each theme's first decision by doubling: after round k all starts
+    up to the 2**k-th are known, and pointers skip 2**k starts. So rounds grow with the logarithm of a theme's episodes, each is a join by theme and time, and no task holds a theme; tables between rounds are written. Decisions without a theme don't count.
     """
-    marks = labels.where("qualifies").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("decision_at").alias("at"), F.col("end").alias("end")))).alias("marks"))
-    none = F.array().cast(dict(marks.dtypes)["marks"])
-    gap = F.make_dt_interval(F.lit(7 * merge_gap_weeks))
-
-    def step(kept, m):
-        last = F.element_at(kept, -1)
-        clear = (F.size(kept) == 0) | ((m["at"] - last["at"] >= gap) & (m["at"] > last["end"]))
-        return F.when(clear, F.concat(kept, F.array(m))).otherwise(kept)
-
-    starts = marks.select(by, F.posexplode(F.aggregate("marks", none, step)).alias("_n", "_m")).select(by, F.col("_m.at").alias("decision_at"), (F.col("_n") + 1).alias("episode_id"))
-    return labels.join(starts, [by, "decision_at"]).withColumnRenamed("decision_at", "start")
+    marks = labels.where(F.col("qualifies") & F.col(by).isNotNull()).groupBy(F.col(by).alias("_by"), F.col("decision_at").alias("_at")).agg(F.min("end").alias("_end"))
+    marks = written(marks, "episode-marks")
+    clear = F.greatest(F.col("_at") + F.make_dt_interval(F.lit(7 * merge_gap_weeks)), F.col("_end") + F.expr("interval '0.000001' second"))
+    asks = marks.where("_end is not null").select("_by", "_at", clear.alias("_clear"))
+    skip = first_at_or_after(asks, marks, "_by", "_clear", "_at", F.col("_at"), "_next").where("_next is not null").select("_by", "_at", "_next")
+    skip = written(skip, "episode-next")
+    starts = written(marks.groupBy("_by").agg(F.min("_at").alias("_at")).select("_by", "_at", F.lit(1).alias("episode_id")), "episode-starts")
+    far = 1
+    while True:
+        more = written(starts.join(skip, ["_by", "_at"]).select("_by", F.col("_next").alias("_at"), (F.col("episode_id") + far).alias("episode_id")), "episode-starts")
+        if more.isEmpty():
+            break
+        starts = starts.union(more)
+        twice = skip.select("_by", F.col("_at").alias("_next"), F.col("_next").alias("_further"))
+        skip = written(skip.join(twice, ["_by", "_next"]).select("_by", "_at", F.col("_further").alias("_next")), "episode-next")
+        far *= 2
+    starts = starts.select(F.col("_by").alias(by), F.col("_at").alias("decision_at"), "episode_id")
+    return labels.join(starts, [by, "decision_at"]).where("qualifies").withColumnRenamed("decision_at", "start")
