@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import tokens as T
-from fathomline.llm.shared import numbered, parts, released, renamed, set_up, with_fields, written
+from fathomline.llm.shared import held, numbered, parts, released, renamed, set_up, with_fields, written
 
 #: Bytes of text that DuckDB aligns at once, and that share one list of pairs (one text at least).
 PIECE, CHUNK = 1 << 20, 12 << 20
@@ -76,7 +76,7 @@ class Pair:
         return (np.array(a, np.int32), np.array(b, np.int32)) if same else None
 
 
-_LOADED: dict = {}
+_LOADED = held()
 
 
 def pair_of(content_a: str, content_b: bytes) -> Pair:
@@ -283,7 +283,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, text: str = "text", ke
     set_up(docs.sparkSession)
     contents_at = docs.sparkSession.sparkContext.broadcast(load(path_a, path_b))
     own, fields = numbered(docs, keep)
-    each = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), *own).mapInArrow(released(_aligned(contents_at)), with_fields(fields, DDL))
+    each = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), *own).mapInArrow(released(_aligned(contents_at), keeps=True), with_fields(fields, DDL))
     each = written(each, "align-documents")
     partial = each.where("kind = 0").select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("p.pairs", "p.docs")
     return each, written(partial.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("n")), "align-counts"), len(fields)

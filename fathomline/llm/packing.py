@@ -151,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str = "doc_id",
     rows = docs.select(text_of(text).alias("text"), F.col(doc_id).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint, part bigint, ids binary"
-    packed = written(rows.mapInArrow(released(_pack(content_at, end, with_ids)), schema), "packed")
+    packed = written(rows.mapInArrow(released(_pack(content_at, end, with_ids), keeps=True), schema), "packed")
     left = packed.where("sequence_id < 0").withColumn("_group", F.floor(F.col("part") / GROUP)).repartition(parts(docs), "_group").drop("_group")
     every = packed.where("sequence_id >= 0").union(left.mapInArrow(released(_merge(with_ids)), schema))
     return every.drop("part") if with_ids else every.drop("part", "ids")

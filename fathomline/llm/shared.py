@@ -70,10 +70,28 @@ def give_back() -> None:
         pass
 
 
-def released(run):
-    """A function of mapInArrow that gives memory back before and after its task."""
+#: What workers hold from task to task (tables of encoded pieces), each a dict.
+HELD: list[dict] = []
+
+
+def held() -> dict:
+    """A dict that a worker keeps from task to task of operators that use it; tasks of other operators empty it, so that what one stage has gathered doesn't weigh on the next."""
+    HELD.append({})
+    return HELD[-1]
+
+
+def let_go() -> None:
+    """Empties what this worker holds. A function of this module, so that it is the worker's own that a task calls."""
+    for table in HELD:
+        table.clear()
+
+
+def released(run, keeps: bool = False):
+    """A function of mapInArrow that gives memory back before and after its task; keeps: it uses what is held()."""
 
     def own(batches):
+        if not keeps:
+            let_go()
         give_back()
         yield from run(batches)
         give_back()

@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, folder: str | N
     content_at = spark.sparkContext.broadcast(tokens.load(tokenizer_path))
     rows = docs.select(text_of(text).alias("text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"))
     rows = rows.repartitionByRange(parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # many texts of one doc_id may lie in several files
-    done = rows.mapInArrow(released(_write(folder, content_at, end)), "part bigint, uri string, documents bigint, ids bigint").collect()
+    done = rows.mapInArrow(released(_write(folder, content_at, end), keeps=True), "part bigint, uri string, documents bigint, ids bigint").collect()
     return [(r["uri"], r["documents"], r["ids"]) for r in sorted(done)]
 
 

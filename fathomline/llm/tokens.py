@@ -15,6 +15,8 @@ import struct
 import numpy as np
 import pyarrow as pa
 
+from fathomline.llm.shared import held
+
 #: Places where any text may be cut.
 CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?*$%&#])")
 #: Pieces that are one pre-token, whose bytes the library's model takes as they are.
@@ -125,7 +127,7 @@ class Encoder:
         return out
 
 
-_LOADED: dict = {}
+_LOADED = held()
 
 
 def encoder(content: str) -> Encoder:
