@@ -89,19 +89,31 @@ def test_trees_add_spans_that_base_rules_miss(spark):
     assert all(added[d] == [] for d in (1, 2, 4, 5, 6))
 
 
-def test_trees_beat_rules_on_examples_of_another_seed(spark):
-    """Held-out lines: what the base rules find of the personal spans, what the trees add, and how much of that is right."""
-    lines = pii.examples(spark, 3000, seed=77)
-    found = pii.find(lines, "id", model=pii.fit(spark)).withColumnRenamed("doc_id", "id").join(lines, "id").collect()
-    personal = sum(r.personal for r in found)
-    hits = lambda r, base: [s for s in r.spans if s.base == base]
-    right = lambda r, s: r.personal and (s.start, s.end, s.kind) == (r.start, r.end, r.kind)
-    by_rules = sum(any(right(r, s) for s in hits(r, True)) for r in found)
-    added = [right(r, s) for r in found for s in hits(r, False)]
-    assert by_rules / personal < 0.3 and sum(added) / len(added) >= 0.97
-    assert (by_rules + sum(added)) / personal > 0.8
-    for r in found:
-        assert not any(a.start < b.end and b.start < a.end for a in hits(r, False) for b in hits(r, True))
+def test_trees_beat_rules_on_cues_that_they_never_saw(spark):
+    """Lines of another seed, with the cues that were learned from, then with others: what the base rules find of the personal spans, what the trees add, how much of that is right, and the same for spans without a cue."""
+    assert not set().union(*pii.CUES["learned"].values()) & set().union(*pii.CUES["held out"].values())
+    model = pii.fit(spark)
+    for cues, precision, recall in (("learned", 0.95, 0.93), ("held out", 0.88, 0.9)):
+        lines = pii.examples(spark, 3000, seed=77, cues=cues)
+        found = pii.find(lines, "id", model=model).withColumnRenamed("doc_id", "id").join(lines, "id").collect()
+        hits = lambda r, base: [s for s in r.spans if s.base == base]
+        right = lambda r, s: r.personal and (s.start, s.end, s.kind) == (r.start, r.end, r.kind)
+        personal = [r for r in found if r.personal]
+        by_rules = sum(any(right(r, s) for s in hits(r, True)) for r in found)
+        added = [right(r, s) for r in found for s in hits(r, False)]
+        assert by_rules / len(personal) < 0.3 and sum(added) / len(added) >= precision, cues
+        assert (by_rules + sum(added)) / len(personal) >= recall, cues
+        bare = [r for r in personal if not r.cue]
+        assert len(bare) > 200 and sum(any(right(r, s) for s in r.spans) for r in bare) / len(bare) >= 0.9
+        for r in found:
+            assert not any(a.start < b.end and b.start < a.end for a in hits(r, False) for b in hits(r, True))
+
+
+def test_context_decides_between_equal_forms(spark):
+    """The same digits, behind words that no list of the features holds: learned cues for impostors, held-out ones or none for personal spans."""
+    texts = ["You can text 555-123-4567", "Signed, Ana (555) 123-4567", "her cell was 212 555 0199", "order no. 555-123-4567", "the invoice 212 555 0199", "the invoice 4111.1111.1111.1111", "my card: 4111.1111.1111.1112", "my card: 4111.1111.1111.1111."]
+    rows = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [rows[i] for i in range(8)] == [["555-123-4567"], ["(555) 123-4567"], ["212 555 0199"], [], [], [], [], ["4111.1111.1111.1111"]]
 
 
 def test_examples_are_what_they_say(spark):
@@ -111,13 +123,13 @@ def test_examples_are_what_they_say(spark):
         value = r.text[r.start : r.end]
         digits = re.sub("[^0-9]", "", value)
         if pii.KINDS[r.kind] == "card":
-            assert luhn(digits) == r.personal
+            assert luhn(digits) or not r.personal
         if pii.KINDS[r.kind] == "ip":
-            assert all(int(x) <= 255 for x in re.findall("[0-9]+", value)) == r.personal
+            assert all(int(x) <= 255 for x in re.findall("[0-9]+", value)) or not r.personal
 
 
 def test_boosting_learns_and_calibrates():
-    rows = [{**dict.fromkeys(pii.LEVELS, 0), "digits": d, "for": f, "yes": 9 if d == 2 and f else 0, "no": 0 if d == 2 and f else 5} for d in range(4) for f in range(2)]
+    rows = [{**dict.fromkeys(pii.LEVELS, 0), "digits": d, "words": f, "yes": 9 if d == 2 and f else 0, "no": 0 if d == 2 and f else 5} for d in range(4) for f in range(2)]
     trees = pii.boost(rows)
     least = pii.calibrated(trees, rows)
     assert [sum(pii.leaf(t, r) for t in trees) >= least for r in rows] == [r["yes"] > 0 for r in rows]
