@@ -1,15 +1,17 @@
 """How well scores rank later returns: rank IC by date, top and bottom buckets, and their summaries.
 
 scores: (date, asset, score [, asset_order]); returns: (date, asset, forward_return); benchmark: (date, benchmark_return). Of equal scores, the asset of the smaller asset_order (of the
-smaller name, where there is none) comes first in either direction.
+smaller name, where there is none) comes first in either direction. A date may have any number of assets: ranks and places are found in two levels (ranks.py), so that no task holds a date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.expr import average_rank, correlation, number
+from fathomline.functions.expr import correlation, number
+from fathomline.operators.ranks import places, with_average_rank
+from fathomline.sources.shared import written
 
 
 def aligned(scores: DataFrame, returns: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
@@ -28,7 +30,8 @@ def rank_ic_by_date(scores: DataFrame, returns: DataFrame, min_assets: int = 3,
     dates = rows.select("date").distinct()
     pairs = rows.dropna(subset=["score", "outcome"])
     if method == "spearman":
-        pairs = pairs.select("date", average_rank("score", "date").alias("score"), average_rank("outcome", "date").alias("outcome"))
+        pairs = with_average_rank(written(pairs.select("date", "score", "outcome"), "rank-pairs"), "score", ["date"], "_score")
+        pairs = with_average_rank(pairs, "outcome", ["date"], "_outcome").select("date", F.col("_score").alias("score"), F.col("_outcome").alias("outcome"))
     ic = pairs.groupBy("date").agg(correlation("score", "outcome").alias("_ic"), F.count("*").alias("n"))
     return dates.join(ic, "date", "left").select("date", F.when(F.col("n") >= min_assets, F.col("_ic")).alias("rank_ic"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -39,27 +42,24 @@ def buckets_by_date(scores: DataFrame, returns: DataFrame, benchmark: DataFrame
         raise ValueError("top_fraction and bottom_fraction must lie in (0, 1]")
     rows = aligned(scores, returns, benchmark)
     dates = rows.select("date").distinct()
-    by = Window.partitionBy("date")
-    pairs = rows.dropna(subset=["score", "outcome"]).select(
-        "date",
-        "outcome",
-        F.row_number().over(by.orderBy(F.col("score").desc(), F.col("asset_order"))).alias("_down"),
-        F.row_number().over(by.orderBy(F.col("score").asc(), F.col("asset_order"))).alias("_up"),
-        F.count("*").over(by).alias("_n"),
-    )
-    size = lambda share: F.greatest(F.lit(1.0), F.ceil(F.col("_n") * F.lit(float(share))).cast("double"))
-    top, bottom = F.col("_down") <= size(top_fraction), F.col("_up") <= size(bottom_fraction)
-    gain = F.when(F.col("outcome") > 0, 1.0).otherwise(0.0)
-    own = pairs.groupBy("date").agg(
-        F.avg(F.when(top, F.col("outcome"))).alias("top_mean"),
-        F.avg(F.when(bottom, F.col("outcome"))).alias("bottom_mean"),
-        F.avg("outcome").alias("universe_mean"),
-        F.avg(F.when(top, gain)).alias("top_hit"),
-        F.avg(F.when(bottom, gain)).alias("bottom_hit"),
-        F.count("*").alias("n"),
-        F.count_if(top).alias("top_n"),
-        F.count_if(bottom).alias("bottom_n"),
-    )
+    pairs = written(rows.dropna(subset=["score", "outcome"]).select("date", "outcome", "score", "asset_order"), "rank-pairs")
+
+    def bucket(score, share: float, name: str) -> DataFrame:
+        """Of each date the share of rows that come first by score, then asset_order: their mean, hit rate and number; of rows that are alike as many as still fit."""
+        table = places(pairs, F.struct(score.alias("score"), "asset_order", "outcome"), ["date"])
+        size = F.greatest(F.lit(1.0), F.ceil(F.col("_of") * F.lit(float(share))).cast("double")).cast("bigint")
+        held = F.greatest(F.lit(0), F.least(F.col("_same"), size - F.col("_before")))
+        outcome = F.col("_value.outcome")
+        mean = lambda w, x: F.try_divide(F.sum(w * x), F.sum(w))
+        return table.groupBy(F.col("_by0").alias("date")).agg(
+            mean(held, outcome).alias(f"{name}_mean"),
+            mean(held, F.when(outcome > 0, 1.0).otherwise(0.0)).alias(f"{name}_hit"),
+            F.sum(held).alias(f"{name}_n"),
+            mean(F.col("_same"), outcome).alias(f"{name}_all"),
+            F.sum("_same").alias(f"{name}_rows"),
+        )
+
+    own = bucket(-F.col("score"), top_fraction, "top").withColumnsRenamed({"top_all": "universe_mean", "top_rows": "n"}).join(bucket(F.col("score"), bottom_fraction, "bottom"), "date")
     enough = F.col("n") >= min_assets
     rows = dates.join(own, "date", "left")
     keep = lambda c: F.when(enough, c)

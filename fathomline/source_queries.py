@@ -128,14 +128,29 @@ def price_provider(spark, sf_dir):
 
 
 class NationPrices(providers.NetworkPriceProvider):
-    """A connector whose source is a table, to hold the gate and the contract against."""
+    """A connector whose far end is a folder of prices by symbol, to hold the gate and the contract against: each request opens its symbol's files in its own task. Spark writes the folder from the nations, once for a provider."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, **options) -> None:
         super().__init__(spark, **options)
-        self.rows = [(r["n_name"], r["n_nationkey"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+        self.path = scratch(spark, "nation-prices")
+        if self.enabled:
+            table(spark, sf_dir, "nation").select(F.upper("n_name").alias("symbol"), F.col("n_nationkey").cast("double").alias("key")).write.partitionBy("symbol").parquet(self.path)
 
-    def fetch(self, symbol: str, start: date, end_exclusive: date) -> list[tuple[date, float]]:
-        return [(d, float(k)) for name, k in self.rows if name.upper() == symbol for d in (start, date.fromordinal(end_exclusive.toordinal() - 1))]
+    def connector(self) -> providers.Fetch:
+        path = self.path
+
+        def fetch(symbol: str, start: date, end_exclusive: date):
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            files, root = fs.FileSystem.from_uri(path)
+            where = f"{root}/symbol={symbol}"
+            if files.get_file_info(where).type == fs.FileType.NotFound:
+                return []
+            keys = ds.dataset(where, filesystem=files, format="parquet").to_table(columns=["key"])["key"].to_pylist()
+            return [(day, key) for key in keys for day in (start, date.fromordinal(end_exclusive.toordinal() - 1))]
+
+        return fetch
 
 
 @query("network_gate", "select 'off' as kind, cast(null as date) as observed_at, cast(null as double) as value union all select 'on', unnest([date '2024-01-02', date '2024-01-09']), cast(n_nationkey as double) from nation where n_nationkey = 7")

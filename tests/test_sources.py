@@ -55,13 +55,23 @@ def test_network_gate(spark, monkeypatch):
         providers.NetworkPriceProvider(spark).get_prices("x", "2024-01-01", "2024-01-02")
 
     class Own(providers.NetworkPriceProvider):
-        def fetch(self, symbol, start, end_exclusive):
-            assert (symbol, end_exclusive) == ("AA", date(2024, 1, 3))
-            return [(start, 1)]
+        def connector(self):
+            def fetch(symbol, start, end_exclusive):
+                if symbol == "BAD":
+                    raise KeyError("no such symbol")
+                return [(start, 1), (date.fromordinal(end_exclusive.toordinal() - 1), len(symbol))]
 
-    own = Own(spark, enabled=True, today=date(2024, 6, 1))
-    assert own.get_prices("ticker:aa", "2024-01-01", "2024-01-02").count() == 1
+            return fetch
+
+    own = Own(spark, enabled=True, today=date(2024, 6, 1), days=10)
+    assert [tuple(r) for r in own.get_prices("ticker:aa", "2024-01-01", "2024-01-02").collect()] == [("ticker:aa", "AA", date(2024, 1, d), date(2024, 6, 1), float(d)) for d in (1, 2)]
     assert own.get_prices("ticker:aa", "2024-01-01", "2024-01-02", as_of="2024-05-01").count() == 0
+    assert own.get_prices("ticker:bad", "2024-01-01", "2024-01-02", as_of="2024-05-01").count() == 0  # nothing is fetched
+    assert own.get_prices("ticker:aa", "2024-01-02", "2024-01-01").count() == 0
+    many = own.prices_of(["ticker:aa", "b", "ticker:aa"], "2024-01-01", "2024-01-25")
+    assert many.rdd.getNumPartitions() == 6 and many.groupBy("symbol").count().orderBy("symbol").collect() == [("AA", 6), ("B", 6)]
+    with pytest.raises(Exception, match="BAD from 2024-01-01 to before 2024-01-03: KeyError"):
+        own.get_prices("ticker:bad", "2024-01-01", "2024-01-02").collect()
 
 
 def test_catalog(spark, tmp_path):
