@@ -47,14 +47,8 @@ def compounded_all(returns: str, spec: WindowSpec, windows: tuple[int, ...], pre
     return out
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank within the groups of `by`, from 1; equal values share their mean rank. Nulls have none. Both parts read one window order, so Spark sorts once."""
-    order = f"partition by {', '.join(by)} order by {value} asc nulls last"
-    return F.expr(f"case when {value} is not null then rank() over ({order}) + (count({value}) over ({order} range between current row and current row) - 1) / 2D end")
-
-
 def percentile_rank(value: str, *by: str) -> Column:
-    """average_rank as a share of the values that there are."""
+    """Average-tie rank within the groups of `by` as a share of the values that there are; nulls have none. Both parts read one window order, so Spark sorts once; a group is one task, so wide ones want operators.ranks.with_average_rank."""
     order = f"partition by {', '.join(by)} order by {value} asc nulls last"
     rank = f"case when {value} is not null then rank() over ({order}) + (count({value}) over ({order} range between current row and current row) - 1) / 2D end"
     return F.expr(f"{rank} / count({value}) over ({order} rows between unbounded preceding and unbounded following)")

@@ -44,6 +44,6 @@ def with_places(rows: DataFrame, value: Column, by: Sequence[str], made: Sequenc
 
 
 def with_average_rank(rows: DataFrame, value: str, by: Sequence[str], out: str, share: bool = False, slices: int | None = None) -> DataFrame:
-    """rows with the average-tie rank of value within the group, from 1, as `out`; share: divided by how many values the group has. Nulls have none. The same numbers as functions.expr.average_rank and percentile_rank, whose windows hold a group in one task."""
+    """rows with the average-tie rank of value within the group, from 1, as `out`; share: divided by how many values the group has. Nulls have none. With share the same numbers as functions.expr.percentile_rank, whose window holds a group in one task."""
     rank = F.col("_before") + F.lit(1) + (F.col("_same") - F.lit(1)) / F.lit(2.0)
     return with_places(rows, F.col(value), by, [(out, rank / F.col("_of") if share else rank)], slices)
