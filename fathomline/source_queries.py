@@ -320,9 +320,9 @@ def emitted(spark: SparkSession, rows: DataFrame, kind: str, names: list[str]) -
     return spark.createDataFrame([(i, *(str(x.get(n)) for n in names)) for i, x in enumerate(lines, 1)], "place int, " + ", ".join(f"{n} string" for n in names))
 
 
-@query("emit_lanes", f"select cast(row_number() over (order by decision_date, theme) as integer) as place, cast(decision_date as varchar) as decision_date, theme, status from ({lane_sql('current_leader_easy')}) where decision_date >= date '2001-06-01'")
+@query("emit_lanes", f"select cast(row_number() over (order by decision_date, theme) as integer) as place, cast(decision_date as varchar) as decision_date, theme, status from ({lane_sql('current_leader_easy')})")
 def emit_lanes(spark, sf_dir):
-    rows = lanes.current_leader(cached_metrics(spark, sf_dir), EASY_LEADER).where("decision_date >= date '2001-06-01'")
+    rows = lanes.current_leader(cached_metrics(spark, sf_dir), EASY_LEADER)
     return emitted(spark, rows.select("decision_date", "theme", "status"), "signals", ["decision_date", "theme", "status"])
 
 
