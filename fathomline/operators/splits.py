@@ -68,5 +68,8 @@ class PurgedWalkForwardSplit:
     def split(self, features: DataFrame):
         names = ["date", *(["label_end"] if "label_end" in features.columns else [])]
         splits = purged_walk_forward_splits(features.select(*names), self.config).persist()
-        for row in splits.select("split_id").distinct().orderBy("split_id").collect():
-            yield split_features(features, splits, row["split_id"])
+        try:
+            for row in splits.select("split_id").distinct().orderBy("split_id").collect():
+                yield split_features(features, splits, row["split_id"])
+        finally:  # also when the loop is left early; tables that were handed out stay valid and are worked out anew
+            splits.unpersist()
