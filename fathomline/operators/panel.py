@@ -141,6 +141,13 @@ class Panel:
         if keep:
             self.observed = self.observed.persist()
 
+    @classmethod
+    def of_observed(cls, observed: DataFrame, config: PanelConfig | None = None) -> Panel:
+        """Of weekly observations that are there already, such as a store's; their values must lie above config.min_value."""
+        own = cls.__new__(cls)
+        own.config, own.rows, own.observed = config or PanelConfig(), None, observed
+        return own
+
     @cached_property
     def weekly(self) -> DataFrame:
         return by_week(self.observed, self.config.benchmark)

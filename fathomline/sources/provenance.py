@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.sources import files
+
 
 @dataclasses.dataclass(frozen=True)
 class SourceManifest:
@@ -97,30 +99,8 @@ class SnapshotCache:
     def _at(self, key: str) -> str:
         return f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}"
 
-    def _path(self, path: str):
-        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return own.getFileSystem(self.spark._jsc.hadoopConfiguration()), own
-
-    def _write(self, path: str, text: str) -> None:
-        files, own = self._path(path)
-        out = files.create(own, True)
-        try:
-            out.write(text.encode())
-        finally:
-            out.close()
-
-    def _read(self, path: str) -> str | None:
-        files, own = self._path(path)
-        if not files.exists(own):
-            return None
-        source = files.open(own)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-
     def _current(self, key: str) -> str | None:
-        name = self._read(f"{self._at(key)}/current")
+        name = files.read_text(self.spark, f"{self._at(key)}/current")
         return f"{self._at(key)}/{name}" if name else None
 
     def put(self, key: str, frame: DataFrame, manifest: SourceManifest | None = None) -> None:
@@ -128,18 +108,12 @@ class SnapshotCache:
         at = f"{self._at(key)}/{name}"
         try:
             frame.write.parquet(f"{at}/rows")
-            self._write(f"{at}/manifest.json", manifest.to_json() if manifest else "")
-            self._write(f"{at}/pointer", name)
+            files.write_text(self.spark, f"{at}/manifest.json", manifest.to_json() if manifest else "")
+            files.write_text(self.spark, f"{at}/pointer", name)
         except Exception:
-            files, own = self._path(at)
-            files.delete(own, True)
+            files.remove(self.spark, at)
             raise
-        jvm = self.spark._jvm
-        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        files, own = self._path(f"{at}/pointer")
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(own, self._path(f"{self._at(key)}/current")[1], how)
+        files.replace(self.spark, f"{at}/pointer", f"{self._at(key)}/current")
 
     def __contains__(self, key: str) -> bool:
         return self._current(key) is not None
@@ -150,24 +124,21 @@ class SnapshotCache:
 
     def manifest(self, key: str) -> SourceManifest | None:
         at = self._current(key)
-        text = self._read(f"{at}/manifest.json") if at else None
+        text = files.read_text(self.spark, f"{at}/manifest.json") if at else None
         return SourceManifest.from_json(text) if text else None
 
     def versions(self, key: str) -> list[str]:
         """The folders of all versions that are kept, those of puts under way too."""
-        files, own = self._path(self._at(key))
-        return [s.getPath().toString() for s in files.listStatus(own) if s.isDirectory()] if files.exists(own) else []
+        return files.folders(self.spark, self._at(key))
 
     def clean(self, key: str) -> int:
         """Removes all versions but the current one, when nothing reads or writes them any more; their number."""
         now = self._current(key)
         gone = [v for v in self.versions(key) if not now or v.rpartition("/")[2] != now.rpartition("/")[2]]
         for version in gone:
-            files, own = self._path(version)
-            files.delete(own, True)
+            files.remove(self.spark, version)
         return len(gone)
 
     def delete(self, key: str) -> None:
         for path in (f"{self._at(key)}/current", self._at(key)):  # the pointer first: a snapshot is there as a whole or not at all
-            files, own = self._path(path)
-            files.delete(own, True)
+            files.remove(self.spark, path)
