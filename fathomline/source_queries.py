@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import json
 from datetime import date
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline import cli
@@ -24,10 +23,6 @@ from fathomline.sources.shared import scratch, written
 from fathomline.sources.testdata import lineitem_panel, table
 
 
-def local(path: str) -> Path:
-    return Path(path.removeprefix("file://").removeprefix("file:"))
-
-
 # --- readers ---
 
 LOOSE = """select date_format(o_orderdate, element_at(array('yyyy-MM-dd', 'yyyy/MM/dd', 'yyyyMMdd', 'MM/dd/yyyy'), cast(o_orderkey % 4 + 1 as int))) as `Observed At`, concat(' ', o_orderstatus, ' ') as `Theme ID`, concat('c', o_custkey) as Ticker,
@@ -185,20 +180,26 @@ def parse_cells(spark, sf_dir):
 
 
 def catalog_folder(spark, sf_dir) -> str:
-    """regions as themes, nations as their members."""
-    folder = local(scratch(spark))
-    folder.mkdir(parents=True)
-    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
-    lines = ["version: 1", "themes:  # one for each region"]
-    for r in regions:
-        lines += [f"  - theme_id: {r['r_name'].lower().replace(' ', '_')}", f"    name: '{r['r_name']}'", f"    category: \"region {r['r_regionkey']}\"", f"    is_negative_control: {'true' if r['r_regionkey'] % 2 else 'false'}"]
-    (folder / "themes.yaml").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    head = "theme_id,permanent_id,symbol,valid_from,valid_to,evidence_available_at,exposure_tier,confidence"
-    names = {r["r_regionkey"]: r["r_name"].lower().replace(" ", "_") for r in regions}
-    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    members = [f"{names[n['n_regionkey']]},ticker:{n['n_nationkey']},{n['n_name'].lower()[:3]},2020-01-01,,2020-01-{n['n_nationkey'] % 27 + 1:02d},core,{'high' if n['n_nationkey'] % 2 else '0.5'}" for n in nations]
-    (folder / "memberships.csv").write_text("\n".join([head, *members]) + "\n", encoding="utf-8")
-    return str(folder)
+    """regions as themes, nations as their members; Spark writes both files."""
+    folder = scratch(spark, "catalog")
+    regions, theme = table(spark, sf_dir, "region"), F.lower(F.replace(F.col("r_name"), F.lit(" "), F.lit("_")))
+    entry = F.concat(
+        F.when(F.row_number().over(Window.orderBy("r_regionkey")) == 1, "version: 1\nthemes:  # one for each region\n").otherwise(""),
+        F.format_string("  - theme_id: %s\n    name: '%s'\n    category: \"region %s\"\n    is_negative_control: %s", theme, "r_name", "r_regionkey", F.when(F.col("r_regionkey") % 2 == 1, "true").otherwise("false")),
+    )
+    regions.select(entry.alias("value"), "r_regionkey").coalesce(1).sortWithinPartitions("r_regionkey").select("value").write.text(f"{folder}/themes.yaml")
+    key, known = F.col("n_nationkey"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("n_nationkey") % 27).cast("int"))
+    table(spark, sf_dir, "nation").join(regions, F.col("r_regionkey") == F.col("n_regionkey")).select(
+        theme.alias("theme_id"),
+        F.concat(F.lit("ticker:"), key).alias("permanent_id"),
+        F.lower(F.substring("n_name", 1, 3)).alias("symbol"),
+        F.lit("2020-01-01").alias("valid_from"),
+        F.lit(None).cast("string").alias("valid_to"),
+        known.cast("string").alias("evidence_available_at"),
+        F.lit("core").alias("exposure_tier"),
+        F.when(key % 2 == 1, "high").otherwise("0.5").alias("confidence"),
+    ).write.option("header", True).csv(f"{folder}/memberships.csv")
+    return folder
 
 
 THEME_ID = "lower(replace(r_name, ' ', '_'))"
@@ -223,10 +224,8 @@ def catalog_items(spark, sf_dir):
     """A whole catalog, a folder that has only rows, and nothing at all."""
     folder = catalog_folder(spark, sf_dir)
     whole = catalog.catalog_items(spark, folder)[0].select(F.lit("catalog").alias("kind"), "theme", F.col("memberships").alias("n"))
-    rows = Path(folder, "rows")
-    rows.mkdir()
-    (rows / "members.csv").write_text(Path(folder, "memberships.csv").read_text())
-    file = catalog.catalog_items(spark, str(rows))[0].groupBy(F.lit("file").alias("kind"), F.col("theme_id").alias("theme")).agg(F.count("*").alias("n"))
+    spark.read.option("header", True).csv(f"{folder}/memberships.csv").write.option("header", True).csv(f"{folder}/rows/members.csv")
+    file = catalog.catalog_items(spark, f"{folder}/rows")[0].groupBy(F.lit("file").alias("kind"), F.col("theme_id").alias("theme")).agg(F.count("*").alias("n"))
     none = catalog.catalog_items(spark, None, [folder])[0].select(F.lit("fallback").alias("kind"), "theme", F.lit(0).cast("bigint").alias("n"))
     return whole.unionByName(file).unionByName(none)
 
@@ -251,24 +250,35 @@ def challenge_cases(spark, sf_dir):
 
 @query("file_checksums", "select n_nationkey, sha256(n_name || '/' || n_regionkey) as sha256, length(n_name || '/' || n_regionkey) as bytes, true as verified, true as kept from nation")
 def file_checksums(spark, sf_dir):
-    """A file for each nation, hashed where Spark reads it, with a manifest that comes back from JSON and holds its payload."""
-    folder = local(scratch(spark))
-    folder.mkdir(parents=True)
-    rows = []
-    for r in table(spark, sf_dir, "nation").collect():
-        payload = f"{r['n_name']}/{r['n_regionkey']}".encode()
-        (folder / f"{r['n_nationkey']}.bin").write_bytes(payload)
-        mark = provenance.SourceManifest("s", f"file:{r['n_nationkey']}", None, "2024-01-01", "2024-01-01")
-        rows.append((r["n_nationkey"], payload, mark.verify(payload)))
-    sums = provenance.file_checksums(spark, f"file://{folder}").withColumn("n_nationkey", F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("int"))
-    found = {r["n_nationkey"]: (r["sha256"], r["bytes"]) for r in sums.collect()}
-    out = []
-    for key, payload, unmarked in rows:
-        sha, size = found[key]
-        own = provenance.SourceManifest("s", f"file:{key}", sha, "2024-01-01", "2024-01-01", row_count=1)
-        again = provenance.SourceManifest.from_json(own.to_json())
-        out.append((key, sha, size, own.verify(payload) and not own.verify(payload + b"x") and not unmarked, again == own))
-    return spark.createDataFrame(out, "n_nationkey int, sha256 string, bytes bigint, verified boolean, kept boolean")
+    """A file for each nation, written by tasks and hashed where Spark reads it, with a manifest that comes back from JSON and holds its payload."""
+    path = scratch(spark, "files")
+    payloads = table(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws("/", "n_name", "n_regionkey").alias("payload"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root)
+        for rows in batches:
+            for key, payload in zip(rows["n_nationkey"], rows["payload"]):
+                with system.open_output_stream(f"{root}/{key}.bin") as out:
+                    out.write(payload.encode())
+            yield rows[["n_nationkey"]]
+
+    def verified(batches):
+        for rows in batches:
+            for i, r in rows.iterrows():
+                payload = r["payload"].encode()
+                unmarked = provenance.SourceManifest("s", f"file:{r['n_nationkey']}", None, "2024-01-01", "2024-01-01")
+                own = provenance.SourceManifest("s", f"file:{r['n_nationkey']}", r["sha256"], "2024-01-01", "2024-01-01", row_count=1)
+                rows.loc[i, "verified"] = own.verify(payload) and not own.verify(payload + b"x") and not unmarked.verify(payload)
+                rows.loc[i, "kept"] = provenance.SourceManifest.from_json(own.to_json()) == own
+            yield rows.drop(columns="payload")
+
+    payloads.mapInPandas(write, "n_nationkey int").count()
+    sums = provenance.file_checksums(spark, path).select(F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("int").alias("n_nationkey"), "sha256", "bytes")
+    both = payloads.join(sums, "n_nationkey").withColumns({"verified": F.lit(False), "kept": F.lit(False)})
+    return both.select("n_nationkey", "payload", "sha256", "bytes", "verified", "kept").mapInPandas(verified, "n_nationkey int, sha256 string, bytes bigint, verified boolean, kept boolean")
 
 
 @query("snapshot_cache", "select n_nationkey, n_name, n_regionkey, true as has_manifest, true as dropped from nation")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.parsing import confidence
 from fathomline.operators.membership import theme_counts, unknown_themes
+from fathomline.sources import files
 from fathomline.sources.readers import read_rows
 
 THEME = "theme_id string, name string, description string, category string, is_negative_control boolean, historical_data_status string"
@@ -89,11 +90,11 @@ def read_memberships(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, folder: str) -> Catalog:
-    """themes.yaml, memberships.csv and, if there is one, sources.yaml. Themes that memberships name must exist. The YAML files are small and read by the driver."""
-    text = lambda name: Path(folder, name).read_text(encoding="utf-8") if Path(folder, name).exists() else ""
+    """themes.yaml, memberships.csv and, if there is one, sources.yaml, on any file system that Spark reaches. Themes that memberships name must exist. The YAML files are small and read by the driver."""
+    text = lambda name: files.read_text(spark, f"{folder}/{name}") or ""
     themes = _frame(spark, simple_yaml(text("themes.yaml")).get("themes") or [], THEME)
     sources = _frame(spark, simple_yaml(text("sources.yaml")).get("sources") or [], SOURCE)
-    memberships = read_memberships(spark, str(Path(folder, "memberships.csv")))
+    memberships = read_memberships(spark, f"{folder}/memberships.csv")
     unknown = [r[0] for r in unknown_themes(memberships, themes).select("theme_id").distinct().limit(5).collect()]
     if unknown:
         raise CatalogError(f"memberships of unknown themes: {', '.join(sorted(unknown))}")
@@ -105,38 +106,39 @@ FALLBACK = [("AI Infrastructure", "Current Leader"), ("Cybersecurity", "Emerging
 CATALOG_FOLDERS, ROW_FILES = ("data/catalog", "catalog"), (".csv", ".json", ".jsonl")
 
 
-def search_folders(roots: list[str | Path] | None = None) -> list[Path]:
-    """Where a catalog may lie under the roots: the working folder and this package's, if none are given. Each once."""
+def search_folders(roots: list[str | Path] | None = None) -> list[str]:
+    """Where a catalog may lie under the roots: the working folder and this package's, if none are given. Each once. Roots with a scheme stay as they are, others are folders of the driver's machine."""
     roots = [Path.cwd(), Path(__file__).resolve().parents[2], Path(__file__).resolve().parents[1]] if roots is None else roots
-    return list(dict.fromkeys(Path(root, name).resolve() for root in roots for name in CATALOG_FOLDERS))
+    root = lambda x: x.rstrip("/") if isinstance(x, str) and "://" in x else f"file://{Path(x).resolve()}"
+    return list(dict.fromkeys(f"{root(x)}/{name}" for x in roots for name in CATALOG_FOLDERS))
 
 
-def first_row_file(folder: Path) -> Path | None:
-    return next((p for p in sorted(folder.iterdir()) if p.suffix.lower() in ROW_FILES), None) if folder.is_dir() else None
+def first_row_file(spark: SparkSession, folder: str) -> str | None:
+    return next((f"{folder}/{name}" for name in files.names(spark, folder) if name.lower().endswith(ROW_FILES)), None)
 
 
 def catalog_items(spark: SparkSession, path: str | None = None, roots: list[str | Path] | None = None) -> tuple[DataFrame, str]:
     """(what a catalog lists, where it is from). A folder with themes.yaml and memberships.csv gives its themes with the number of their members; else the first file of rows in a folder, or the file that is named, is listed as it is; else FALLBACK.
 
-    Without a path the search folders are tried in turn. A catalog that doesn't fit together doesn't stop the listing.
+    Without a path the search folders are tried in turn. A catalog that doesn't fit together doesn't stop the listing. Paths may be on any file system that Spark reaches, and files may be folders of parts that Spark has written.
     """
-    given = Path(path) if path else None
-    folders = [given] if given and given.is_dir() else [] if given else search_folders(roots)
+    named = path is not None and path.lower().endswith(ROW_FILES)
+    folders = ([path.rstrip("/")] if files.is_folder(spark, path) and not named else []) if path else search_folders(roots)
     for folder in folders:
-        if (folder / "themes.yaml").is_file() and (folder / "memberships.csv").is_file():
+        if all(files.exists(spark, f"{folder}/{name}") for name in ("themes.yaml", "memberships.csv")):
             try:
-                own = load_catalog(spark, str(folder))
+                own = load_catalog(spark, folder)
             except (CatalogError, PySparkException):
                 continue
             items = theme_counts(own.themes, own.memberships).withColumnRenamed("members", "memberships")
             if not items.isEmpty():
-                return items.withColumns({"theme": F.coalesce("name", "theme_id"), "source": F.lit(str(folder))}), str(folder / "themes.yaml")
-    files = [given] if given and given.is_file() else [f for f in map(first_row_file, folders) if f]
-    for file in files[:1]:
+                return items.withColumns({"theme": F.coalesce("name", "theme_id"), "source": F.lit(folder)}), f"{folder}/themes.yaml"
+    found = [path] if path and not folders and files.exists(spark, path) else [f for f in (first_row_file(spark, x) for x in folders) if f]
+    for file in found[:1]:
         try:
-            rows = read_rows(spark, str(file))
+            rows = read_rows(spark, file)
             if not rows.isEmpty():
-                return (rows if "source" in rows.columns else rows.withColumn("source", F.lit(str(file)))), str(file)
-        except (OSError, PySparkException):
+                return (rows if "source" in rows.columns else rows.withColumn("source", F.lit(file))), file
+        except (OSError, ValueError, PySparkException):
             pass
     return spark.createDataFrame([(t, lane, "demo") for t, lane in FALLBACK], "theme string, lane string, source string"), "demo"

@@ -21,10 +21,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """What a file holds; None if there is none."""
+    """What a small file holds, or a folder of parts that Spark has written under its name, in their order; None if there is none."""
     files, own = at(spark, path)
     if not files.exists(own):
         return None
+    if files.getFileStatus(own).isDirectory():
+        return "".join(read_text(spark, f"{path}/{name}") or "" for name in names(spark, path) if not name.startswith(("_", ".")))
     source = files.open(own)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
@@ -51,3 +53,19 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     """The folders in a folder; none if it isn't there."""
     files, own = at(spark, path)
     return [s.getPath().toString() for s in files.listStatus(own) if s.isDirectory()] if files.exists(own) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, own = at(spark, path)
+    return files.exists(own)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, own = at(spark, path)
+    return files.exists(own) and files.getFileStatus(own).isDirectory()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder, sorted; none if it isn't there."""
+    files, own = at(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(own)) if files.exists(own) else []
