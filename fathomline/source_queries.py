@@ -59,6 +59,19 @@ def read_json_list(spark, sf_dir):
     return readers.normalised_records(readers.read_rows(spark, path))
 
 
+@query("read_json_document", "select 'c' || o_custkey as entity, cast(cast(o_orderdate as date) as timestamp) as date, round(cast(o_totalprice as double), 6) + 0.0 as value from orders")
+def read_json_document(spark, sf_dir):
+    """A folder of documents that hold all orders, an object with a list for each task that wrote, cut into records from any byte offset; strings hold what looks like the end of a list."""
+    path, orders = scratch(spark) + ".json", table(spark, sf_dir, "orders")
+    record = F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("symbol"), F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_totalprice").cast("double").alias("close"), F.concat(F.lit('}],"'), "o_orderpriority").alias("note")))
+    part, place = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")
+    own = orders.select(record.alias("value"), part, place)
+    ends = own.groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    lines = own.join(F.broadcast(ends), "part").select(F.concat(F.when(F.col("place") == F.col("first"), '{"source": "orders", "rows": [').otherwise(""), "value", F.when(F.col("place") == F.col("last"), "]}").otherwise(",")).alias("value"), "part", "place")
+    lines.repartition("part").sortWithinPartitions("part", "place").select("value", "part").write.option("compression", "none").partitionBy("part").text(path)
+    return readers.normalised_records(readers.read_rows(spark, path, split_above=0))
+
+
 @query(
     "read_quoted_cells",
     "select n_name || chr(10) || 'of \"' || r_name || '\", both' as symbol, cast(date '2024-01-05' + cast(n_nationkey as integer) as timestamp) as date, cast(n_nationkey as double) as value from nation join region on r_regionkey = n_regionkey",
@@ -235,14 +248,19 @@ CASES = [(*c[:4], True, c[4], c[5]) for c in challenges.SURGES] + [(n, n, *chall
 
 @query(
     "challenge_cases",
-    "select name, theme, cast(s as date) as start, cast(e as date) as \"end\", pos as expected_positive, kind as case_type, about as description, not pos as is_negative_control, 'research_challenge_manifest' as source from (values "
+    "with d as (select cast(o_orderdate as date) + interval 27 year as day, count(*) as n from orders group by 1) select name, theme, cast(s as date) as start, cast(e as date) as \"end\", pos as expected_positive, kind as case_type, about as description, not pos as is_negative_control, "
+    "'research_challenge_manifest' as source, coalesce(sum(n), 0)::bigint as observations from (values "
     + ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else "'" + x + "'" for x in c) + ")" for c in CASES)
-    + ") v(name, theme, s, e, pos, kind, about)",
+    + ") v(name, theme, s, e, pos, kind, about) left join d on d.day between cast(s as date) and cast(e as date) group by all",
 )
 def challenge_cases(spark, sf_dir):
+    """The windows with the number of orders that lie in each, 27 years on. Orders are counted by day first; the windows are a fixed list of a dozen."""
     cases = challenges.challenge_cases(spark)
     challenges.validate_challenges(cases)
-    return cases.select("name", "theme", "start", "end", "expected_positive", "case_type", "description", "is_negative_control", "source")
+    days = table(spark, sf_dir, "orders").groupBy(F.add_months(F.to_date("o_orderdate"), 27 * 12).alias("day")).agg(F.count("*").alias("n"))
+    inside = days.join(F.broadcast(cases.select("name", "start", "end")), F.col("day").between(F.col("start"), F.col("end"))).groupBy("name").agg(F.sum("n").alias("n"))
+    rows = cases.join(inside, "name", "left").withColumn("observations", F.coalesce("n", F.lit(0)))
+    return rows.select("name", "theme", "start", "end", "expected_positive", "case_type", "description", "is_negative_control", "source", "observations")
 
 
 # --- provenance and sinks ---
@@ -355,10 +373,15 @@ def emit_scorecard(spark, sf_dir):
 @query(
     "annual_demo",
     """select cast(date '2022-01-07' + cast(7 * n as integer) as timestamp) as date, theme, security, round(100 * pow(1 + early, least(n + 1, turn)) * pow(1 + late, greatest(n + 1 - turn, 0)), 6) + 0.0 as value from range(150) r(n),
-        (values ('__market__', 'SPY', 0.002::double, 150, 0.002::double), ('태양광', '태양광', 0.001, 65, 0.018), ('반도체', '반도체', 0.004, 95, 0.014), ('양자컴퓨팅', '양자컴퓨팅', 0.001, 120, 0.022)) v(theme, security, early, turn, late)""",
+        (values ('__market__', 'SPY', 0.002::double, 150, 0.002::double), ('태양광', '태양광', 0.001, 65, 0.018), ('반도체', '반도체', 0.004, 95, 0.014), ('양자컴퓨팅', '양자컴퓨팅', 0.001, 120, 0.022)) v(theme, security, early, turn, late)
+        union all select cast(date as timestamp), theme, security, round(value, 6) + 0.0 from ("""
+    + with_panel("select date, theme, security, value from series")
+    + ")",
 )
 def annual_demo(spark, sf_dir):
-    return cli.annual_demo(spark)
+    """The demo's prices beside those of lineitem, as one panel that an annual run can take."""
+    own = cli.annual_demo(spark).select(F.col("date").cast("timestamp_ntz").alias("date"), "theme", "security", "value")
+    return own.union(lineitem_panel(spark, sf_dir).select(F.col("date").cast("timestamp_ntz"), "theme", "security", "value"))
 
 
 # --- scorecards ---
@@ -418,8 +441,10 @@ def scorecard_file(spark, sf_dir):
     "(select date '2001-12-30' as as_of, 2 as freshness_days, 24::bigint as observations)",
 )
 def scorecard_demo(spark, sf_dir):
-    """What a file that can't be read gives."""
-    rows, _ = scorecards.load_scorecard(spark, scratch(spark) + "/none.csv", TODAY)
+    """What a file gives in which nothing can be scored: here, all orders' priorities, which are no numbers."""
+    path = scratch(spark)
+    table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).write.option("header", True).csv(path)
+    rows, _ = scorecards.load_scorecard(spark, path, TODAY)
     return rows.select("entity", "score", "bucket", "momentum", "breadth", "quality", "risk_control", "confidence", "risk_flags", "as_of", "freshness_days", "observations")
 
 

@@ -69,3 +69,9 @@ def names(spark: SparkSession, path: str) -> list[str]:
     """The names of what lies in a folder, sorted; none if it isn't there."""
     files, own = at(spark, path)
     return sorted(s.getPath().getName() for s in files.listStatus(own)) if files.exists(own) else []
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all that lies in a folder; of a pattern, what it matches."""
+    files, own = at(spark, path)
+    return sum(files.getContentSummary(s.getPath()).getLength() for s in files.globStatus(own) or [])

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.functions.parsing import canonical, safe_date, safe_number
+from fathomline.sources import files
+from fathomline.sources.json_documents import as_lines
+from fathomline.sources.shared import scratch
 
 #: Names under which columns come.
 ALIASES = {
@@ -17,6 +20,8 @@ ALIASES = {
 }
 ENTITY = ["entity", "symbol", "ticker", "security", "theme", "name", "permanent_id"]
 LIST_FIELDS = ["rows", "data", "records", "items"]
+#: From which size on, in bytes, a JSON document is cut into records first; rows are the same below and above.
+SPLIT_ABOVE = 64 << 20
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
@@ -57,14 +62,21 @@ def has_line_ends_in_cells(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """.json: a list, an object with a list under one of LIST_FIELDS, or one object; .jsonl: objects, a line each; else delimited text with a header. Rows that are all blank go; what isn't JSON raises ValueError.
 
+    A JSON document of more than split_above bytes is cut into records by many tasks (json_documents), where its list holds nothing but objects and no other field has brackets; any other is read by one task, with the same rows. Text after the end of a document is not looked at.
     Quoted cells of delimited text may hold separators, doubled quotes and line ends. Files without line ends in cells are split over tasks; only those that have them, which one pass over the text tells, are read by a task each.
     """
     if path.endswith(".jsonl"):
         return _json_lines(spark, path)
     if path.endswith(".json"):
+        lines = scratch(spark, "records") if files.size(spark, path) > split_above else None
+        if lines and as_lines(spark, path, LIST_FIELDS, lines):
+            try:
+                return _json_lines(spark, lines)
+            except ValueError as error:
+                raise ValueError(f"{path}: not JSON: {str(error).partition('not JSON: ')[2]}") from None
         rows = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
         if "_corrupt_record" in rows.columns:
             raise ValueError(f"{path}: not JSON")
