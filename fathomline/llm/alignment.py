@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens: DuckDB within each Arrow partition, merging in Spark.
 
-1. A task encodes texts with both tokenizers and turns tokens into byte intervals. About PIECE bytes of texts lie one after the other on one axis, so an interval table of either tokenizer holds them all.
+1. A text is parted where tokens of both tokenizers surely end: before a space or line end that follows, and is followed by, something else. What stands between two such places (a unit: mostly a word with its marks) gives the same tokens, groups and links wherever it
+   stands, so a task encodes and aligns each different unit of a chunk once. A text with other white space, or that isn't given back, is encoded whole, and its spans are units of their own. Tokens become byte intervals; about PIECE bytes of units lie one after the other on one axis, so an interval table of either tokenizer holds them all.
 2. DuckDB aligns a piece: an ASOF join finds the B token that ends last at or before the end of each A token, which tells where both end; a window sum of these cuts numbers the groups; an ASOF join puts each B token into
-   its group. Where an A and a B token cover the same bytes they are the group's link; in wider groups a range join finds the B tokens within the bytes of an A token's group. Links are counted by document and id pair.
-3. Over a chunk of CHUNK bytes, pairs are made distinct and counted by document: partial counts, which Spark merges. The document rows keep places in their chunk's list of pairs.
+   its group. Where an A and a B token cover the same bytes they are the group's link; in wider groups a range join finds the B tokens within the bytes of an A token's group. Links are counted by unit and id pair.
+3. Over a chunk of CHUNK bytes, units' links are summed for each document, and pairs are counted by document: partial counts, which Spark merges. The document rows keep places in their chunk's list of pairs.
 4. Counts, and whether a count is its A id's highest (one number for each id of the vocabulary), go back to each chunk's list, once for each chunk and pair, and there to the documents. No pair is sent for each document, and the more chunks share a pair, the
    more tasks its rows come from; a chunk is all that ever meets in one task.
 """
@@ -28,6 +29,8 @@ from fathomline.llm.shared import held, numbered, parts, released, renamed, set_
 PIECE, CHUNK = 1 << 20, 12 << 20
 #: Pairs in one row of a chunk's list.
 SLICE = 1000
+#: Documents in one batch of rows, and the longest unit in characters.
+ROWS, LONGEST = 500, 1000
 #: Fixed value: where byte-level BPE parts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a run that tiktoken merges fast.
@@ -55,6 +58,8 @@ class Pair:
             self.bytes_a[i] = entry
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int32) for own in (self.bytes_a, self.bytes_b))
+        #: Whether B's tokens end before each space and line end that follows something else.
+        self.parts_alone = not any(re.search("[^\u2581]\u2581|\n", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         self.said = {sep: np.array([f"{sep}{i}" for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object) for sep in ",;|"}
 
     def _piece(self, i: int) -> bytes:
@@ -102,13 +107,11 @@ LINKS = """with rest_a as (select span, id, lo, hi from grouped_a join wide usin
     select span, pair, count(*) as n from links group by all order by all"""
 
 
-def align(con, pair: Pair, spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict, list[str]]:
-    """Of spans (ids of A and of B with equal bytes, in which the last tokens of both end): (groups of each, links {span, pair, n} by span and pair, the groups of each as text, every group with ; before it)."""
-    a, b = (np.concatenate([s[i] for s in spans]) for i in (0, 1))
-    n_a, n_b = (np.array([len(s[i]) for s in spans]) for i in (0, 1))
+def align(con, pair: Pair, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, dict, list[str]]:
+    """Of spans (n_a ids of A and n_b ids of B with equal bytes, in which the last tokens of both end), whose ids follow each other in a and b: (groups of each, links {span, pair, n} by span and pair, the groups of each as text, every group with ; before it)."""
     stop_a, stop_b = np.cumsum(pair.size_a[a], dtype=np.int32), np.cumsum(pair.size_b[b], dtype=np.int32)
     number = lambda n: np.arange(n, dtype=np.int32)
-    con.register("tokens_a", pa.table({"seq": number(len(a)), "span": np.repeat(number(len(spans)), n_a), "id": a, "start": stop_a - pair.size_a[a], "stop": stop_a}))
+    con.register("tokens_a", pa.table({"seq": number(len(a)), "span": np.repeat(number(len(n_a)), n_a), "id": a, "start": stop_a - pair.size_a[a], "stop": stop_a}))
     con.register("tokens_b", pa.table({"seq": number(len(b)), "id": b, "start": stop_b - pair.size_b[b], "stop": stop_b}))
     for step in ALIGN:
         con.execute(step)
@@ -143,69 +146,150 @@ def parted(pair: Pair, a: np.ndarray, b: np.ndarray, most: int = PIECE) -> Itera
         at, at_a, at_b = int(to), to_a, to_b
 
 
+class Units(dict):
+    """Numbers of what stands between two places where a text is parted, without the space before it (a line end stays). new: those that aren't encoded yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, part: str) -> int:
+        own = part[1:] if part[:1] == "\n" else part
+        if not own or own[0].isspace() or own[-1].isspace() or len(part) > LONGEST or "\u2581" in part:
+            raise T.Uneven
+        self.new.append(part)
+        self[part] = at = self.next
+        self.next += 1
+        return at
+
+    def forget(self) -> None:
+        """Takes the new ones back."""
+        for part in self.new:
+            del self[part]
+        self.next -= len(self.new)
+        self.new = []
+
+
 class Chunk:
-    """Documents of a chunk, and how many of them hold each pair."""
+    """Documents of a chunk as numbers of units, and what each unit holds. A text that is encoded whole has units of its own."""
 
     def __init__(self, con, pair: Pair) -> None:
-        self.con, self.pair = con, pair
+        self.con, self.pair, self.table = con, pair, Units()
         self.rows: list[tuple] = []
-        self.sizes: list[list[int]] = []
-        self.digests: list = []
-        self.found: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        self.waiting: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+        self.units: list[np.ndarray] = []  # of each document
+        self.digests: list = []  # of documents with units of their own
+        self.sizes: list[np.ndarray] = [np.zeros((0, len(SIZES)), np.int64)]  # of each unit
+        self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]  # how many different pairs each unit has; pairs, and how often
+        self.said: list[bytes] = []
+        self.waiting: list[tuple] = []
         self.bytes = self.pending = 0
 
     def add(self, row: tuple, text: str) -> None:
-        ids = self.pair.encode(text)
+        numbers, doc = self.shared(text), len(self.rows)
         self.rows.append(row)
-        self.sizes.append([len(ids[0]), len(ids[1]), 0, 0] if ids else [0, 0, 0, 0])
-        self.digests.append(hashlib.sha256() if ids else None)
-        self.found.append([])
-        for span in parted(self.pair, *ids) if ids else ():
-            size = int(self.pair.size_a[span[0]].sum())
-            if self.waiting and self.pending + size > PIECE:
-                self.flush()
-            self.waiting.append((len(self.rows) - 1, span))
-            self.pending += size
-            self.bytes += size
+        self.digests.append(None)
+        if numbers is None:
+            ids, numbers = self.pair.encode(text), []
+            for a, b in parted(self.pair, *ids) if ids else ():
+                numbers.append(self.table.next)
+                self.table.next += 1
+                self.wait(doc, a, b, np.array([len(a)]), np.array([len(b)]))
+        self.units.append(np.array(numbers, np.int32))
+        self.bytes += len(text.encode())
+
+    def shared(self, text: str) -> list[int] | None:
+        """Numbers of the text's units; None if it must be encoded whole."""
+        if not self.pair.parts_alone:
+            return None
+        try:
+            numbers = list(map(self.table.__getitem__, text.replace("\n", " \n").split(" ")))
+        except T.Uneven:
+            self.table.forget()
+            return None
+        if self.table.new:
+            parts = [part if part[0] == "\n" else " " + part for part in self.table.new]
+            ids = self.pair.encode("." + "".join(parts))  # with a unit before them, so that the first may begin with a line end
+            ends = np.cumsum([2, *(len(part.encode()) for part in parts)])
+            at = [np.searchsorted(np.cumsum(size[own]), ends) for size, own in zip((self.pair.size_a, self.pair.size_b), ids, strict=True)] if ids else []
+            if not ids or any((np.cumsum(size[own])[x] != ends).any() for size, own, x in zip((self.pair.size_a, self.pair.size_b), ids, at, strict=True)):
+                self.table.forget()
+                return None
+            self.wait(None, *(own[x[0] + 1 :] for own, x in zip(ids, at, strict=True)), *map(np.diff, at))
+            self.table.new = []
+        return numbers
+
+    def wait(self, doc: int | None, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        size = int(self.pair.size_a[a].sum())
+        if self.waiting and self.pending + size > PIECE:
+            self.flush()
+        self.waiting.append((doc, a, b, n_a, n_b))
+        self.pending += size
 
     def flush(self) -> None:
         if not self.waiting:
             return
-        groups, links, said = align(self.con, self.pair, [span for _, span in self.waiting])
-        cuts = np.searchsorted(links["span"], np.arange(len(self.waiting) + 1))
-        for i, (doc, _) in enumerate(self.waiting):
-            own = slice(cuts[i], cuts[i + 1])
-            first = not self.sizes[doc][2]
-            self.sizes[doc][2] += int(groups[i])
-            self.sizes[doc][3] += int(links["n"][own].sum())
-            self.digests[doc].update(said[i][1:].encode() if first else said[i].encode())
-            self.found[doc].append((links["pair"][own], links["n"][own]))
+        a, b, n_a, n_b = (np.concatenate([w[i] for w in self.waiting]) for i in range(1, 5))
+        groups, links, said = align(self.con, self.pair, a, b, n_a, n_b)
+        different = np.bincount(links["span"], minlength=len(n_a))
+        self.links.append((different, links["pair"], links["n"].astype(np.int64)))
+        self.sizes.append(np.stack([n_a, n_b, groups, np.bincount(links["span"], links["n"], len(n_a)).astype(np.int64)], 1))
+        at = 0
+        for doc, *_, n in self.waiting:
+            own = said[at : at + len(n)]
+            at += len(n)
+            if doc is None:
+                self.said += [x.encode() for x in own]
+            elif self.digests[doc]:
+                self.digests[doc].update(own[0].encode())
+            else:
+                self.digests[doc] = hashlib.sha256(own[0][1:].encode())
+            if doc is not None:
+                self.said.append(b"")
         self.waiting, self.pending = [], 0
 
+    def digest(self, doc: int) -> str:
+        out, units = self.digests[doc], self.units[doc]
+        if out is None:
+            out = hashlib.sha256()
+            for at in range(0, len(units), 100_000):
+                own = b"".join(map(self.said.__getitem__, units[at : at + 100_000].tolist()))
+                out.update(own if at else own[1:])
+        return out.hexdigest() if len(units) else ""
+
     def batches(self, number: int, kept: pa.Schema) -> Iterator[pa.RecordBatch]:
         self.flush()
-        pairs, times = [], []
-        for own in self.found:
-            if len(own) > 1:
-                keys, at = np.unique(np.concatenate([p for p, _ in own]), return_inverse=True)
-                own = [(keys, np.bincount(at, np.concatenate([n for _, n in own]), len(keys)).astype(np.int64))]
-            pairs.append(own[0][0] if own else np.zeros(0, np.int64))
-            times.append(own[0][1] if own else np.zeros(0, np.int64))
-        every, place, count = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]), return_inverse=True, return_counts=True)
-        cuts = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
-        for at in range(0, len(self.rows), 500):
-            to = min(at + 500, len(self.rows))
-            n, span = to - at, slice(cuts[at], cuts[to])
-            lists = [pa.ListArray.from_arrays(pa.array(cuts[at : to + 1] - cuts[at]), pa.array(v)) for v in (place[span].astype(np.int32), np.concatenate([np.zeros(0, np.int64), *times[at:to]]))]
-            sizes = np.array(self.sizes[at:to], np.int64)
+        self.table.clear()  # its texts aren't needed any more
+        sizes, (different, pairs, times) = np.concatenate(self.sizes), (np.concatenate(x) for x in zip(*self.links, strict=True))
+        self.sizes, self.links = [], []
+        begins = np.cumsum(different) - different
+        every = np.unique(pairs)
+        place = np.searchsorted(every, pairs).astype(np.int32)
+        del pairs
+        count = np.zeros(len(every), np.int64)
+        for at in range(0, len(self.rows), ROWS):
+            n = min(ROWS, len(self.rows) - at)
+            to, units = at + n, np.concatenate(self.units[at : at + n])
+            doc = np.repeat(np.arange(n), [len(x) for x in self.units[at:to]])
+            total = [np.bincount(doc, sizes[units, i], n).astype(np.int64) for i in range(len(SIZES))]
+            keys, often = np.unique(doc << 32 | units, return_counts=True)  # each different unit of a document once
+            units, size = keys & 0xFFFFFFFF, different[keys & 0xFFFFFFFF]
+            links = np.repeat(begins[units] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            keys, often = np.repeat(keys >> 32 << 32, size) | place[links], np.repeat(often, size) * times[links]
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            keys, often = keys[first], np.add.reduceat(often[order], first) if len(first) else often
+            cuts, places = np.searchsorted(keys >> 32, np.arange(n + 1)).astype(np.int32), keys & 0xFFFFFFFF
+            count += np.bincount(places, minlength=len(every))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (places.astype(np.int32), often)]
             own = [pa.array([r[i] for r in self.rows[at:to]], kept.field(i).type) for i in range(len(kept))]
-            sha = pa.array([d.hexdigest() if d else "" for d in self.digests[at:to]])
-            yield _batch(kept, number, n, {**{f"_{i}": c for i, c in enumerate(own)}, **{name: pa.array(sizes[:, i]) for i, name in enumerate(SIZES)}, "groups_sha256": sha, "places": lists[0], "times": lists[1]}, 1, np.zeros(n, np.int32))
+            sha = pa.array([self.digest(i) for i in range(at, to)])
+            yield _batch(kept, number, n, {**{f"_{i}": c for i, c in enumerate(own)}, **{name: pa.array(c) for name, c in zip(SIZES, total, strict=True)}, "groups_sha256": sha, "places": lists[0], "times": lists[1]}, 1, np.zeros(n, np.int32))
         for at in range(0, len(every), SLICE * 100):
             here, n = every[at : at + SLICE * 100], count[at : at + SLICE * 100]
             starts = np.append(np.arange(0, len(here), SLICE), len(here)).astype(np.int32)
-            lists = {name: pa.ListArray.from_arrays(pa.array(starts), pa.array(v)) for name, v in (("pairs", here), ("docs", n.astype(np.int64)))}
+            lists = {name: pa.ListArray.from_arrays(pa.array(starts), pa.array(v)) for name, v in (("pairs", here), ("docs", n))}
             yield _batch(kept, number, len(starts) - 1, lists, 0, np.arange(at // SLICE, at // SLICE + len(starts) - 1, dtype=np.int32))
 
 

@@ -93,3 +93,32 @@ def test_edges(spark):
     assert [(r.doc_id, r.chunk, r.n_links, r.n_best, r.count_sum) for r in found] == [(None, 1, 2, 2, 4), (None, 1, 2, 2, 4), (3, 2, 0, 0, 0)]
     assert found[2].groups_sha256 == ""
     assert A.link_counts(docs.limit(0), *FILES).count() == 0
+
+
+def test_each_different_unit_is_encoded_once_and_any_white_space_comes_out_right(monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    import random
+
+    import pyarrow as pa
+
+    pair, draw, asked = A.pair_of(*A.load(*FILES)), random.Random(5), []
+    whole = pair.encode
+    monkeypatch.setattr(pair, "encode", lambda text: (asked.append(len(text)), whole(text))[1])
+    kept = pa.schema([("_0", pa.int64())])
+
+    def rows(texts):
+        with duckdb.connect(config={"threads": 1}) as con:
+            chunk = A.Chunk(con, pair)
+            for i, t in enumerate(texts):
+                chunk.add((i,), t)
+            table = pa.Table.from_batches(list(chunk.batches(7, kept)))
+        return [tuple(r[n] for n in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")) for r in table.to_pylist() if r["kind"] == 1]
+
+    words = ["The", "naïve", "reader,", "unlike", "others,", "reads", "on.\nAnd", "on"]
+    plain = [" ".join(draw.choices(words, k=200)) for _ in range(100)]
+    found = rows(plain)
+    assert sum(asked) < sum(map(len, plain)) / 50
+    bits = [" ", " ", "\n", "a", "B", "é", "1", ".", ",", "'s", "▁", "\t", "\r", "你", "🙂", "-", " the", "\x1c", "\x85", "　", "ll"]
+    odd = ["".join(draw.choices(bits, k=draw.randint(1, 30))) for _ in range(1500)]
+    found += rows(odd)
+    assert found == [(*r[:4], r[6]) for r in brute(plain + odd)]
