@@ -1,7 +1,7 @@
 """Large JSON documents (one list, or one object with a list) read by many tasks.
 
 A document is cut at every `}`, which Spark's text reader does from any byte offset. A piece alone doesn't say whether it begins inside a string, nor how deep it lies, but it says what it does to both: so quotes and brackets are summed
-within each split of the file, and over the splits in a table of one row each. Then every piece knows its depth, pieces between two ends of records are put together, and each record becomes a line of JSON.
+within blocks of at most BLOCK pieces of a split, and over the blocks in a table of one row each; so what a task sorts doesn't grow with the splits. Then every piece knows its depth, pieces between two ends of records are put together, and each record becomes a line of JSON.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Pieces of a split that are summed in one group: 2 to this power.
+BLOCK = 14
 BRACKETS = r"[^\[\]{}]*"
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block (where the split begins), place, value; and what a piece does: flips (1 if it has an odd number of quotes), d0 and d1 (change of depth, its own `}` included, if it begins outside or inside a string)."""
-    rows = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("place"), "value")
+    """file, block (where the split begins, and which of its stretches of pieces), place, value; and what a piece does: flips (1 if it has an odd number of quotes), d0 and d1 (change of depth, its own `}` included, if it begins outside or inside a string)."""
+    place = F.monotonically_increasing_id()
+    rows = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("bytes"), place.alias("place"), "value")
+    rows = rows.withColumn("block", F.struct("split", F.shiftright("place", BLOCK).alias("stretch"))).drop("split")
     plain = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
     rows = rows.withColumn("_parts", plain).withColumn("flips", ((F.size("_parts") - 1) % 2).cast("bigint"))
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from fathomline.sources import readers
+from fathomline.sources import json_documents, readers
 from fathomline.sources.json_documents import as_lines
 from fathomline.sources.shared import scratch
 
@@ -64,3 +64,15 @@ def test_a_torn_document_raises(spark, tmp_path):
         path.write_text(text)
         with pytest.raises(ValueError, match=f"{i}.json: not JSON"):
             readers.read_rows(spark, str(path), split_above=0)
+
+
+def test_no_group_grows_with_a_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_documents, "BLOCK", 5)
+    want = records(700)
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps({"rows": want}), encoding="utf-8")
+    pieces = json_documents._pieces(spark, str(path))
+    assert max(r["count"] for r in pieces.groupBy("file", "block").count().collect()) <= 32
+    target = scratch(spark)
+    assert as_lines(spark, str(path), readers.LIST_FIELDS, target)
+    assert sorted((json.loads(r.value) for r in spark.read.text(target).collect()), key=lambda r: r["i"]) == want
